@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -50,3 +50,12 @@ def score_above(value, edges: Sequence, lowest: int = 1) -> Column:
     for edge in edges:
         score = score + (as_column(value) > F.lit(edge)).cast("int")
     return score
+
+
+def whole_table() -> WindowSpec:
+    """Window over all rows, in one task.
+
+    Only for tables whose size is bounded by the calendar, the channels, the provinces or the segments;
+    tables that grow with customers or products use staged totals instead.
+    """
+    return Window.partitionBy()

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.functions.numbers import first_match
+from tradewind.functions.numbers import first_match, whole_table
 from tradewind.operators.order_statistics import after, rank_first_edges
 from tradewind.session import stage
 
@@ -126,7 +126,6 @@ def customer_rfm(lines: DataFrame, customer: str | None = None, reference=None,
 
 def segment_summary(rfm: DataFrame) -> DataFrame:
     """Customers, means and revenue per segment with their shares, largest revenue first."""
-    whole = Window.partitionBy()  # at most one row per segment
     summary = rfm.groupBy("Segment").agg(
         F.count("Customer_ID").alias("Customers"),
         F.bround(F.avg("Recency"), 2).alias("Avg_Recency_Days"),
@@ -136,7 +135,7 @@ def segment_summary(rfm: DataFrame) -> DataFrame:
     )
 
     def share(column: str) -> Column:
-        return F.bround(F.col(column) / F.sum(column).over(whole) * 100, 1)
+        return F.bround(F.col(column) / F.sum(column).over(whole_table()) * 100, 1)
 
     return summary.withColumns(
         {"Pct_Customers": share("Customers"), "Pct_Revenue": share("Total_Monetary")}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradewind.functions.numbers import growth, ratio
+from tradewind.functions.numbers import growth, ratio, whole_table
 from tradewind.operators import labels
 from tradewind.operators.order_statistics import exact_quantiles
 from tradewind.session import stage
@@ -24,11 +24,6 @@ _DAILY_SUMS = {
     "Service_Fee": "Service_Fee",
 }
 
-# The daily table has one row per calendar day and channel, whatever the number of orders, so a window
-# over all of it is small. Tables that grow with customers or products never use this window.
-_CALENDAR = Window.partitionBy()
-
-
 def _grouped(lines: DataFrame, keys: dict, sums: dict) -> DataFrame:
     """Distinct orders and sums per key; rows with a null key are dropped as in a pandas group-by."""
     for source in keys.values():
@@ -53,14 +48,18 @@ def with_growth(daily: DataFrame) -> DataFrame:
 
 
 def with_segments(daily: DataFrame) -> DataFrame:
-    """GMV segment by the 20th and 80th percentile and AOV segment by the mean, over all channels."""
+    """GMV segment by the 20th and 80th percentile and AOV segment by the mean, over all channels.
+
+    The daily table has one row per calendar day and channel, whatever the number of orders, so a window
+    over all of it is small.
+    """
     gmv = F.col("GMV").cast("double")
     return (
         daily.withColumns(
             {
-                "_p20": F.percentile(gmv, F.lit(0.2)).over(_CALENDAR),
-                "_p80": F.percentile(gmv, F.lit(0.8)).over(_CALENDAR),
-                "_mean": F.avg("AOV").over(_CALENDAR),
+                "_p20": F.percentile(gmv, F.lit(0.2)).over(whole_table()),
+                "_p80": F.percentile(gmv, F.lit(0.8)).over(whole_table()),
+                "_mean": F.avg("AOV").over(whole_table()),
             }
         )
         .withColumns(

@@ -7,13 +7,11 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradewind.functions.numbers import as_column, change_pct, ratio
+from tradewind.functions.numbers import as_column, change_pct, ratio, whole_table
 from tradewind.operators import labels
 from tradewind.operators.masters import product_medians
 from tradewind.session import stage
 
-_WHOLE = Window.partitionBy()  # only over tables of calendar days, channels or provinces
-
 
 def bounds(*columns: tuple[DataFrame, str]) -> DataFrame:
     """Earliest and latest date over several sources, as one row."""
@@ -144,7 +142,7 @@ def platform_breakdown(daily: DataFrame) -> DataFrame:
         F.count("Date").alias("Days"),
     )
     return totals.withColumns(
-        {f"{c}_Share_Pct": ratio(c, F.sum(c).over(_WHOLE)) * 100 for c in ("GMV", "Orders", "Net_Revenue")}
+        {f"{c}_Share_Pct": ratio(c, F.sum(c).over(whole_table())) * 100 for c in ("GMV", "Orders", "Net_Revenue")}
     )
 
 
@@ -197,14 +195,14 @@ def province_concentration(provinces: DataFrame, top: int = 15) -> DataFrame:
     ranked = provinces.withColumn(
         "Position", F.row_number().over(Window.orderBy(F.desc("GMV"), "Province"))
     )
-    total = F.sum("GMV").over(_WHOLE)
+    total = F.sum("GMV").over(whole_table())
 
     def share(first: int) -> Column:
-        part = F.sum(F.when(F.col("Position") <= first, F.col("GMV"))).over(_WHOLE)
+        part = F.sum(F.when(F.col("Position") <= first, F.col("GMV"))).over(whole_table())
         return ratio(part, total) * 100
 
     return ranked.withColumns(
-        {"Provinces": F.count("*").over(_WHOLE), "Top1_Share_Pct": share(1), "Top5_Share_Pct": share(5)}
+        {"Provinces": F.count("*").over(whole_table()), "Top1_Share_Pct": share(1), "Top5_Share_Pct": share(5)}
     ).filter(F.col("Position") <= top)
 
 

@@ -12,16 +12,14 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradewind.functions.numbers import change_pct, ratio_or_null
+from tradewind.functions.numbers import change_pct, ratio_or_null, whole_table
 from tradewind.operators import labels
 from tradewind.operators.content import content_performance as content_union
 from tradewind.sources import layouts
 
-_WHOLE = Window.partitionBy()  # one row per day and channel or per province
-
 
 def _with_as_of(daily: DataFrame, as_of: date | None) -> DataFrame:
-    newest = F.max("Date").over(_WHOLE) if as_of is None else F.lit(as_of)
+    newest = F.max("Date").over(whole_table()) if as_of is None else F.lit(as_of)
     return daily.withColumn("_as_of", newest)
 
 
@@ -211,7 +209,7 @@ def top_provinces(geographic: DataFrame, n: int = 20) -> DataFrame:
 
 
 def province_distribution(geographic: DataFrame) -> DataFrame:
-    total = F.sum("GMV").over(_WHOLE)
+    total = F.sum("GMV").over(whole_table())
     return (
         geographic.withColumn("GMV_Share_Pct", ratio_or_null(F.col("GMV") * 100, total))
         .filter(F.col("GMV") > 0)
