@@ -65,7 +65,7 @@ def main() -> None:
             problem = difference(df, connection, sql) if sql else None
             state = problem or ("ok" if sql else f"rows only: {df.count()}")
         except Exception as error:  # reported and counted, the other queries still run
-            state = problem = f"{type(error).__name__}: {str(error)[:600]}"
+            state = problem = f"{type(error).__name__}: {str(error)[:400]}"
         failed += problem is not None
         print(f"{check.name:28s} {time.time() - start:6.2f}s  {state}", flush=True)
     print(f"{failed} failed")

@@ -1,5 +1,5 @@
 """All registered queries, in the order of the build."""
 
-from checks import orders
+from checks import customers, orders, promotion
 
-CHECKS = [*orders.CHECKS]
+CHECKS = [*orders.CHECKS, *customers.CHECKS, *promotion.CHECKS]

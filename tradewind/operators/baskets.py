@@ -229,7 +229,7 @@ def association_rules(itemsets: DataFrame, min_confidence: float = 0.3, min_lift
 
     splits = (
         itemsets.filter(F.col("Length") >= 2)
-        .withColumn("Mask", F.explode(F.sequence(F.lit(1), F.shiftleft(F.lit(1), F.col("Length")) - 2)))
+        .withColumn("Mask", F.explode(F.expr("sequence(1, shiftleft(1, Length) - 2)")))
         .select(
             part(1).alias("Antecedents"),
             part(0).alias("Consequents"),

@@ -68,10 +68,10 @@ def rfm_base(lines: DataFrame, customer: str | None = None, reference=None, by_p
     )
 
 
-def _bins_passed(keys: Sequence[str], edges: Sequence) -> Column:
+def _bins_passed(base: DataFrame, keys: Sequence[str], edges: Sequence) -> Column:
     score = F.lit(1)
     for edge in edges:
-        score = score + after(keys, edge).cast("int")
+        score = score + after(base, keys, edge).cast("int")
     return score
 
 
@@ -92,7 +92,7 @@ def rfm_scores(base: DataFrame, bins: int = 5) -> DataFrame:
     scores = {"R_Score": recency}
     for column, name in (("Frequency", "F_Score"), ("Monetary", "M_Score")):
         keys = [column, *ids]
-        scores[name] = _bins_passed(keys, rank_first_edges(base, keys, bins, stats["n"]))
+        scores[name] = _bins_passed(base, keys, rank_first_edges(base, keys, bins, stats["n"]))
     return base.withColumns(scores)
 
 

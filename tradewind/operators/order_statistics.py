@@ -99,6 +99,7 @@ def rank_first_edges(df: DataFrame, keys: Sequence[str], bins: int, rows: int) -
     return [at[c] for c in cuts]
 
 
-def after(keys: Sequence[str], edge: Sequence) -> Column:
-    """True for rows that come after ``edge`` in the order by ``keys``."""
-    return F.struct(*[F.col(k) for k in keys]) > F.struct(*[F.lit(v).alias(k) for k, v in zip(keys, edge)])
+def after(df: DataFrame, keys: Sequence[str], edge: Sequence) -> Column:
+    """True for rows of ``df`` that come after ``edge`` in the order by ``keys``."""
+    limit = [F.lit(v).cast(df.schema[k].dataType).alias(k) for k, v in zip(keys, edge)]
+    return F.struct(*[F.col(k) for k in keys]) > F.struct(*limit)
