@@ -1,5 +1,5 @@
 """All registered queries, in the order of the build."""
 
-from checks import customers, orders, promotion
+from checks import customers, orders, promotion, scalars
 
-CHECKS = [*orders.CHECKS, *customers.CHECKS, *promotion.CHECKS]
+CHECKS = [*orders.CHECKS, *customers.CHECKS, *promotion.CHECKS, *scalars.CHECKS]
