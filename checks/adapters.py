@@ -29,6 +29,7 @@ def order_lines(spark: SparkSession, folder: str, *needs: str, valid: bool = Tru
     columns = [
         F.col("l_orderkey").alias("Order_ID"),
         F.col("l_linenumber").alias("Line"),
+        F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("Line_Key"),
         F.col("l_quantity").cast(MONEY).alias("Quantity"),
         (price * (F.lit(1).cast("decimal(4,2)") - discount)).cast(MONEY).alias("Net_Sales"),
         (price * discount).cast(MONEY).alias("Seller_Discount"),

@@ -150,7 +150,7 @@ class OrderStore:
         last = self.manifest().agg(F.max("Batch")).first()[0]
         number = 0 if last is None else last + 1
         path = f"{self.folder}/batches/{number}"
-        read_csv(self.spark, paths, glob).write.mode("overwrite").parquet(path)
+        read_csv(self.spark, [files.literal_path(p) for p in paths], glob).write.mode("overwrite").parquet(path)
         self.commit(number, waiting.filter(F.col("path").isin(paths)))
         return len(paths)
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tradewind.functions import parsing
 from tradewind.functions.numbers import first_match
 from tradewind.sources import layouts
+from tradewind.sources.files import decoded, literal_path
 
 # Columns every reader adds: the file, and what is needed to put rows in the order they were written.
 FILE_COLUMNS = ["File_Source", "File_Modified", "File_Block", "File_Row"]
@@ -19,7 +20,7 @@ FILE_COLUMNS = ["File_Source", "File_Modified", "File_Block", "File_Row"]
 
 def _file_columns() -> dict[str, Column]:
     return {
-        "File_Source": F.col("_metadata.file_name"),
+        "File_Source": decoded("_metadata.file_name"),
         "File_Modified": F.col("_metadata.file_modification_time"),
         "File_Block": F.col("_metadata.file_block_start"),
         "File_Row": F.monotonically_increasing_id(),
@@ -31,7 +32,7 @@ def _lines(spark: SparkSession, paths, glob: str) -> DataFrame:
     text = spark.read.option("pathGlobFilter", glob).option("ignoreCorruptFiles", "true").text(paths)
     return text.select(
         "value",
-        F.col("_metadata.file_path").alias("File_Path"),
+        decoded("_metadata.file_path").alias("File_Path"),
         *[column.alias(name) for name, column in _file_columns().items()],
     )
 
@@ -48,7 +49,7 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], glob: str = "*.csv
     for row in headers:
         names = next(csv.reader([row["header"].lstrip("﻿")]), [])
         if names:
-            groups[tuple(n.strip() for n in names)].append(row["File_Path"])
+            groups[tuple(n.strip() for n in names)].append(literal_path(row["File_Path"]))
     if not groups:
         raise FileNotFoundError(f"no CSV file with a header in {paths}")
     result = None
@@ -142,23 +143,30 @@ def map_header(header: Column, rules: Sequence[tuple[str, str]]) -> Column:
 def read_overview_reports(spark: SparkSession, paths: str | Sequence[str], rules: Sequence[tuple[str, str]], glob: str = "*.csv") -> DataFrame:
     """Overview reports: two header rows and one data row per file; shorter files are ignored.
 
-    These reports hold one row of figures by their format, so a whole file is one small value.
+    These reports hold one row of figures by their format, so a whole file is one small value. The report
+    date stands in the file name, or else in the name of the folder.
     """
     text = (
-        spark.read.option("pathGlobFilter", glob).option("wholetext", "true").option("ignoreCorruptFiles", "true").text(paths)
+        spark.read.option("pathGlobFilter", glob).option("ignoreCorruptFiles", "true").text(paths, wholetext=True)
     )
     lines = F.filter(F.split(F.regexp_replace("value", "^﻿", ""), "\r?\n"), lambda x: F.trim(x) != "")
+    path = F.split(decoded("_metadata.file_path"), "/")
     reports = (
-        text.select(F.col("_metadata.file_name").alias("File_Source"), F.slice(lines, 1, 3).alias("lines"))
+        text.select(
+            F.element_at(path, -1).alias("File_Source"),
+            F.element_at(path, -2).alias("Folder"),
+            F.slice(lines, 1, 3).alias("lines"),
+        )
         .filter(F.size("lines") == 3)
-        .select("File_Source", F.transform("lines", csv_cells).alias("rows"))
+        .select("File_Source", "Folder", F.transform("lines", csv_cells).alias("rows"))
     )
     header = _combined_header(F.col("rows")[0], F.col("rows")[1])
     reports = reports.withColumn("names", F.transform(header, lambda h: map_header(h, rules)))
-    _, report_date = parsing.file_dates("File_Source", "live")
+    _, in_name = parsing.file_dates("File_Source", "live")
+    _, in_folder = parsing.file_dates("Folder", "live")
     canonical = list(dict.fromkeys(name for _, name in rules))
     return reports.select(
         *[pick(F.col("rows")[2], F.col("names"), name).alias(name) for name in canonical],
         "File_Source",
-        report_date.alias("Report_Date"),
+        F.coalesce(in_name, in_folder).alias("Report_Date"),
     )

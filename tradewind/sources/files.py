@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tradewind.functions.numbers import as_column
+
 MANIFEST_SCHEMA = "Data_Type string, Name string, Signature string, Records bigint, Processed_At timestamp"
 
 
+def decoded(path) -> Column:
+    """Plain text of a path from ``_metadata``, where blanks and some other characters are percent codes."""
+    return F.url_decode(F.replace(as_column(path), F.lit("+"), F.lit("%2B")))
+
+
+def literal_path(path: str) -> str:
+    """A path whose pattern characters stand for themselves."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def listing(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     """Files of a folder with size and time, without reading their content."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
