@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tradewind.functions.numbers import total
 from tradewind.operators.channels import keep_statuses, with_totals
 from tradewind.operators.promotion import clean_ads, engagement_rate
 
 VALID = ("F", "O")
 KEYWORD = "ring"
-MONEY = "decimal(18,4)"
+MONEY = "decimal(18,4)"  # only for the few values that are written as text
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,19 +25,18 @@ def order_lines(spark: SparkSession, folder: str, *needs: str, valid: bool = Tru
     on the order key, by which distinct orders are counted afterwards.
     """
     lines = table(spark, folder, "lineitem")
-    price, discount = F.col("l_extendedprice").cast("decimal(12,2)"), F.col("l_discount").cast("decimal(4,2)")
-    fee, tax = F.lit("0.02").cast("decimal(4,2)"), F.col("l_tax").cast("decimal(4,2)")
+    price, discount = F.col("l_extendedprice"), F.col("l_discount")
     columns = [
         F.col("l_orderkey").alias("Order_ID"),
         F.col("l_linenumber").alias("Line"),
         F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("Line_Key"),
-        F.col("l_quantity").cast(MONEY).alias("Quantity"),
-        (price * (F.lit(1).cast("decimal(4,2)") - discount)).cast(MONEY).alias("Net_Sales"),
-        (price * discount).cast(MONEY).alias("Seller_Discount"),
-        F.lit(0).cast(MONEY).alias("Platform_Discount"),
-        (price * tax).cast(MONEY).alias("Commission"),
-        (price * fee).cast(MONEY).alias("Transaction_Fee"),
-        F.lit(0).cast(MONEY).alias("Service_Fee"),
+        F.col("l_quantity").alias("Quantity"),
+        (price * (1 - discount)).alias("Net_Sales"),
+        (price * discount).alias("Seller_Discount"),
+        F.lit(0.0).alias("Platform_Discount"),
+        (price * F.col("l_tax")).alias("Commission"),
+        (price * 0.02).alias("Transaction_Fee"),
+        F.lit(0.0).alias("Service_Fee"),
     ]
     if "product" in needs:
         part = table(spark, folder, "part")
@@ -44,7 +44,7 @@ def order_lines(spark: SparkSession, folder: str, *needs: str, valid: bool = Tru
         columns += [
             F.col("p_name").alias("Product_Name"),
             F.col("p_brand").alias("SKU"),
-            F.col("p_retailprice").cast(MONEY).alias("Original_Price"),
+            F.col("p_retailprice").alias("Original_Price"),
         ]
     lines = lines.select(*columns)
 
@@ -224,7 +224,7 @@ def content(spark: SparkSession, folder: str, kind: str | None = None) -> DataFr
         return F.count_if(F.col("event_type") == event)
 
     grouped = events.groupBy("user_id", F.to_date("ts").alias("Report_Date")).agg(
-        F.coalesce(F.sum(F.when(F.col("event_type") == "purchase", F.col("value").cast(MONEY))), F.lit(0).cast(MONEY)).alias("GMV"),
+        total(F.when(F.col("event_type") == "purchase", F.col("value"))).alias("GMV"),
         number("purchase").alias("Orders"),
         (number("view") * 10).alias("Views"),
         (number("view") * 10).alias("Viewers"),

@@ -16,7 +16,10 @@ _SQL_TYPES = {"s": "VARCHAR", "l": "BIGINT", "i": "INTEGER", "d": "DATE", "t": "
 
 @dataclass(frozen=True)
 class Check:
-    """``columns`` is ``name:kind`` per output column: s, l, i, d, t, b, or f and a number of decimals."""
+    """``columns`` is ``name:kind`` per output column: s, l, i, d, t, b, or f and a number of decimals.
+
+    Doubles are rounded in two steps, so that noise in the last digits cannot turn an exact half up or down.
+    """
 
     name: str
     columns: str
@@ -29,7 +32,8 @@ class Check:
 
     def _cast(self, name: str, kind: str) -> Column:
         if kind[0] == "f":
-            return F.round(F.col(name).cast("double"), int(kind[1:])).alias(name)
+            digits = int(kind[1:])
+            return F.round(F.round(F.col(name).cast("double"), digits + 3), digits).alias(name)
         return F.col(name).cast(_SPARK_TYPES[kind]).alias(name)
 
     def run(self, spark: SparkSession, folder: str) -> DataFrame:
@@ -42,7 +46,8 @@ class Check:
         parts = []
         for name, kind in self._columns():
             if kind[0] == "f":
-                parts.append(f'round(CAST("{name}" AS DOUBLE), {kind[1:]}) AS "{name}"')
+                digits = int(kind[1:])
+                parts.append(f'round(round(CAST("{name}" AS DOUBLE), {digits + 3}), {digits}) AS "{name}"')
             else:
                 parts.append(f'CAST("{name}" AS {_SQL_TYPES[kind]}) AS "{name}"')
         body = f"SELECT {', '.join(parts)} FROM ({self.sql}) AS result"

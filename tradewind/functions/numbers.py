@@ -25,6 +25,15 @@ def ratio_or_null(numerator, denominator) -> Column:
     )
 
 
+def total(column) -> Column:
+    """Sum of a column, 0 for none, rounded to the 4 decimals money has.
+
+    The order in which tasks add doubles changes the last digits of a sum; rounding removes that, so a
+    repeated or resumed run gives the same totals. Decimal columns are summed as decimals.
+    """
+    return F.round(F.coalesce(F.sum(column), F.lit(0)), 4)
+
+
 def growth(current, previous) -> Column:
     """Relative change as a fraction; null when there is no previous value or it is zero."""
     return ratio_or_null(current, previous) - F.lit(1.0)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tradewind.functions.numbers import as_column
 
-MONEY = "decimal(18,4)"
+# Money is a double, as in the exports; see ``numbers.total`` for how it is summed.
+MONEY = "double"
 
 # Plain decimal notation only: rejects nan, infinity and the literal suffixes the JVM would accept.
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
@@ -27,11 +28,6 @@ def currency(value, kind: str = "double") -> Column:
     return _number(F.regexp_replace(as_column(value).cast("string"), r'[฿,"\s]', ""), kind)
 
 
-def money(value) -> Column:
-    """Currency text to an exact decimal, so sums do not depend on the order of rows."""
-    return currency(value, MONEY)
-
-
 def numeric(value, kind: str = "double") -> Column:
     """Plain number; thousands separators are not accepted and give 0."""
     return _number(as_column(value).cast("string"), kind)

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tradewind.functions.numbers import total
 from tradewind.session import stage
 
 # Itemsets of the previous level a task holds at a time; more are counted in several passes.
@@ -32,7 +33,7 @@ def basket_items(lines: DataFrame, order="Order_ID", product="Product_Name", qua
     """One row per order and product with a flag for a positive total quantity."""
     known = lines.filter(F.col(product).isNotNull() & F.col(order).isNotNull())
     return known.groupBy(F.col(order).alias("Order_ID"), F.col(product).alias("Product")).agg(
-        (F.sum(quantity) > 0).alias("Bought")
+        (total(quantity) > 0).alias("Bought")
     )
 
 

@@ -45,15 +45,16 @@ def with_totals(df: DataFrame) -> DataFrame:
     """Fees, net revenue and discount of an order line; missing parts count as 0."""
 
     def part(name: str) -> Column:
-        return F.coalesce(F.col(name), F.lit(0).cast(parsing.MONEY)) if name in df.columns else F.lit(0).cast(parsing.MONEY)
+        zero = F.lit(0).cast(parsing.MONEY)
+        return F.coalesce(F.col(name), zero) if name in df.columns else zero
 
     df = df.withColumns(
         {
-            "Total_Fees": (part("Commission") + part("Transaction_Fee") + part("Service_Fee")).cast(parsing.MONEY),
-            "Total_Discount": (part("Platform_Discount") + part("Seller_Discount")).cast(parsing.MONEY),
+            "Total_Fees": part("Commission") + part("Transaction_Fee") + part("Service_Fee"),
+            "Total_Discount": part("Platform_Discount") + part("Seller_Discount"),
         }
     )
-    return df.withColumn("True_Net_Revenue", (part("Net_Sales") - F.col("Total_Fees")).cast(parsing.MONEY))
+    return df.withColumn("True_Net_Revenue", part("Net_Sales") - F.col("Total_Fees"))
 
 
 def with_order_date(df: DataFrame, parse) -> DataFrame:
@@ -69,7 +70,7 @@ def clean_marketplace_orders(
 ) -> DataFrame:
     df = raw.withColumnsRenamed(layouts.MARKETPLACE_ORDERS)
     df = drop_keywords(keep_statuses(df, statuses), keywords)
-    df = converted(with_order_date(df, parsing.timestamp_iso), layouts.MARKETPLACE_ORDER_NUMBERS, parsing.money)
+    df = converted(with_order_date(df, parsing.timestamp_iso), layouts.MARKETPLACE_ORDER_NUMBERS, parsing.currency)
     return with_totals(df).withColumn("Platform", F.lit("marketplace"))
 
 
@@ -84,7 +85,7 @@ def clean_social_orders(
     df = converted(
         with_order_date(df, parsing.timestamp_dmy),
         layouts.SOCIAL_ORDER_NUMBERS,
-        lambda c: parsing.numeric(c, parsing.MONEY),
+        parsing.numeric,
     )
     zero = F.lit(0).cast(parsing.MONEY)
     df = df.withColumns({c: zero for c in ("Commission", "Transaction_Fee", "Service_Fee")})
@@ -97,7 +98,7 @@ def clean_direct_sales(raw: DataFrame) -> DataFrame:
     has_type = "Customer_Type" in df.columns
     df = df.dropna(subset=["Order_ID", "Customer_Type"] if has_type else ["Order_ID"])
     df = with_order_date(df, parsing.timestamp_day_first).filter(F.col("Order_Date").isNotNull())
-    df = converted(df, layouts.DIRECT_SALES_NUMBERS, lambda c: parsing.numeric(c, parsing.MONEY))
+    df = converted(df, layouts.DIRECT_SALES_NUMBERS, parsing.numeric)
     zero, channel = F.lit(0).cast(parsing.MONEY), F.col("Customer_Type") if has_type else F.lit("Direct")
     return df.withColumns(
         {

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tradewind.functions.numbers import total
+
 _METRICS = ["GMV", "Orders", "Viewers", "Views", "Likes"]
 
 
@@ -41,27 +43,27 @@ def platform_metrics(live: DataFrame, video: DataFrame) -> DataFrame:
     )
     is_live, is_video = F.col("_kind") == "live", F.col("_kind") == "video"
 
-    def total(condition, column):
-        return F.coalesce(F.sum(F.when(condition, F.col(column))), F.lit(0))
+    def sum_if(condition, column):
+        return total(F.when(condition, F.col(column)))
 
     return tagged.groupBy("Platform").agg(
-        total(is_live, "GMV").alias("live_gmv"),
-        total(is_live, "Orders").alias("live_orders"),
-        total(is_live, "Viewers").alias("live_viewers"),
-        total(is_live, "Likes").alias("live_likes"),
+        sum_if(is_live, "GMV").alias("live_gmv"),
+        sum_if(is_live, "Orders").alias("live_orders"),
+        sum_if(is_live, "Viewers").alias("live_viewers"),
+        sum_if(is_live, "Likes").alias("live_likes"),
         F.count_if(is_live).alias("live_sessions"),
-        total(is_video, "GMV").alias("video_gmv"),
-        total(is_video, "Orders").alias("video_orders"),
-        total(is_video, "Views").alias("video_views"),
+        sum_if(is_video, "GMV").alias("video_gmv"),
+        sum_if(is_video, "Orders").alias("video_orders"),
+        sum_if(is_video, "Views").alias("video_views"),
         F.count_if(is_video).alias("video_count"),
-        F.coalesce(F.sum("GMV"), F.lit(0)).alias("total_gmv"),
-        F.coalesce(F.sum("Orders"), F.lit(0)).alias("total_orders"),
+        total("GMV").alias("total_gmv"),
+        total("Orders").alias("total_orders"),
     )
 
 
 def video_summary(video: DataFrame) -> DataFrame:
     return video.groupBy("Platform").agg(
-        *[F.sum(c).alias(f"Total_{c}") for c in ("GMV", "Orders", "Views", "Likes")],
+        *[total(c).alias(f"Total_{c}") for c in ("GMV", "Orders", "Views", "Likes")],
         F.avg("Engagement_Rate").alias("Avg_Engagement"),
     )
 
@@ -72,7 +74,7 @@ def top_creators(content: DataFrame, sums: Sequence[str], mean: str | None = Non
     return (
         content.filter(F.col("Creator").isNotNull())
         .groupBy("Creator")
-        .agg(*[F.sum(c).alias(c) for c in sums], *means)
+        .agg(*[total(c).alias(c) for c in sums], *means)
         .orderBy(F.desc("GMV"), "Creator")
         .limit(n)
     )
@@ -88,7 +90,7 @@ def daily_trend(content: DataFrame, values: Sequence[str] = ("GMV", "Orders", "V
     return (
         content.filter(F.col("Report_Date").isNotNull())
         .groupBy("Report_Date")
-        .agg(*[F.sum(c).alias(c) for c in present])
+        .agg(*[total(c).alias(c) for c in present])
     )
 
 
@@ -117,6 +119,6 @@ def engagement_histogram(video: DataFrame, bins: int = 20) -> DataFrame:
 def total_per_content(live: DataFrame) -> DataFrame:
     """Totals of the live sessions per channel."""
     present = [c for c in _METRICS if c in live.columns]
-    return live.groupBy("Platform").agg(*[F.sum(c).alias(f"Total_{c}") for c in present])
+    return live.groupBy("Platform").agg(*[total(c).alias(f"Total_{c}") for c in present])
 
 

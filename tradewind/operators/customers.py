@@ -8,7 +8,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.functions.numbers import first_match, whole_table
+from tradewind.functions.numbers import first_match, total, whole_table
 from tradewind.operators.order_statistics import after, rank_first_edges
 from tradewind.session import stage
 
@@ -60,7 +60,7 @@ def rfm_base(lines: DataFrame, customer: str | None = None, reference=None, by_p
     grouped = known.groupBy(*keys).agg(
         F.max("Order_Date").alias("Last_Order"),
         F.count_distinct("Order_ID").alias("Frequency"),
-        F.coalesce(F.sum("Net_Sales"), F.lit(0)).alias("Monetary"),
+        total("Net_Sales").alias("Monetary"),
     )
     recency = F.timestamp_diff("DAY", F.col("Last_Order"), F.lit(reference).cast("timestamp"))
     return grouped.withColumn("Recency", recency).select(
@@ -105,8 +105,8 @@ def segment() -> Column:
         for score, (low, high) in zip(scores, ranges):
             condition = condition & score.between(low, high)
         rules.append((condition, name))
-    total = scores[0] + scores[1] + scores[2]
-    rules += [(total >= lowest, name) for lowest, name in SEGMENT_BY_SUM]
+    points = scores[0] + scores[1] + scores[2]
+    rules += [(points >= lowest, name) for lowest, name in SEGMENT_BY_SUM]
     return first_match(rules, "Lost")
 
 
@@ -130,8 +130,8 @@ def segment_summary(rfm: DataFrame) -> DataFrame:
         F.count("Customer_ID").alias("Customers"),
         F.bround(F.avg("Recency"), 2).alias("Avg_Recency_Days"),
         F.bround(F.avg("Frequency"), 2).alias("Avg_Frequency"),
-        F.bround(F.avg(F.col("Monetary")).cast("double"), 2).alias("Avg_Monetary"),
-        F.bround(F.sum("Monetary").cast("double"), 2).alias("Total_Monetary"),
+        F.bround(F.round(F.avg("Monetary"), 6), 2).alias("Avg_Monetary"),
+        F.bround(total("Monetary"), 2).alias("Total_Monetary"),
     )
 
     def share(column: str) -> Column:

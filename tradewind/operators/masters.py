@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradewind.functions.numbers import growth, ratio, whole_table
+from tradewind.functions.numbers import growth, ratio, total, whole_table
 from tradewind.operators import labels
 from tradewind.operators.order_statistics import exact_quantiles
 from tradewind.session import stage
@@ -30,7 +30,7 @@ def _grouped(lines: DataFrame, keys: dict, sums: dict) -> DataFrame:
         lines = lines.filter(F.col(source).isNotNull())
     return lines.groupBy(*[F.col(s).alias(k) for k, s in keys.items()]).agg(
         F.count_distinct("Order_ID").alias("Orders"),
-        *[F.coalesce(F.sum(s), F.lit(0)).alias(k) for k, s in sums.items()],
+        *[total(s).alias(k) for k, s in sums.items()],
     )
 
 
@@ -133,7 +133,7 @@ def ads_master(ads: DataFrame, min_clicks: int = 100) -> DataFrame:
     return (
         ads.dropna(subset=keys)
         .groupBy(*keys)
-        .agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums])
+        .agg(*[total(c).alias(c) for c in sums])
         .withColumns(
             {
                 "CTR": ratio("Clicks", "Impressions"),

@@ -7,7 +7,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradewind.functions.numbers import as_column, change_pct, ratio, whole_table
+from tradewind.functions.numbers import as_column, change_pct, ratio, total, whole_table
 from tradewind.operators import labels
 from tradewind.operators.masters import product_medians
 from tradewind.session import stage
@@ -94,17 +94,17 @@ def hero_comparison(daily: DataFrame, start: date, end: date, platform: str | No
     now = chosen & F.col("Date").between(F.lit(start), F.lit(end))
     then = chosen & F.col("Date").between(F.lit(before), F.lit(before_end))
 
-    def total(condition: Column, column: str) -> Column:
-        return F.coalesce(F.sum(F.when(condition, F.col(column))).cast("double"), F.lit(0.0))
+    def sum_if(condition: Column, column: str) -> Column:
+        return total(F.when(condition, F.col(column))).cast("double")
 
     def mean(condition: Column) -> Column:
         return F.coalesce(F.avg(F.when(condition, F.col("AOV"))), F.lit(0.0))
 
     sums = ["GMV", "Orders", "Net_Revenue", "Units_Sold"]
     row = daily.agg(
-        *[total(now, c).alias(f"Current_{c}") for c in sums],
+        *[sum_if(now, c).alias(f"Current_{c}") for c in sums],
         mean(now).alias("Current_AOV"),
-        *[total(then, c).alias(f"Previous_{c}") for c in sums],
+        *[sum_if(then, c).alias(f"Previous_{c}") for c in sums],
         mean(then).alias("Previous_AOV"),
         ((F.min("Date") <= F.lit(before_end)) & (F.count_if(then) > 0)).alias("Has_Previous"),
     )
@@ -136,7 +136,7 @@ def trend_vs_previous(daily: DataFrame, start: date, end: date) -> DataFrame:
 def platform_breakdown(daily: DataFrame) -> DataFrame:
     """Totals, date range and shares per channel."""
     totals = daily.groupBy("Platform").agg(
-        *[F.sum(c).alias(c) for c in ("GMV", "Orders", "Net_Revenue", "Units_Sold")],
+        *[total(c).alias(c) for c in ("GMV", "Orders", "Net_Revenue", "Units_Sold")],
         F.min("Date").alias("Min_Date"),
         F.max("Date").alias("Max_Date"),
         F.count("Date").alias("Days"),
@@ -150,8 +150,8 @@ def products_in_period(lines: DataFrame, start: date, end: date, platform: str |
     """Products sold in a period with segments that count the median as high."""
     sold = in_period(lines, "Order_Date", start, end, platform).dropna(subset=["Product_Name", "SKU"])
     totals = sold.groupBy("Product_Name", "SKU").agg(
-        F.coalesce(F.sum("Net_Sales"), F.lit(0)).alias("Total_GMV"),
-        F.coalesce(F.sum("Quantity"), F.lit(0)).alias("Total_Qty"),
+        total("Net_Sales").alias("Total_GMV"),
+        total("Quantity").alias("Total_Qty"),
         F.count_distinct("Order_ID").alias("Orders"),
     )
     totals = stage(totals, "period-products")
@@ -169,8 +169,8 @@ def products_in_period(lines: DataFrame, start: date, end: date, platform: str |
 def period_product_segments(products: DataFrame) -> DataFrame:
     return products.groupBy(F.col("Product_Segment").alias("Segment")).agg(
         F.count("Product_Name").alias("Products"),
-        F.sum("Total_GMV").alias("GMV"),
-        F.sum("Total_Qty").alias("Units"),
+        total("Total_GMV").alias("GMV"),
+        total("Total_Qty").alias("Units"),
     )
 
 
@@ -186,7 +186,7 @@ def provinces_in_period(daily_geo: DataFrame, start: date, end: date, platform:
     return (
         in_period(daily_geo, "Date", start, end, platform)
         .groupBy("Province")
-        .agg(*[F.sum(c).alias(c) for c in ("GMV", "Orders", "Units_Sold")])
+        .agg(*[total(c).alias(c) for c in ("GMV", "Orders", "Units_Sold")])
     )
 
 
@@ -195,11 +195,11 @@ def province_concentration(provinces: DataFrame, top: int = 15) -> DataFrame:
     ranked = provinces.withColumn(
         "Position", F.row_number().over(Window.orderBy(F.desc("GMV"), "Province"))
     )
-    total = F.sum("GMV").over(whole_table())
+    everything = F.sum("GMV").over(whole_table())
 
     def share(first: int) -> Column:
         part = F.sum(F.when(F.col("Position") <= first, F.col("GMV"))).over(whole_table())
-        return ratio(part, total) * 100
+        return ratio(part, everything) * 100
 
     return ranked.withColumns(
         {"Provinces": F.count("*").over(whole_table()), "Top1_Share_Pct": share(1), "Top5_Share_Pct": share(5)}

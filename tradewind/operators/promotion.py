@@ -26,7 +26,7 @@ def with_ad_ratios(ads: DataFrame) -> DataFrame:
 
 def clean_ads(raw: DataFrame) -> DataFrame:
     df = raw.withColumnsRenamed(layouts.ADS)
-    df = converted(df, layouts.ADS_NUMBERS, lambda c: parsing.numeric(c, parsing.MONEY))
+    df = converted(df, layouts.ADS_NUMBERS, parsing.numeric)
     df = converted(df, layouts.ADS_PERCENTS, parsing.percent)
     df = converted(df, ["ROAS"], parsing.numeric)
     return with_ad_ratios(df).withColumn("Platform", F.lit("marketplace"))

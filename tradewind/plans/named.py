@@ -12,7 +12,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradewind.functions.numbers import change_pct, ratio_or_null, whole_table
+from tradewind.functions.numbers import change_pct, ratio_or_null, total, whole_table
 from tradewind.operators import labels
 from tradewind.operators.content import content_performance as content_union
 from tradewind.sources import layouts
@@ -30,10 +30,10 @@ def _since(days: int) -> Column:
 def kpi_summary(daily: DataFrame) -> DataFrame:
     return daily.agg(
         F.sum("Orders").alias("Total_Orders"),
-        F.sum("GMV").alias("Total_GMV"),
-        F.sum("Net_Revenue").alias("Total_Net_Revenue"),
+        total("GMV").alias("Total_GMV"),
+        total("Net_Revenue").alias("Total_Net_Revenue"),
         F.avg("AOV").alias("Average_AOV"),
-        F.sum("Units_Sold").alias("Total_Units"),
+        total("Units_Sold").alias("Total_Units"),
     )
 
 
@@ -41,12 +41,12 @@ def hero_kpis(daily: DataFrame, as_of: date | None = None) -> DataFrame:
     recent = _with_as_of(daily, as_of).filter(_since(30))
     return recent.agg(
         F.sum("Orders").alias("Total_Orders"),
-        F.sum("GMV").alias("Total_GMV"),
-        F.sum("Net_Revenue").alias("Total_Net_Revenue"),
+        total("GMV").alias("Total_GMV"),
+        total("Net_Revenue").alias("Total_Net_Revenue"),
         F.avg("AOV").alias("Average_AOV"),
-        F.sum("Units_Sold").alias("Total_Units"),
-        F.sum("Total_Fees").alias("Total_Fees"),
-        F.sum("Commission").alias("Total_Commission"),
+        total("Units_Sold").alias("Total_Units"),
+        total("Total_Fees").alias("Total_Fees"),
+        total("Commission").alias("Total_Commission"),
     )
 
 
@@ -89,10 +89,10 @@ def weekly_trend(daily: DataFrame) -> DataFrame:
     return (
         daily.groupBy(week.alias("Week_Start"))
         .agg(
-            F.sum("GMV").alias("Weekly_GMV"),
+            total("GMV").alias("Weekly_GMV"),
             F.sum("Orders").alias("Weekly_Orders"),
             F.avg("AOV").alias("Weekly_AOV"),
-            F.sum("Net_Revenue").alias("Weekly_Net_Revenue"),
+            total("Net_Revenue").alias("Weekly_Net_Revenue"),
         )
         .orderBy(F.desc("Week_Start"))
     )
@@ -102,11 +102,11 @@ def monthly_trend(daily: DataFrame) -> DataFrame:
     return (
         daily.groupBy(F.trunc("Date", "month").alias("Month_Start"))
         .agg(
-            F.sum("GMV").alias("Monthly_GMV"),
+            total("GMV").alias("Monthly_GMV"),
             F.sum("Orders").alias("Monthly_Orders"),
             F.avg("AOV").alias("Monthly_AOV"),
-            F.sum("Net_Revenue").alias("Monthly_Net_Revenue"),
-            F.sum("Total_Fees").alias("Monthly_Fees"),
+            total("Net_Revenue").alias("Monthly_Net_Revenue"),
+            total("Total_Fees").alias("Monthly_Fees"),
         )
         .orderBy(F.desc("Month_Start"))
     )
@@ -128,10 +128,10 @@ def product_segments(products: DataFrame) -> DataFrame:
         products.groupBy("Product_Segment")
         .agg(
             F.count("*").alias("Product_Count"),
-            F.sum("Total_GMV").alias("Segment_GMV"),
-            F.sum("Total_Qty").alias("Segment_Units"),
+            total("Total_GMV").alias("Segment_GMV"),
+            total("Total_Qty").alias("Segment_Units"),
             F.avg("Avg_Price").alias("Avg_Price"),
-            F.sum("GMV_Contribution_Pct").alias("Total_Contribution"),
+            total("GMV_Contribution_Pct").alias("Total_Contribution"),
         )
         .orderBy(F.desc("Segment_GMV"))
     )
@@ -150,8 +150,8 @@ def ads_summary(ads: DataFrame) -> DataFrame:
         F.sum("Impressions").alias("Total_Impressions"),
         F.sum("Clicks").alias("Total_Clicks"),
         F.sum("Orders").alias("Total_Orders"),
-        F.sum("Sales").alias("Total_Sales"),
-        F.sum("Ad_Cost").alias("Total_Ad_Spend"),
+        total("Sales").alias("Total_Sales"),
+        total("Ad_Cost").alias("Total_Ad_Spend"),
     )
     return totals.withColumns(
         {
@@ -193,7 +193,7 @@ def campaign_health_lists(ads: DataFrame, min_clicks: int = 50) -> DataFrame:
 def campaign_health_counts(ads: DataFrame, min_clicks: int = 50) -> DataFrame:
     """Campaigns and spend per list; the spend of the bleeding list is what was wasted."""
     return campaign_health_lists(ads, min_clicks).groupBy("Health_List").agg(
-        F.count("*").alias("Campaigns"), F.sum("Ad_Cost").alias("Spend")
+        F.count("*").alias("Campaigns"), total("Ad_Cost").alias("Spend")
     )
 
 
@@ -209,9 +209,9 @@ def top_provinces(geographic: DataFrame, n: int = 20) -> DataFrame:
 
 
 def province_distribution(geographic: DataFrame) -> DataFrame:
-    total = F.sum("GMV").over(whole_table())
+    everything = F.sum("GMV").over(whole_table())
     return (
-        geographic.withColumn("GMV_Share_Pct", ratio_or_null(F.col("GMV") * 100, total))
+        geographic.withColumn("GMV_Share_Pct", ratio_or_null(F.col("GMV") * 100, everything))
         .filter(F.col("GMV") > 0)
         .select("Province", "Platform", "Orders", "GMV", "Units_Sold", "GMV_Share_Pct")
         .orderBy(F.desc("GMV"), "Province", "Platform")
@@ -223,7 +223,7 @@ def gmv_segments(daily: DataFrame) -> DataFrame:
         daily.groupBy("GMV_Segment")
         .agg(
             F.count("*").alias("Day_Count"),
-            F.sum("GMV").alias("Segment_GMV"),
+            total("GMV").alias("Segment_GMV"),
             F.avg("GMV").alias("Avg_Daily_GMV"),
             F.avg("Orders").alias("Avg_Daily_Orders"),
             F.min("Date").alias("First_Date"),
@@ -247,14 +247,14 @@ def period_comparison(daily: DataFrame, as_of: date | None = None) -> DataFrame:
     current = _since(7)
     previous = _since(14) & ~current
 
-    def total(condition: Column, column: str) -> Column:
-        return F.sum(F.when(condition, F.col(column)))
+    def sum_if(condition: Column, column: str) -> Column:
+        return total(F.when(condition, F.col(column)))
 
     row = _with_as_of(daily, as_of).agg(
-        total(current, "GMV").alias("Current_GMV"),
-        total(previous, "GMV").alias("Previous_GMV"),
-        total(current, "Orders").alias("Current_Orders"),
-        total(previous, "Orders").alias("Previous_Orders"),
+        sum_if(current, "GMV").alias("Current_GMV"),
+        sum_if(previous, "GMV").alias("Previous_GMV"),
+        sum_if(current, "Orders").alias("Current_Orders"),
+        sum_if(previous, "Orders").alias("Previous_Orders"),
         F.avg(F.when(current, F.col("AOV"))).alias("Current_AOV"),
         F.avg(F.when(previous, F.col("AOV"))).alias("Previous_AOV"),
     )
