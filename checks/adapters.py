@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tradewind.functions.numbers import total
 from tradewind.operators.channels import keep_statuses, with_totals
@@ -14,8 +15,15 @@ KEYWORD = "ring"
 MONEY = "decimal(18,4)"  # only for the few values that are written as text
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A benchmark table; its schema is read from the files once per process."""
+    path = f"{folder}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def order_lines(spark: SparkSession, folder: str, *needs: str, valid: bool = True) -> DataFrame:

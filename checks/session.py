@@ -7,7 +7,7 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-from tradewind.session import configure
+from tradewind.session import BUILD_SETTINGS, configure
 
 
 def local_session(cores: str | int | None = None, memory: str = "8g") -> SparkSession:
@@ -22,6 +22,8 @@ def local_session(cores: str | int | None = None, memory: str = "8g") -> SparkSe
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-"))
     )
+    for key, value in BUILD_SETTINGS.items():
+        builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return configure(spark)

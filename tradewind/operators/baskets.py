@@ -12,16 +12,21 @@ Only the codes of frequent itemsets, 8 bytes each, pass through the driver.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewind.functions.numbers import total
 from tradewind.session import stage
 
+# The functions run by tasks travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Itemsets of the previous level a task holds at a time; more are counted in several passes.
 PREFIXES_PER_PASS = 4_000_000
 # Occurrences a task keeps before it merges them into counts, and cells of one block of baskets.
@@ -42,8 +47,8 @@ def order_count(items: DataFrame) -> DataFrame:
     return items.agg(F.count_distinct("Order_ID").alias("n"))
 
 
-def item_support(items: DataFrame, min_support: float = 0.01) -> DataFrame:
-    orders = order_count(items).scalar()
+def item_support(items: DataFrame, min_support: float = 0.01, orders: int | None = None) -> DataFrame:
+    orders = order_count(items).scalar() if orders is None else F.lit(orders)
     counts = items.filter("Bought").groupBy("Product").agg(F.count("*").alias("Orders"))
     return counts.withColumn("Support", F.col("Orders") / orders).filter(F.col("Support") >= min_support)
 
@@ -178,7 +183,7 @@ def frequent_itemsets(items: DataFrame, min_support: float = 0.005, max_length:
     items = stage(items, "basket-items")
     orders = order_count(items).first()["n"]
     frequent = stage(
-        item_support(items, min_support).withColumn(
+        item_support(items, min_support, orders).withColumn(
             "Code", F.row_number().over(Window.orderBy("Product")).cast("int") - 1
         ),
         "frequent-items",

@@ -50,18 +50,20 @@ def rfm_base(lines: DataFrame, customer: str | None = None, reference=None, by_p
     """Days since the last order, distinct orders and revenue per customer.
 
     ``reference`` defaults to one day after the newest order of the data; the day count is in elapsed
-    days, not calendar days.
+    days, not calendar days. The grouped customers are staged: the newest date and all later steps read
+    them instead of the order lines.
     """
     customer = customer or next(c for c in CUSTOMER_COLUMNS if c in lines.columns)
     known = lines.filter(F.col(customer).isNotNull() & (F.col(customer) != ""))
-    if reference is None:
-        reference = known.agg(F.max("Order_Date") + F.expr("INTERVAL 1 DAY")).first()[0]
     keys = [F.col(customer).alias("Customer_ID")] + ([F.col("Platform")] if by_platform else [])
     grouped = known.groupBy(*keys).agg(
         F.max("Order_Date").alias("Last_Order"),
         F.count_distinct("Order_ID").alias("Frequency"),
         total("Net_Sales").alias("Monetary"),
     )
+    grouped = stage(grouped, "customers")
+    if reference is None:
+        reference = grouped.agg(F.max("Last_Order") + F.expr("INTERVAL 1 DAY")).first()[0]
     recency = F.timestamp_diff("DAY", F.col("Last_Order"), F.lit(reference).cast("timestamp"))
     return grouped.withColumn("Recency", recency).select(
         "Customer_ID", *(["Platform"] if by_platform else []), "Recency", "Frequency", "Monetary"
@@ -78,11 +80,11 @@ def _bins_passed(base: DataFrame, keys: Sequence[str], edges: Sequence) -> Colum
 def rfm_scores(base: DataFrame, bins: int = 5) -> DataFrame:
     """Scores 1 to ``bins``: recency by value quantiles (recent is high), the others by rank.
 
-    Ties of frequency and revenue are ranked in the order of the customer id. The base is staged once;
-    each rank costs one range shuffle of (value, id), and scoring is a comparison with ``bins - 1`` edges.
+    Ties of frequency and revenue are ranked in the order of the customer id. The base should be a stored
+    table (``rfm_base`` gives one): each rank is one pass over (value, id), and scoring compares every row
+    with ``bins - 1`` edges.
     """
     ids = [c for c in ("Customer_ID", "Platform") if c in base.columns]
-    base = stage(base, "customers")
     probabilities = F.array(*[F.lit(s / bins) for s in range(1, bins)])
     # Recency has at most one distinct value per calendar day, so its exact quantiles are a small state.
     stats = base.agg(F.count("*").alias("n"), F.percentile("Recency", probabilities).alias("q")).first()

@@ -104,8 +104,8 @@ def product_totals(lines: DataFrame) -> DataFrame:
 
 def product_medians(products: DataFrame) -> tuple[float, float]:
     """Median GMV and quantity of a staged product table."""
-    rows = products.count()
-    return tuple(exact_quantiles(products, c, [0.5], rows)[0] for c in ("Total_GMV", "Total_Qty"))
+    gmv, quantity = exact_quantiles(products, ["Total_GMV", "Total_Qty"], [0.5], products.count())
+    return gmv[0], quantity[0]
 
 
 def product_master(lines: DataFrame) -> DataFrame:

@@ -17,15 +17,24 @@ from tradewind.session import stage
 SMALL = 1_000_000
 
 
-def at_positions(df: DataFrame, keys: Sequence[str], positions: Iterable[int], weight: str | None = None) -> dict:
+def _in_one_sort(df: DataFrame, keys: Sequence[str], positions: list[int]) -> dict:
+    number = F.row_number().over(Window.orderBy(*keys)) - 1
+    rows = df.select(*keys).withColumn("_at", number).filter(F.col("_at").isin(positions)).collect()
+    return {row["_at"]: tuple(row[k] for k in keys) for row in rows}
+
+
+def at_positions(df: DataFrame, keys: Sequence[str], positions: Iterable[int], weight: str | None = None, rows: int | None = None) -> dict:
     """Key tuples at zero-based ``positions`` of the order by ``keys``.
 
-    ``weight`` names a column with the number of copies a row stands for. Only as many rows as there
-    are positions, and one count per range, reach the driver.
+    ``weight`` names a column with the number of copies a row stands for; ``rows`` is the known row count,
+    with which a small table is simply sorted. Only as many rows as there are positions, and one count per
+    range, reach the driver.
     """
     wanted = sorted(set(positions))
     if not wanted:
         return {}
+    if weight is None and rows is not None and rows <= SMALL:
+        return _in_one_sort(df, keys, wanted)
     copies = F.col(weight) if weight else F.lit(1).cast("bigint")
     ranged = stage(
         df.select(*keys, copies.alias("_copies"))
@@ -63,23 +72,31 @@ def at_positions(df: DataFrame, keys: Sequence[str], positions: Iterable[int], w
     return result
 
 
-def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float], rows: int | None = None) -> list:
-    """Linearly interpolated quantiles of ``column`` as floats; ``rows`` is the known row count."""
-    values = df.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL")
-    total = values.count() if rows is None else rows
-    if total <= SMALL:
-        points = F.percentile("v", F.array(*[F.lit(float(p)) for p in probabilities]))
-        found = values.agg(points.alias("q")).first()["q"]
-        return list(found) if found is not None else [None] * len(probabilities)
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], rows: int) -> list[list]:
+    """Linearly interpolated quantiles of several columns without nulls, as floats per column.
 
-    weighted = values.groupBy("v").agg(F.count("*").alias("n"))  # copies of a hot value collapse here
-    places = [p * (total - 1) for p in probabilities]
-    corners = {int(x) for x in places} | {min(int(x) + 1, total - 1) for x in places}
+    ``df`` should be a stored table with the known row count ``rows``; up to ``SMALL`` rows all columns
+    take one aggregation.
+    """
+    if rows == 0:
+        return [[None] * len(probabilities) for _ in columns]
+    if rows <= SMALL:
+        points = F.array(*[F.lit(float(p)) for p in probabilities])
+        found = df.agg(*[F.percentile(F.col(c).cast("double"), points).alias(c) for c in columns]).first()
+        return [list(found[c]) for c in columns]
+    return [_distributed_quantiles(df, c, probabilities, rows) for c in columns]
+
+
+def _distributed_quantiles(df: DataFrame, column: str, probabilities: Sequence[float], rows: int) -> list:
+    # Copies of a hot value collapse before the rows are put into ranges.
+    weighted = df.groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    places = [p * (rows - 1) for p in probabilities]
+    corners = {int(x) for x in places} | {min(int(x) + 1, rows - 1) for x in places}
     at = at_positions(weighted, ["v"], corners, weight="n")
     result = []
     for place in places:
-        low, high = int(place), min(int(place) + 1, total - 1)
-        if low == high or place == low:
+        low, high = int(place), min(int(place) + 1, rows - 1)
+        if place == low:
             result.append(at[low][0])
         else:
             result.append((high - place) * at[low][0] + (place - low) * at[high][0])
@@ -95,7 +112,7 @@ def rank_first_edges(df: DataFrame, keys: Sequence[str], bins: int, rows: int) -
     if rows == 0:
         return []
     cuts = [s * (rows - 1) // bins for s in range(1, bins)]
-    at = at_positions(df, keys, cuts)
+    at = at_positions(df, keys, cuts, rows=rows)
     return [at[c] for c in cuts]
 
 

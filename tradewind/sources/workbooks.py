@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import io
 import re
+import sys
 import zipfile
 from collections.abc import Iterator, Mapping, Sequence
 from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,9 @@ from tradewind.sources.delimited import pick
 from tradewind.sources.files import listing
 from tradewind.session import stage
 
+# The functions run by tasks travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _ROWS = "File_Path string, Row int, Cells array<string>"
 _ROWS_PER_BATCH = 10_000
 # Number formats of the workbook standard that show a date or a time.
