@@ -28,12 +28,10 @@ DIRECT_COLUMNS = [
 
 def master_tables(lines: DataFrame) -> dict[str, DataFrame]:
     """The tables that only need the unified order lines; the lines should be a stored table."""
-    tables = {
-        "daily_sales": masters.daily_sales(lines),
-        "products": masters.product_master(lines),
-        "geographic": masters.geographic(lines),
-        "daily_geographic": masters.daily_geographic(lines),
-    }
+    tables = {"daily_sales": masters.daily_sales(lines), "products": masters.product_master(lines)}
+    if "Province" in lines.columns:
+        tables["geographic"] = masters.geographic(lines)
+        tables["daily_geographic"] = masters.daily_geographic(lines)
     if any(c in lines.columns for c in customers.CUSTOMER_COLUMNS):
         rfm = stage(customers.customer_rfm(lines), "customer-rfm")
         tables["customer_rfm"] = rfm

@@ -100,7 +100,7 @@ def read_ads_reports(spark: SparkSession, paths: str | Sequence[str], glob: str
         lines.filter((F.col("File_Block") == 0) & is_header)
         .groupBy("File_Path")
         .agg(F.min_by("value", "File_Row").alias("_line"), F.min("File_Row").alias("_at"))
-        .withColumn("_header", F.transform(csv_cells(F.col("_line")), F.trim))
+        .withColumn("_header", F.transform(csv_cells(F.col("_line")), lambda c: F.trim(c)))
         .select("File_Path", "_header", "_at")
     )
     below = (F.col("File_Block") > 0) | (F.col("File_Row") > F.col("_at"))
