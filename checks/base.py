@@ -18,7 +18,8 @@ _SQL_TYPES = {"s": "VARCHAR", "l": "BIGINT", "i": "INTEGER", "d": "DATE", "t": "
 class Check:
     """``columns`` is ``name:kind`` per output column: s, l, i, d, t, b, or f and a number of decimals.
 
-    Doubles are rounded in two steps, so that noise in the last digits cannot turn an exact half up or down.
+    A thousandth of the last digit is added before rounding, so that noise cannot turn an exact half down on
+    one side and up on the other.
     """
 
     name: str
@@ -33,7 +34,7 @@ class Check:
     def _cast(self, name: str, kind: str) -> Column:
         if kind[0] == "f":
             digits = int(kind[1:])
-            return F.round(F.round(F.col(name).cast("double"), digits + 3), digits).alias(name)
+            return F.round(F.col(name).cast("double") + F.lit(float(f"1e-{digits + 3}")), digits).alias(name)
         return F.col(name).cast(_SPARK_TYPES[kind]).alias(name)
 
     def run(self, spark: SparkSession, folder: str) -> DataFrame:
@@ -47,7 +48,7 @@ class Check:
         for name, kind in self._columns():
             if kind[0] == "f":
                 digits = int(kind[1:])
-                parts.append(f'round(round(CAST("{name}" AS DOUBLE), {digits + 3}), {digits}) AS "{name}"')
+                parts.append(f'round(CAST("{name}" AS DOUBLE) + 1e-{digits + 3}, {digits}) AS "{name}"')
             else:
                 parts.append(f'CAST("{name}" AS {_SQL_TYPES[kind]}) AS "{name}"')
         body = f"SELECT {', '.join(parts)} FROM ({self.sql}) AS result"
