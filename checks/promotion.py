@@ -9,6 +9,7 @@ from checks.base import Check
 from tradewind.operators import content as contents
 from tradewind.operators import masters, promotion
 from tradewind.plans import named
+from tradewind.session import stage
 
 _ADS = (ADS_RAW, ADS)
 _CONTENT = (CONTENT,)
@@ -194,7 +195,7 @@ CHECKS = [
     Check(
         "engagement_histogram",
         "Bin:i Bin_Start:f6 Bin_End:f6 Videos:l",
-        lambda s, f: contents.engagement_histogram(content(s, f, "video")),
+        lambda s, f: contents.engagement_histogram(stage(content(s, f, "video"), "videos")),
         """SELECT b AS "Bin", lo + b * w AS "Bin_Start", lo + (b + 1) * w AS "Bin_End", count(*) AS "Videos"
            FROM (SELECT lo, w, least(floor(("Engagement_Rate" - lo) / w), 19) AS b
                  FROM video, (SELECT min("Engagement_Rate") AS lo, (max("Engagement_Rate") - min("Engagement_Rate")) / 20 AS w FROM video))

@@ -48,9 +48,13 @@ def order_count(items: DataFrame) -> DataFrame:
 
 
 def item_support(items: DataFrame, min_support: float = 0.01, orders: int | None = None) -> DataFrame:
-    orders = order_count(items).scalar() if orders is None else F.lit(orders)
+    """Share of the orders each product is in. Without a known order count the items are stored first,
+    because they are read twice."""
+    if orders is None:
+        items = stage(items, "basket-items")
+        orders = order_count(items).first()["n"]
     counts = items.filter("Bought").groupBy("Product").agg(F.count("*").alias("Orders"))
-    return counts.withColumn("Support", F.col("Orders") / orders).filter(F.col("Support") >= min_support)
+    return counts.withColumn("Support", F.col("Orders") / F.lit(orders)).filter(F.col("Support") >= min_support)
 
 
 def _found(level: np.ndarray, keys: np.ndarray):

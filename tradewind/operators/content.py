@@ -97,7 +97,8 @@ def daily_trend(content: DataFrame, values: Sequence[str] = ("GMV", "Orders", "V
 def engagement_histogram(video: DataFrame, bins: int = 20) -> DataFrame:
     """Number of videos in equal-width bins of the engagement rate between its minimum and maximum.
 
-    The limits are one row and come as a scalar subquery; the maximum itself belongs to the last bin.
+    The limits are one row and come as a scalar subquery; the maximum itself belongs to the last bin. The
+    videos are read twice, so they should be a stored table.
     """
     value = F.col("Engagement_Rate")
     limits = video.agg(F.struct(F.min(value).alias("low"), F.max(value).alias("high")).alias("limits"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tradewind.operators import channels, customers, masters
 from tradewind.operators.versions import newest
-from tradewind.plans.sinks import read_table, write_tables
+from tradewind.plans.sinks import read_table, write_table, write_tables
 from tradewind.session import stage
 from tradewind.sources import files
 from tradewind.sources.delimited import read_csv
@@ -21,13 +21,13 @@ LINE_COLUMNS = [
     "Net_Sales", "True_Net_Revenue", "Total_Fees", "Total_Discount", "Commission", "Transaction_Fee",
     "Service_Fee", "Platform", "Province", "Buyer_Username",
 ]
-DIRECT_COLUMNS = [
-    "Order_ID", "Order_Date", "Product_Name", "Customer_Type", "Quantity", "Net_Sales", "VAT", "Total_Amount", "Platform",
-]
+# What direct sales have in addition.
+DIRECT_COLUMNS = ["Customer_Type", "Sales_Channel", "VAT", "Total_Amount"]
+CHANNEL_TABLES = {"marketplace": "orders_raw", "social": "social_orders", "direct": "direct_orders"}
 
 
 def master_tables(lines: DataFrame) -> dict[str, DataFrame]:
-    """The tables that only need the unified order lines; the lines should be a stored table."""
+    """The tables that only need the unified order lines; the lines should be stored tables."""
     tables = {"daily_sales": masters.daily_sales(lines), "products": masters.product_master(lines)}
     if "Province" in lines.columns:
         tables["geographic"] = masters.geographic(lines)
@@ -43,24 +43,25 @@ def full_refresh(sources: Mapping[str, DataFrame], folder: str) -> list[str]:
     """Build and store every table the given cleaned sources allow; returns the table names.
 
     Sources: ``marketplace``, ``social``, ``direct`` (order lines), ``ads``, ``live``, ``video``,
-    ``social_live``, ``social_video``. The unified lines are written once and read by six tables.
+    ``social_live``, ``social_video``. The cleaned lines of each channel are stored first and in full; the
+    master tables are built from the stored columns, so no export is parsed twice.
     """
-    orders = [sources[c] for c in ("marketplace", "social", "direct") if c in sources]
+    stored: dict[str, DataFrame] = {}
+    for channel, name in CHANNEL_TABLES.items():
+        if channel in sources:
+            source = sources[channel]
+            write_table(channels.key_columns(source, LINE_COLUMNS + DIRECT_COLUMNS), folder, name)
+            stored[name] = read_table(source.sparkSession, folder, name)
     tables: dict[str, DataFrame] = {}
-    if orders:
-        lines = stage(channels.key_columns(channels.unify(*orders), LINE_COLUMNS), "order-lines")
-        tables.update(master_tables(lines))
-    for source, name in (("marketplace", "orders_raw"), ("social", "social_orders")):
-        if source in sources:
-            tables[name] = channels.key_columns(sources[source])
-    if "direct" in sources:
-        tables["direct_orders"] = channels.key_columns(sources["direct"], DIRECT_COLUMNS)
+    if stored:
+        parts = [channels.key_columns(df, LINE_COLUMNS) for df in stored.values()]
+        tables.update(master_tables(channels.unify(*parts)))
     if "ads" in sources:
         tables["ads_performance"] = masters.ads_master(sources["ads"])
     reports = {"live": "combined_live", "video": "combined_video", "social_live": "social_live", "social_video": "social_video"}
     tables.update({name: sources[source] for source, name in reports.items() if source in sources})
     write_tables(tables, folder)
-    return list(tables)
+    return [*stored, *tables]
 
 
 def stored_tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
@@ -168,5 +169,5 @@ class OrderStore:
     def refresh(self, exports: str, tables_folder: str, others: Mapping[str, DataFrame] | None = None) -> list[str]:
         """Ingest, then rebuild the tables from the merged rows; invalid statuses are dropped after merging."""
         self.ingest(exports)
-        social = stage(channels.clean_social_orders(self.current()), "social-orders")
+        social = channels.clean_social_orders(self.current())
         return full_refresh({**(others or {}), "social": social}, tables_folder)

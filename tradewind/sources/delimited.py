@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tradewind.functions import parsing
 from tradewind.functions.numbers import first_match
 from tradewind.sources import layouts
-from tradewind.sources.files import decoded, literal_path
+from tradewind.sources.files import decoded, first_lines, listing, literal_path
 
 # Columns every reader adds: the file, and what is needed to put rows in the order they were written.
 FILE_COLUMNS = ["File_Source", "File_Modified", "File_Block", "File_Row"]
@@ -43,13 +43,12 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], glob: str = "*.csv
     Files may have their columns in different order. Files with the same header line are read together
     with an explicit schema; there are as many reads as there are different header lines.
     """
-    first = _lines(spark, paths, glob).filter(F.col("File_Block") == 0).groupBy("File_Path")
-    headers = first.agg(F.min_by("value", "File_Row").alias("header")).collect()  # one row per file
+    found = [row["path"] for row in listing(spark, paths, glob).select("path").collect()]
     groups: dict[tuple, list[str]] = defaultdict(list)
-    for row in headers:
-        names = next(csv.reader([row["header"].lstrip("﻿")]), [])
+    for path, header in first_lines(spark, found).items():
+        names = next(csv.reader([(header or "").lstrip("\ufeff")]), [])
         if names:
-            groups[tuple(n.strip() for n in names)].append(literal_path(row["File_Path"]))
+            groups[tuple(n.strip() for n in names)].append(literal_path(path))
     if not groups:
         raise FileNotFoundError(f"no CSV file with a header in {paths}")
     result = None
@@ -94,7 +93,7 @@ def read_ads_reports(spark: SparkSession, paths: str | Sequence[str], glob: str
     block; every line of a later block is data.
     """
     start = layouts.ADS_HEADER_START
-    lines = _lines(spark, paths, glob).withColumn("value", F.regexp_replace("value", "^﻿|\r$", ""))
+    lines = _lines(spark, paths, glob).withColumn("value", F.regexp_replace("value", "^\ufeff|\r$", ""))
     is_header = F.startswith("value", F.lit(start)) | F.contains("value", F.lit(start + ","))
     headers = (
         lines.filter((F.col("File_Block") == 0) & is_header)
@@ -149,7 +148,7 @@ def read_overview_reports(spark: SparkSession, paths: str | Sequence[str], rules
     text = (
         spark.read.option("pathGlobFilter", glob).option("ignoreCorruptFiles", "true").text(paths, wholetext=True)
     )
-    lines = F.filter(F.split(F.regexp_replace("value", "^﻿", ""), "\r?\n"), lambda x: F.trim(x) != "")
+    lines = F.filter(F.split(F.regexp_replace("value", "^\ufeff", ""), "\r?\n"), lambda x: F.trim(x) != "")
     path = F.split(decoded("_metadata.file_path"), "/")
     reports = (
         text.select(

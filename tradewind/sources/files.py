@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +25,33 @@ def literal_path(path: str) -> str:
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
-def listing(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
+def first_lines(spark: SparkSession, paths: Sequence[str]) -> dict[str, str | None]:
+    """First line of every file, without reading any further.
+
+    The driver opens the files, which it lists for every scan anyway; a scan for the first lines would read
+    all of the data once more. A file that cannot be opened or has no line gives None.
+    """
+    context = spark.sparkContext
+    jvm, configuration = context._jvm, context._jsc.hadoopConfiguration()
+
+    def first_line(path: str) -> str | None:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        try:
+            stream = where.getFileSystem(configuration).open(where)
+        except Py4JJavaError:
+            return None
+        try:
+            return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
+        finally:
+            stream.close()
+
+    with ThreadPoolExecutor(16) as pool:
+        return dict(zip(paths, pool.map(first_line, paths)))
+
+
+def listing(spark: SparkSession, folder: str | Sequence[str], glob: str = "*") -> DataFrame:
     """Files of a folder with size and time, without reading their content."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder if isinstance(folder, str) else list(folder))
     name = F.element_at(F.split("path", "/"), -1)
     return (
         files.select("path", name.alias("Name"), F.col("modificationTime").alias("Modified"), F.col("length").alias("Size"))
