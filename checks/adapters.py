@@ -222,16 +222,17 @@ ads_master AS (
 
 
 def content(spark: SparkSession, folder: str, kind: str | None = None) -> DataFrame:
-    """Sessions and videos: one row per user and day; even users stream live, odd users post videos."""
+    """Sessions and videos: one row per user, day and kind; the kind comes from the event's properties."""
     events = table(spark, folder, "events")
-    kind_of = F.when(F.col("user_id") % 2 == 0, "live").otherwise("video")
+    live = F.coalesce(F.get_json_object("props", "$.k").cast("int") < 50, F.lit(False))
+    events = events.withColumn("Content_Kind", F.when(live, "live").otherwise("video"))
     if kind:
-        events = events.filter(kind_of == kind)
+        events = events.filter(F.col("Content_Kind") == kind)
 
     def number(event: str):
         return F.count_if(F.col("event_type") == event)
 
-    grouped = events.groupBy("user_id", F.to_date("ts").alias("Report_Date")).agg(
+    grouped = events.groupBy("user_id", F.to_date("ts").alias("Report_Date"), "Content_Kind").agg(
         total(F.when(F.col("event_type") == "purchase", F.col("value"))).alias("GMV"),
         number("purchase").alias("Orders"),
         (number("view") * 10).alias("Views"),
@@ -244,7 +245,6 @@ def content(spark: SparkSession, folder: str, kind: str | None = None) -> DataFr
         {
             "Creator": F.concat(F.lit("creator_"), F.col("user_id")),
             "Platform": F.when(F.col("user_id") % 4 < 2, "marketplace").otherwise("social"),
-            "Content_Kind": kind_of,
             "Engagement_Rate": engagement_rate(),
         }
     )
@@ -253,13 +253,13 @@ def content(spark: SparkSession, folder: str, kind: str | None = None) -> DataFr
 CONTENT = """content AS (
   SELECT user_id, 'creator_' || user_id AS "Creator", CAST(ts AS DATE) AS "Report_Date",
     CASE WHEN user_id % 4 < 2 THEN 'marketplace' ELSE 'social' END AS "Platform",
-    CASE WHEN user_id % 2 = 0 THEN 'live' ELSE 'video' END AS "Content_Kind",
+    CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) < 50 THEN 'live' ELSE 'video' END AS "Content_Kind",
     coalesce(sum(CAST(value AS DECIMAL(18,4))) FILTER (event_type = 'purchase'), 0) AS "GMV",
     count(*) FILTER (event_type = 'purchase') AS "Orders",
     count(*) FILTER (event_type = 'view') * 10 AS "Views", count(*) FILTER (event_type = 'view') * 10 AS "Viewers",
     count(*) FILTER (event_type = 'click') AS "Likes", count(*) FILTER (event_type = 'signup') AS "Comments",
     count(*) FILTER (event_type = 'error') AS "Shares",
     CASE WHEN "Views" > 0 THEN ("Likes" + "Comments" + "Shares") / "Views" ELSE 0 END AS "Engagement_Rate"
-  FROM events GROUP BY user_id, CAST(ts AS DATE)),
+  FROM events GROUP BY user_id, CAST(ts AS DATE), "Content_Kind"),
 live AS (SELECT * FROM content WHERE "Content_Kind" = 'live'),
 video AS (SELECT * FROM content WHERE "Content_Kind" = 'video')"""

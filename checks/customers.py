@@ -118,7 +118,7 @@ _RULES_WITH = (*_SETS_WITH, _RULE_SQL)
 
 def _versions(spark, folder):
     return table(spark, folder, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice"
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_linestatus"
     )
 
 
@@ -232,7 +232,7 @@ CHECKS = [
         "upsert_orders",
         _VERSION,
         lambda s, f: versions.upsert(
-            _versions(s, f).filter("l_partkey % 2 = 0"), _versions(s, f).filter("l_partkey % 2 = 1"), ["l_orderkey"], _NEWEST
+            _versions(s, f).filter("l_linestatus = 'F'"), _versions(s, f).filter("l_linestatus <> 'F'"), ["l_orderkey"], _NEWEST
         ),
         _NEWEST_SQL,
     ),

@@ -27,8 +27,8 @@ def test_no_python_and_no_nested_loops(spark, name):
 
 def test_filters_and_columns_reach_the_scan(spark):
     plan = _plan(spark, "period_filter")
-    assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(o_orderdate", plan)
-    assert re.search(r"PushedFilters: \[[^\]]*In\(o_orderstatus", plan)
+    assert re.search(r"PushedFilters: .*GreaterThanOrEqual\(o_orderdate", plan)
+    assert re.search(r"PushedFilters: .*In\(o_orderstatus", plan)
     assert "l_tax" not in plan and "o_custkey" not in plan
 
 
