@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.llm import secret_ownership, trie_bpe
+from tradewind.llm import jaccard_join, secret_ownership, trie_bpe
 from tradewind.llm.common import read_table
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -41,5 +41,10 @@ def op5_trie_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_ownership, op5_trie_bpe)}
+def op7_adaptive_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    found = jaccard_join.similar_documents(read_table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op2_secret_ownership, op5_trie_bpe, op7_adaptive_jaccard)}
 SQL: dict[str, str] = {}
