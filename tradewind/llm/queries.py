@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.llm import jaccard_join, secret_ownership, trie_bpe
+from tradewind.llm import jaccard_join, language_id, line_blocks, secret_ownership, trie_bpe
 from tradewind.llm.common import read_table
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -46,5 +46,14 @@ def op7_adaptive_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_ownership, op5_trie_bpe, op7_adaptive_jaccard)}
+def op9_line_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return line_blocks.extract(read_table(spark, folder, "pages"))
+
+
+def op10_language_fusion(spark: SparkSession, folder: str) -> DataFrame:
+    found = language_id.identify(read_table(spark, folder, "documents"), declared=F.col("lang"), host=F.col("source"))
+    return found.select(F.col("id").alias("doc_id"), "declared", "language", "by_text", "probability", "accepted")
+
+
+QUERIES = {f.__name__: f for f in (op2_secret_ownership, op5_trie_bpe, op7_adaptive_jaccard, op9_line_blocks, op10_language_fusion)}
 SQL: dict[str, str] = {}
