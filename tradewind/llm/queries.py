@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.llm import jaccard_join, language_id, line_blocks, secret_ownership, trie_bpe
+from tradewind.llm import decontaminate, jaccard_join, language_id, line_blocks, secret_ownership, trie_bpe
 from tradewind.llm.common import read_table
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -41,6 +41,11 @@ def op5_trie_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_qgram_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contaminated(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "item_id", "segments", "edits")
+
+
 def op7_adaptive_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     found = jaccard_join.similar_documents(read_table(spark, folder, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
@@ -55,5 +60,5 @@ def op10_language_fusion(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "declared", "language", "by_text", "probability", "accepted")
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_ownership, op5_trie_bpe, op7_adaptive_jaccard, op9_line_blocks, op10_language_fusion)}
+QUERIES = {f.__name__: f for f in (op2_secret_ownership, op5_trie_bpe, op6_qgram_decontamination, op7_adaptive_jaccard, op9_line_blocks, op10_language_fusion)}
 SQL: dict[str, str] = {}
