@@ -7,12 +7,17 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.llm import decontaminate, jaccard_join, language_id, line_blocks, secret_ownership, trie_bpe
+from tradewind.llm import decontaminate, forest_neighbours, jaccard_join, language_id, line_blocks, secret_ownership, trie_bpe
 from tradewind.llm.common import read_table
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
 
+def op1_forest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    found = forest_neighbours.nearest(read_table(spark, folder, "embeddings"), F.col("id") % 50 == 0)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+
+
 def op2_secret_ownership(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
     found = secret_ownership.audit(docs, owner_col="source", repository_col=F.concat_ws("/", "source", "lang"))
@@ -60,5 +65,5 @@ def op10_language_fusion(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "declared", "language", "by_text", "probability", "accepted")
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_ownership, op5_trie_bpe, op6_qgram_decontamination, op7_adaptive_jaccard, op9_line_blocks, op10_language_fusion)}
+QUERIES = {f.__name__: f for f in (op1_forest_neighbours, op2_secret_ownership, op5_trie_bpe, op6_qgram_decontamination, op7_adaptive_jaccard, op9_line_blocks, op10_language_fusion)}
 SQL: dict[str, str] = {}
