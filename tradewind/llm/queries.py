@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.llm import decontaminate, forest_neighbours, jaccard_join, language_id, line_blocks, secret_ownership, trie_bpe
+from tradewind.llm import decontaminate, forest_neighbours, jaccard_join, language_id, line_blocks, secret_ownership, surrogates, trie_bpe
 from tradewind.llm.common import read_table
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -38,6 +38,11 @@ def op2_secret_ownership(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    return surrogates.replace_entities(docs, os.environ.get("SURROGATE_KEY", "a key for tests"))
+
+
 def op5_trie_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return trie_bpe.encode(
         read_table(spark, folder, "documents"),
@@ -65,5 +70,5 @@ def op10_language_fusion(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "declared", "language", "by_text", "probability", "accepted")
 
 
-QUERIES = {f.__name__: f for f in (op1_forest_neighbours, op2_secret_ownership, op5_trie_bpe, op6_qgram_decontamination, op7_adaptive_jaccard, op9_line_blocks, op10_language_fusion)}
+QUERIES = {f.__name__: f for f in (op1_forest_neighbours, op2_secret_ownership, op4_surrogates, op5_trie_bpe, op6_qgram_decontamination, op7_adaptive_jaccard, op9_line_blocks, op10_language_fusion)}
 SQL: dict[str, str] = {}
