@@ -48,6 +48,8 @@ MOST_MATCHES, VERIFY_COST = 8, 8.0
 SPLIT_AT, LISTS = 20_000, 16
 # Rounds with leaders before the rest is listed, and the number of pairs per posting that counts as few.
 LEADER_ROUNDS, FEW_PAIRS = 4, 8
+# Documents whose ids are sent to all tasks to pick their texts; 8 bytes each.
+BROADCAST_IDS = 500_000
 _ROWS = 200_000
 
 
@@ -283,11 +285,8 @@ def similar_documents(
     leaders = lists.filter("list > 0 AND sid = lead").select("token", "sid", F.col("info").alias("sid_info")).distinct()
     heads = leaders.groupBy("token").agg(F.min(F.struct("sid", "sid_info")).alias("lead"))
     among = leaders.join(heads, "token").filter("sid <> lead.sid").select("sid", "sid_info", F.col("lead.sid").alias("lead"), F.col("lead.sid_info").alias("lead_info"))
-    pairs = stage(_candidates(own.unionByName(among).select(*_ordered("lead", "sid")), percent), "pairs")
-
-    sets = _sets_of(lists.select("sid").distinct(), docs, texts, words)
-    checked = stage(_verified(pairs, sets, percent), "checked")
-    known = [checked]
+    pairs = _candidates(own.unionByName(among).select(*_ordered("lead", "sid")), percent)
+    known = [_check(pairs, docs, texts, words, percent)]
     for round_ in range(1, LEADER_ROUNDS + 2):
         roots = connected(_union(known).filter("alike").select("a", "b"))
         nodes = lists.select("token", "sid", "info").distinct().join(roots.withColumnRenamed("node", "sid"), "sid", "left")
@@ -303,8 +302,7 @@ def similar_documents(
         last = round_ > LEADER_ROUNDS or size[1] <= FEW_PAIRS * size[0]
         pairs = _open_pairs(open_, None if last else round_)
         pairs = _candidates(pairs, percent).join(_union(known).select("a", "b"), ["a", "b"], "left_anti")
-        checked = stage(_verified(stage(pairs, "pairs"), sets, percent), "checked")
-        known.append(checked)
+        known.append(_check(pairs, docs, texts, words, percent))
         if last:
             roots = connected(_union(known).filter("alike").select("a", "b"))
             break
@@ -339,11 +337,16 @@ def _open_pairs(open_: DataFrame, round_: int | None) -> DataFrame:
     return pairs.select(*_ordered("x", "y"))
 
 
-def _sets_of(sids: DataFrame, docs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """The shingle sets of the given nodes, from one document each; other texts are not read into sets."""
-    chosen = docs.join(sids, "sid", "left_semi").groupBy("sid").agg(F.min("id").alias("id"))
-    chosen = stage(chosen, "chosen")
-    ids = chosen.select("id").distinct()
-    rows = texts.join(ids.withColumnRenamed("id", "chosen_id"), F.col("id").eqNullSafe(F.col("chosen_id")), "left_semi")
+def _check(pairs: DataFrame, docs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Verify the candidates on the sets of their documents; no other text is turned into a set again."""
+    pairs = stage(pairs, "pairs")
+    sids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    chosen = stage(docs.join(sids, "sid", "left_semi").groupBy("sid").agg(F.min("id").alias("id")), "chosen")
+    ids = chosen.select(F.col("id").alias("chosen_id")).distinct()
+    # Ids of a checked number (8 bytes each) go to all tasks, and the texts are not shuffled; more are joined.
+    if chosen.count() <= BROADCAST_IDS and dict(ids.dtypes)["chosen_id"] in ("bigint", "int"):
+        ids = F.broadcast(ids)
+    rows = texts.join(ids, F.col("id").eqNullSafe(F.col("chosen_id")), "left_semi")
     made = rows.select("text").mapInArrow(_sets(words), "sid long, hashes array<long>")
-    return stage(made.join(chosen.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]), "sets")
+    sets = stage(made.join(chosen.select("sid"), "sid", "left_semi"), "sets").dropDuplicates(["sid"])
+    return stage(_verified(pairs, sets, percent), "checked")
