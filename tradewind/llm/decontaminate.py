@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.llm.common import pick
+from tradewind.session import stage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -231,6 +232,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 def without_passages(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` without the rows whose text holds a benchmark passage; clean rows stay, with all columns."""
     found = find_passages(df, benchmark, id_col, text_col).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    found = stage(found, "passages")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash"))
     return df.join(found, same, "left_anti")

@@ -261,7 +261,8 @@ def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def similar_documents(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75
 ) -> DataFrame:
-    """Per row: ``id``, ``text_hash``, ``n_shingles`` and ``component_id``, the smallest id reachable by links.
+    """Per row: ``id``, ``text_hash``, ``n_shingles``, ``component_id``, the smallest id reachable by links, and ``first``,
+    whether the row is the first of its component (rows that are equal are first together).
 
     Two documents are linked if ``100 * shared >= percent * united`` for their sets of shingles of ``words`` words.
     """
@@ -307,13 +308,34 @@ def similar_documents(
             roots = connected(_union(known).filter("alike").select("a", "b"))
             break
 
-    # The smallest id of each set, of each component, and back.
-    by_set = docs.filter("n > 0").groupBy("sid").agg(F.min("id").alias("least"))
+    # The first document of each set, of each component, and back; documents without an id come last.
+    this = F.struct(F.col("id").isNull().alias("unknown"), F.col("id").alias("id"), F.col("text_hash").alias("text_hash"))
+    by_set = docs.filter("n > 0").groupBy("sid").agg(F.min(this).alias("first"))
     by_set = by_set.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    by_root = by_set.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_set = by_set.join(by_root, "root").select("sid", "component_id")
+    by_root = by_set.groupBy("root").agg(F.min("first").alias("first"))
+    of_set = by_set.select("sid", "root").join(by_root, "root").select("sid", "first")
     found = docs.join(of_set, "sid", "left")
-    return found.select("id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    return found.select(
+        "id", "text_hash", F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("first.id")).otherwise(F.col("id")).alias("component_id"),
+        ((F.col("n") == 0) | (this == F.col("first"))).alias("first"),
+    )
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``df`` with one document of each component, the one with the smallest id (and hash of its text); documents
+    without shingles stay. All columns stay."""
+    found = stage(similar_documents(df, id_col, text_col, **options), "components")
+    id_, hash_ = F.col(f"`{id_col}`"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    same = id_.eqNullSafe(F.col("__id")) & (hash_ == F.col("__hash"))
+    keys = [F.col("id").alias("__id"), F.col("text_hash").alias("__hash")]
+    others = stage(found.filter("NOT first").select(*keys).distinct(), "other-copies")
+    kept = df.join(others, same, "left_anti")
+    repeated = found.filter("first AND n_shingles > 0").groupBy(*keys).count().filter("count > 1").drop("count")
+    repeated = stage(repeated, "repeated-rows")
+    if repeated.isEmpty():
+        return kept
+    return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

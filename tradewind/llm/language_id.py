@@ -177,7 +177,7 @@ def identify(
     label_col: str = "lang",
     least_probability: float = 0.5,
 ) -> DataFrame:
-    """Per row: ``id``, ``text_hash``, ``declared``, ``language``, ``probability``, ``by_text`` (the language by the text
+    """Per row: ``id``, ``text_hash``, ``declared``, ``host``, ``language``, ``probability``, ``by_text`` (the language by the text
     alone) and ``accepted``.
 
     ``suffix`` is what the address says about the language, ``host`` the host; dots separate parent domains. Without a
@@ -226,7 +226,7 @@ def identify(
     names = F.array(*map(F.lit, languages))
     random = float(np.log(1 / (BUCKETS - 1)))
     found = joined.select(
-        "id", "text_hash", "declared",
+        "id", "text_hash", "declared", "host",
         F.get(names, _best(F.col("logs"))).alias("language"),
         F.round(1 / total, 6).alias("probability"),
         F.get(names, F.col("by_text")).alias("by_text"),
@@ -235,3 +235,24 @@ def identify(
     )
     accepted = F.col("letters") & F.col("fits") & (F.col("probability") >= least_probability)
     return found.withColumn("accepted", accepted).drop("letters", "fits")
+
+
+def accepted_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str = "source", **options) -> DataFrame:
+    """``df`` without the rejected documents, with the language found in ``declared_col``; all other columns stay.
+
+    Only decisions that change something are joined with the documents."""
+    columns = {"declared": F.col(f"`{declared_col}`"), "host": F.col(f"`{host_col}`")}
+    found = identify(df, id_col, text_col, label_col=declared_col, **columns, **options)
+    changes = found.filter("NOT accepted OR language <> declared").select(
+        F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("declared").alias("__declared"), F.col("host").alias("__host"),
+        F.col("language").alias("__language"), F.col("accepted").alias("__accepted"),
+    ).distinct()
+    changes = stage(changes, "language-changes")
+    same = (
+        F.col(f"`{id_col}`").eqNullSafe(F.col("__id"))
+        & (F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))) == F.col("__hash"))
+        & (F.coalesce(columns["declared"].cast("string"), F.lit("")) == F.col("__declared"))
+        & (F.coalesce(columns["host"].cast("string"), F.lit("")) == F.col("__host"))
+    )
+    joined = df.join(changes, same, "left").filter("__accepted IS NULL OR __accepted")
+    return joined.select(*[F.coalesce("__language", F.col(f"`{c}`")).alias(c) if c == declared_col else F.col(f"`{c}`") for c in df.columns])

@@ -23,6 +23,7 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import cloudpickle
@@ -175,14 +176,25 @@ class WordSplitter:
 
 
 _KINDS = {
-    "n_tokens": (T.LongType(), pa.int64()),
-    "ids": (T.ArrayType(T.IntegerType()), pa.list_(pa.int32())),
-    "decoded": (T.StringType(), pa.string()),
-    "ids_sha256": (T.StringType(), pa.string()),
-    "decoded_sha256": (T.StringType(), pa.string()),
+    "n_tokens": T.LongType(),
+    "ids": T.ArrayType(T.IntegerType()),
+    "decoded": T.StringType(),
+    "ids_sha256": T.StringType(),
+    "decoded_sha256": T.StringType(),
 }
 
 
+def _column(kind: str, coded: list[bytes], decoded: list[bytes]) -> pa.Array:
+    if kind == "n_tokens":
+        return pa.array([len(c) // 4 for c in coded], pa.int64())
+    if kind == "ids":
+        ends = np.cumsum([0, *[len(c) // 4 for c in coded]]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), "<i4")))
+    if kind == "decoded":
+        return pa.array([d.decode() for d in decoded], pa.string())
+    return pa.array([hashlib.sha256(c).hexdigest() for c in (coded if kind == "ids_sha256" else decoded)], pa.string())
+
+
 def encode(
     df: DataFrame,
     vocabulary: str,
@@ -199,7 +211,7 @@ def encode(
         content = df.sparkSession.sparkContext.broadcast(file.read())
     rows = pick(df, **{"key": id_col, "text": text_col})
     key_type = rows.schema["key"].dataType
-    schema = T.StructType([T.StructField(id_col, key_type)] + [T.StructField(c, _KINDS[c][0]) for c in columns])
+    schema = T.StructType([T.StructField(id_col, key_type)] + [T.StructField(c, _KINDS[c]) for c in columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = Vocabulary(content.value)
@@ -215,21 +227,15 @@ def encode(
             for word, ids in vocab.encode_words(by_bytes):
                 coded = b"".join(i.to_bytes(4, "little") for i in ids)
                 known[by_bytes[word]] = coded, vocab.decode(ids).encode()
-            found: dict[str, list] = {c: [] for c in columns}
+            coded, decoded = [], []
             for pieces in texts:
                 parts = []
                 for p in pieces:
                     parts += [special[p]] if isinstance(p, str) else map(known.__getitem__, p)
-                coded = b"".join([p[0] for p in parts])
-                decoded = b" ".join([p[1] for p in parts]) if {"decoded", "decoded_sha256"} & set(columns) else b""
-                for c in columns:
-                    found[c].append(
-                        len(coded) // 4 if c == "n_tokens"
-                        else memoryview(coded).cast("i").tolist() if c == "ids"
-                        else decoded.decode() if c == "decoded"
-                        else hashlib.sha256(coded if c == "ids_sha256" else decoded).hexdigest()
-                    )
-            arrays = [batch.column("key"), *[pa.array(found[c], _KINDS[c][1]) for c in columns]]
+                coded.append(b"".join([p[0] for p in parts]))
+                if {"decoded", "decoded_sha256"} & set(columns):
+                    decoded.append(b" ".join([p[1] for p in parts]))
+            arrays = [batch.column("key"), *[_column(c, coded, decoded) for c in columns]]
             yield pa.RecordBatch.from_arrays(arrays, names=[id_col, *columns])
 
     return rows.mapInArrow(run, schema)
