@@ -67,12 +67,18 @@ def _table_files(spark, folder):
     return files.listing(spark, folder, "*.parquet").select("Name", "Signature", "Size", "path")
 
 
+TABLES = (
+    "benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders",
+    "pages", "part", "region", "supplier",
+)
+
+
 def _manifest(spark, folder):
     """All table files are new at first; none is after they are in the manifest."""
     found = _table_files(spark, folder)
     empty = spark.createDataFrame([], files.MANIFEST_SCHEMA)
     new = files.unprocessed(found, empty, "tables")
-    counts = refresh.table_sizes({n: table(spark, folder, n) for n in ("customer", "events", "lineitem", "orders", "part")})
+    counts = refresh.table_sizes({n: table(spark, folder, n) for n in TABLES})
     records = counts.select(F.concat("Table_Name", F.lit(".parquet")).alias("Name"), F.col("Rows").alias("Records"))
     manifest = files.latest_manifest(files.manifest_entries(new, records, "tables"))
     left = files.unprocessed(found, manifest, "tables").agg(F.count("*")).scalar()

@@ -32,11 +32,19 @@ def _overview(spark, folder, kind):
         F.sum("Orders").cast("double").alias(f"{prefix}Orders_Confirmed"),
         F.sum("Viewers").cast("double").alias("Total_Viewers"),
         F.max("Viewers").cast("double").alias("Peak_Concurrent_Users"),
+        *([] if kind == "live" else [F.sum(c).cast("double").alias(f"Total_{c}") for c in ("Views", "Likes", "Comments", "Shares")]),
     )
     gpm = F.col(f"{prefix}Sales_Confirmed") * 1000 / F.nullif(F.col("Total_Viewers"), F.lit(0.0))
     return reports.withColumn(f"{prefix}GPM_Confirmed", gpm)
 
 
+def _all_channels(spark, folder, kind):
+    """The other channels' rows as they are, the marketplace's as overview reports."""
+    others = content(spark, folder, kind).filter(F.col("Platform") != "marketplace")
+    reports = _overview(spark, folder, kind).withColumn("Platform", F.lit("marketplace"))
+    return others.unionByName(reports, allowMissingColumns=True)
+
+
 def _overview_sql(kind: str, label: str, peak: str) -> str:
     return f"""SELECT "Report_Date", '{label}' AS "Content_Type", CAST(sum("GMV") AS DOUBLE) AS "Sales", sum("Orders") AS "Orders",
       sum("Viewers") AS "Viewers", {peak} AS "PCU", CAST(sum("GMV") AS DOUBLE) * 1000 / nullif(sum("Viewers"), 0) AS "GPM"
@@ -123,29 +131,36 @@ CHECKS = [
         "content_platform_metrics",
         "Platform:s live_gmv:f4 live_orders:l live_viewers:l live_likes:l live_sessions:l video_gmv:f4 video_orders:l video_views:l "
         "video_count:l total_gmv:f4 total_orders:l",
-        lambda s, f: contents.platform_metrics(content(s, f, "live"), content(s, f, "video")),
+        lambda s, f: contents.platform_metrics(_all_channels(s, f, "live"), _all_channels(s, f, "video")),
         """SELECT "Platform", coalesce(sum("GMV") FILTER (k = 'live'), 0) AS live_gmv, coalesce(sum("Orders") FILTER (k = 'live'), 0) AS live_orders,
-             coalesce(sum("Viewers") FILTER (k = 'live'), 0) AS live_viewers, coalesce(sum("Likes") FILTER (k = 'live'), 0) AS live_likes,
-             count(*) FILTER (k = 'live') AS live_sessions, coalesce(sum("GMV") FILTER (k = 'video'), 0) AS video_gmv,
+             coalesce(sum("Viewers") FILTER (k = 'live'), 0) AS live_viewers,
+             coalesce(sum("Likes") FILTER (k = 'live' AND "Platform" <> 'marketplace'), 0) AS live_likes,
+             CASE WHEN "Platform" = 'marketplace' THEN count(DISTINCT "Report_Date") FILTER (k = 'live') ELSE count(*) FILTER (k = 'live') END AS live_sessions,
+             coalesce(sum("GMV") FILTER (k = 'video'), 0) AS video_gmv,
              coalesce(sum("Orders") FILTER (k = 'video'), 0) AS video_orders, coalesce(sum("Views") FILTER (k = 'video'), 0) AS video_views,
-             count(*) FILTER (k = 'video') AS video_count, sum("GMV") AS total_gmv, sum("Orders") AS total_orders
+             CASE WHEN "Platform" = 'marketplace' THEN count(DISTINCT "Report_Date") FILTER (k = 'video') ELSE count(*) FILTER (k = 'video') END AS video_count,
+             sum("GMV") AS total_gmv, sum("Orders") AS total_orders
            FROM (SELECT *, "Content_Kind" AS k FROM content) GROUP BY 1""",
         _CONTENT,
     ),
     Check(
         "video_summary",
         "Platform:s Total_GMV:f4 Total_Orders:l Total_Views:l Total_Likes:l Avg_Engagement:f6",
-        lambda s, f: contents.video_summary(content(s, f, "video")),
+        lambda s, f: contents.video_summary(_all_channels(s, f, "video")),
         """SELECT "Platform", sum("GMV") AS "Total_GMV", sum("Orders") AS "Total_Orders", sum("Views") AS "Total_Views",
-             sum("Likes") AS "Total_Likes", avg("Engagement_Rate") AS "Avg_Engagement" FROM video GROUP BY 1""",
+             sum("Likes") AS "Total_Likes", avg("Engagement_Rate") AS "Avg_Engagement" FROM video WHERE "Platform" <> 'marketplace' GROUP BY 1
+           UNION ALL SELECT 'marketplace', sum(g), sum(o), sum(v), sum(l), avg(r) FROM (
+             SELECT sum("GMV") AS g, sum("Orders") AS o, sum("Views") AS v, sum("Likes") AS l,
+               CASE WHEN sum("Views") > 0 THEN (sum("Likes") + sum("Comments") + sum("Shares")) / sum("Views") END AS r
+             FROM video WHERE "Platform" = 'marketplace' GROUP BY "Report_Date")""",
         _CONTENT,
     ),
     Check(
         "live_summary",
         "Platform:s Total_GMV:f4 Total_Orders:l Total_Viewers:l Total_Likes:l",
-        lambda s, f: contents.total_per_content(content(s, f, "live")),
+        lambda s, f: contents.total_per_content(_all_channels(s, f, "live")),
         """SELECT "Platform", sum("GMV") AS "Total_GMV", sum("Orders") AS "Total_Orders", sum("Viewers") AS "Total_Viewers",
-             sum("Likes") AS "Total_Likes" FROM live GROUP BY 1""",
+             CASE WHEN "Platform" <> 'marketplace' THEN sum("Likes") ELSE 0 END AS "Total_Likes" FROM live GROUP BY 1""",
         _CONTENT,
     ),
     Check(

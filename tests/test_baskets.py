@@ -2,6 +2,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tradewind.operators import baskets
 
@@ -37,13 +38,18 @@ def test_itemsets_equal_brute_force(spark, max_length):
     assert _found(found) == _brute(orders, 0.01, max_length)
 
 
-def test_small_buffers_and_several_passes(spark, monkeypatch):
-    monkeypatch.setattr(baskets, "PREFIXES_PER_PASS", 7)
-    monkeypatch.setattr(baskets, "_BUFFERED", 20)
-    monkeypatch.setattr(baskets, "_BLOCK", 10)
-    orders = _random_orders(2)
-    found = baskets.frequent_itemsets(baskets.basket_items(_lines(spark, orders)), 0.01, 4)
-    assert _found(found) == _brute(orders, 0.01, 4)
+def test_an_order_with_thousands_of_frequent_items(spark):
+    """One of three orders holds 2000 products, all of them frequent; the pairs of the others are counted as well."""
+    orders = {0: [f"p{j:04d}" for j in range(2000)], 1: ["p0000", "p0001", "p0002"], 2: ["p0001", "p0002"]}
+    itemsets = baskets.frequent_itemsets(baskets.basket_items(_lines(spark, orders)), 0.3, 2)
+    counts = {r["Orders"]: r["n"] for r in itemsets.filter("Length = 2").groupBy("Orders").agg(F.count("*").alias("n")).collect()}
+    assert counts == {3: 1, 2: 2, 1: 2000 * 1999 // 2 - 3}
+
+
+def test_itemsets_stay_in_the_jvm(spark, capsys):
+    itemsets = baskets.frequent_itemsets(baskets.basket_items(_lines(spark, _random_orders(2))), 0.01, 3)
+    itemsets.explain()
+    assert not {"MapInArrow", "Python"} & set(capsys.readouterr().out.split())
 
 
 def test_copies_and_a_huge_order(spark):

@@ -30,11 +30,9 @@ def _expected(pdf):
     return pdf.set_index("Customer_ID")[["R_Score", "F_Score", "M_Score"]]
 
 
-@pytest.mark.parametrize("small", [0, order_statistics.SMALL], ids=["ranges", "one sort"])
 @pytest.mark.parametrize("n, ties", [(5, 0.3), (17, 0.3), (101, 0.9), (2000, 0.4)])
-def test_scores_equal_pandas(spark, monkeypatch, small, n, ties):
+def test_scores_equal_pandas(spark, n, ties):
     """Also with a third and more of the customers sharing one frequency."""
-    monkeypatch.setattr(order_statistics, "SMALL", small)
     pdf = _base(spark, n, n, ties)
     found = customers.rfm_scores(spark.createDataFrame(pdf).repartition(4)).toPandas()
     found = found.sort_values("Customer_ID").set_index("Customer_ID")[["R_Score", "F_Score", "M_Score"]]
@@ -50,13 +48,14 @@ def test_few_customers(spark):
 
 
 @pytest.mark.parametrize("hot", [0.0, 0.5])
-def test_distributed_quantiles(spark, monkeypatch, hot):
-    monkeypatch.setattr(order_statistics, "SMALL", 0)
+def test_quantiles_over_ranges(spark, hot):
     rng = np.random.default_rng(3)
     values = np.where(rng.random(999) < hot, 7.0, np.round(rng.random(999) * 10, 2))
     df = stage(spark.createDataFrame(pd.DataFrame({"v": values})).repartition(5), "t")
     probabilities = [0.0, 0.2, 0.5, 0.77, 1.0]
-    found = order_statistics.exact_quantiles(df, ["v"], probabilities, 999)[0]
+    ordered = order_statistics.value_ranges(df, "v")
+    found = order_statistics.quantiles(ordered, probabilities)
+    assert (ordered.rows, ordered.total) == (999, pytest.approx(values.sum()))
     assert found == pytest.approx(list(pd.Series(values).quantile(probabilities)))
 
 

@@ -1,8 +1,10 @@
 import os
 import time
+import zipfile
 from datetime import date, datetime
 
 import pytest
+from pyspark.sql import functions as F
 from workbook import write_workbook
 
 from tradewind.operators import channels, promotion
@@ -115,7 +117,9 @@ def test_overview_reports(spark, tmp_path):
     (tmp_path / "overview-v2_1m_2026-01-31_x.csv").write_text(f'{upper}\n{lower}\nJan,"1,000",฿900,4ชั่วโมง9นาที28วินาที,77\nextra,1,1,1,1\n', encoding="utf-8")
     (tmp_path / "short.csv").write_text("a,b\n", encoding="utf-8")
     rules = [("ยอดขาย_(คำสั่งซื้อที่เกิดขึ้น)", "Sales_Pending"), ("ยอดขาย_(คำสั่งซื้อที่ยืนยันแล้ว)", "Sales_Confirmed"), *layouts.LIVE_OVERVIEW]
-    (row,) = promotion.clean_live_overview(delimited.read_overview_reports(spark, str(tmp_path), rules)).collect()
+    assert delimited.read_overview_reports(spark, str(tmp_path), rules).count() == 2
+    reports = delimited.read_overview_reports(spark, str(tmp_path), rules, first_row_only=True)
+    (row,) = promotion.clean_live_overview(reports).collect()
     assert (row["Report_Period"], row["Sales_Pending"], row["Sales_Confirmed"], row["Peak_Concurrent_Users"]) == ("Jan", 1000, 900, 77)
     assert row["Live_Duration_Seconds"] == 14968 and row["Report_Date"] == date(2026, 1, 31) and row["Total_Viewers"] == 0
 
@@ -197,3 +201,90 @@ def test_table_access(spark):
 def test_file_names_are_decoded(spark, tmp_path, name):
     (tmp_path / name).write_text("x\n1\n")
     assert [r["File_Source"] for r in delimited.read_csv(spark, str(tmp_path)).collect()] == [name]
+
+
+def test_ingestion_loses_nothing(spark, tmp_path):
+    """A blank first line, a quoted line break, lines with one SKU or none, a file without a header, a restored file."""
+    exports = tmp_path / "exports"
+    exports.mkdir()
+    header = "Order ID,SKU ID,Product Name\n"
+    (exports / "1.csv").write_text("\n" + header + '1,a,"x\ny"\n1,a,z\n1,,v\n1,,w\n')
+    (exports / "2.csv").write_text(header + "2,b,plain\n")
+    (exports / "3.csv").write_text("\n  \n")
+    store = OrderStore(spark, str(tmp_path / "store"))
+    assert store.ingest(str(exports)) == 2
+    assert sorted(r["Product Name"] for r in store.current().collect()) == ["plain", "v", "w", "x\ny", "z"]
+    assert [(r["Name"], r["Reason"]) for r in store.rejected().collect()] == [("3.csv", "no header")]
+    assert [r["Name"] for r in store.pending(str(exports)).collect()] == ["3.csv"] and store.ingest(str(exports)) == 0
+    first, kept = (exports / "2.csv").read_text(), os.stat(exports / "2.csv").st_mtime
+    (exports / "2.csv").write_text(header + "2,b,changed\n")
+    assert store.ingest(str(exports)) == 1
+    (exports / "2.csv").write_text(first)
+    os.utime(exports / "2.csv", (kept, kept))
+    assert [r["Name"] for r in store.pending(str(exports)).collect() if r["Name"] != "3.csv"] == ["2.csv"]
+    assert store.ingest(str(exports)) == 1
+    assert store.current().filter("`Order ID` = '2'").first()["Product Name"] == "plain"
+    assert store.ingest(str(exports), force=True) == 2
+
+
+def test_a_file_rewritten_during_a_run_is_read_again(spark, tmp_path, monkeypatch):
+    exports = tmp_path / "exports"
+    exports.mkdir()
+    (exports / "1.csv").write_text("Order ID,SKU ID\n1,a\n")
+    store = OrderStore(spark, str(tmp_path / "store"))
+    commit = OrderStore.commit
+
+    def rewritten(self, number, processed):
+        (exports / "1.csv").write_text("Order ID,SKU ID\n1,a\n2,b\n")
+        commit(self, number, processed)
+
+    monkeypatch.setattr(OrderStore, "commit", rewritten)
+    assert store.ingest(str(exports)) == 1
+    assert store.pending(str(exports)).count() == 1
+
+
+def test_long_lines_and_quotes(spark):
+    line = ",".join(f'"c{i},""q"""' for i in range(20_000))
+    rows = spark.createDataFrame([(line,), ('a,"b,c",,"", d ,"e""f"',)], "value string").select(delimited.csv_cells(F.col("value")).alias("c")).collect()
+    assert len(rows[0]["c"]) == 20_000 and rows[0]["c"][7] == 'c7,"q"'
+    assert rows[1]["c"] == ["a", "b,c", "", "", " d ", 'e"f']
+
+
+def test_folders_of_one_name(spark, tmp_path):
+    for folder in ("a/x", "b/x"):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / "f.csv").write_text(folder)
+    hashes = files.content_hashes(spark, str(tmp_path), "*.csv")
+    assert sorted(r["Folder"] for r in hashes.collect()) == ["a/x", "b/x"]
+    assert files.changed(hashes, hashes).count() == 0
+
+
+def test_first_sheet_and_dates_of_the_workbook(spark, tmp_path):
+    """The sheet the workbook lists first need not be sheet1.xml, and days may count from 1904."""
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    relation = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    write_workbook(tmp_path / "plain.xlsx", [["x"], [1.0]], dates={(1, 0)})
+    with zipfile.ZipFile(tmp_path / "plain.xlsx") as archive:
+        parts = {n: archive.read(n) for n in archive.namelist()}
+    parts["xl/worksheets/sheet2.xml"] = parts["xl/worksheets/sheet1.xml"]
+    parts["xl/worksheets/sheet1.xml"] = f'<worksheet xmlns="{main}"><sheetData/></worksheet>'.encode()
+    sheets = '<sheet name="a" sheetId="2" r:id="r2"/><sheet name="b" sheetId="1" r:id="r1"/>'
+    parts["xl/workbook.xml"] = f'<workbook xmlns="{main}" xmlns:r="{relation}"><workbookPr date1904="1"/><sheets>{sheets}</sheets></workbook>'.encode()
+    targets = "".join(f'<Relationship Id="r{i}" Target="worksheets/sheet{i}.xml"/>' for i in (1, 2))
+    parts["xl/_rels/workbook.xml.rels"] = f"<Relationships>{targets}</Relationships>".encode()
+    (tmp_path / "plain.xlsx").unlink()
+    with zipfile.ZipFile(tmp_path / "second.xlsx", "w") as archive:
+        for name, content in parts.items():
+            archive.writestr(name, content)
+    content = bytearray((tmp_path / "second.xlsx").read_bytes())
+    (tmp_path / "cut.xlsx").write_bytes(content[: len(content) // 2])
+    with zipfile.ZipFile(tmp_path / "broken.xlsx", "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr("xl/sharedStrings.xml", "<sst>" + "<si><t>abc</t></si>" * 500 + "</sst>")
+        archive.writestr("xl/worksheets/sheet1.xml", "<worksheet/>")
+    content = bytearray((tmp_path / "broken.xlsx").read_bytes())
+    content[60:75] = b"\xff" * 15
+    (tmp_path / "broken.xlsx").write_bytes(content)
+    rows = workbooks.workbook_rows(spark, str(tmp_path))
+    found = [r["Cells"] for r in rows.filter("File_Source = 'second.xlsx'").orderBy("Row").collect()]
+    assert found == [["x"], ["1904-01-02 00:00:00"]]
+    assert sorted(r["File_Source"] for r in workbooks.damaged(rows).collect()) == ["broken.xlsx", "cut.xlsx"]

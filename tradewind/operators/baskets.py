@@ -1,38 +1,21 @@
 """Products bought together: frequent itemsets, association rules and what follows from them.
 
-Itemsets are counted level by level. Baskets are reduced to frequent items, coded as integers, and equal
-baskets are merged into one row with a weight, so copies of a basket are counted once. The pairs and
-triples inside a basket are never sent through a shuffle: every task counts its own baskets in arrays and
-only sends (itemset, count) rows.
+Itemsets are counted level by level with partial aggregation. Baskets are reduced to frequent items, and equal baskets
+are merged into one row with a weight, so copies of a basket are counted once. A basket is taken apart into its items with
+the items that follow each; these rows are dealt out anew, so that an order with very many items is spread over
+the tasks. Itemsets grow by an item of their row only while they are frequent.
 
-Sizes: at most ``mean basket size / min_support`` items are frequent, and at most
-``mean number of k-subsets per basket / min_support`` itemsets of length k, whatever the number of orders.
-Only the codes of frequent itemsets, 8 bytes each, pass through the driver.
+At most ``mean basket size / min_support`` items are frequent, whatever the number of orders, so no basket is longer.
 """
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator, Sequence
-
-import numpy as np
-import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewind.functions.numbers import total
 from tradewind.session import stage
 
-# The functions run by tasks travel with the job, so executors need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-# Itemsets of the previous level a task holds at a time; more are counted in several passes.
-PREFIXES_PER_PASS = 4_000_000
-# Occurrences a task keeps before it merges them into counts, and cells of one block of baskets.
-_BUFFERED = 4_000_000
-_BLOCK = 200_000
-
 
 def basket_items(lines: DataFrame, order="Order_ID", product="Product_Name", quantity="Quantity") -> DataFrame:
     """One row per order and product with a flag for a positive total quantity."""
@@ -57,171 +40,34 @@ def item_support(items: DataFrame, min_support: float = 0.01, orders: int | None
     return counts.withColumn("Support", F.col("Orders") / F.lit(orders)).filter(F.col("Support") >= min_support)
 
 
-def _found(level: np.ndarray, keys: np.ndarray):
-    """Positions of ``keys`` in the sorted ``level`` and whether they are really there."""
-    if not len(level):
-        return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
-    at = np.minimum(np.searchsorted(level, keys), len(level) - 1)
-    return at, level[at] == keys
-
-
-def _extensions(baskets, rows, places, ids):
-    """Every way to add one later item of the same basket: rows, new places, ids, last item, added item."""
-    length = baskets.shape[1]
-    for step in range(1, length):
-        fits = places + step < length
-        r, p = rows[fits], places[fits]
-        if not len(r):
-            return
-        yield r, p + step, ids[fits], baskets[r, p], baskets[r, p + step]
-
-
-def _occurrences(baskets: np.ndarray, levels: Sequence[np.ndarray], pairs: np.ndarray | None, items: int):
-    """Rows and keys ``prefix id * items + item`` of the itemsets one longer than the last level.
-
-    ``levels`` holds the sorted keys of the frequent itemsets of length 2, 3, ... A prefix is only extended
-    while it is frequent, and only by an item that is also frequent together with its last item.
-    """
-    count, length = baskets.shape
-    rows, places = np.repeat(np.arange(count), length), np.tile(np.arange(length), count)
-    ids = baskets.ravel()
-    for level in levels:
-        kept = []
-        for r, p, prefix, _, item in _extensions(baskets, rows, places, ids):
-            at, found = _found(level, prefix * items + item)
-            kept.append((r[found], p[found], at[found]))
-        if not kept:
-            return
-        rows, places, ids = (np.concatenate(part) for part in zip(*kept))
-    for r, _, prefix, last, item in _extensions(baskets, rows, places, ids):
-        keys = prefix * items + item
-        if pairs is not None:
-            _, found = _found(pairs, last * items + item)
-            r, keys = r[found], keys[found]
-        yield r, keys
-
-
-def _merge(keys: list, weights: list):
-    unique, at = np.unique(np.concatenate(keys), return_inverse=True)
-    totals = np.zeros(len(unique), dtype=np.int64)
-    np.add.at(totals, at, np.concatenate(weights))
-    return unique, totals
-
-
-def _codes(keys: np.ndarray, levels: Sequence[np.ndarray], items: int) -> np.ndarray:
-    """Item codes of itemset keys, one row per itemset."""
-    columns = []
-    for level in reversed(levels):
-        columns.append(keys % items)
-        keys = level[keys // items]
-    return np.stack([keys // items, keys % items, *reversed(columns)], axis=1)
-
-
-def _keys(codes: np.ndarray, levels: Sequence[np.ndarray], items: int) -> np.ndarray:
-    """Sorted keys of the itemsets given by their codes."""
-    ids = codes[:, 0]
-    for i, level in enumerate(levels):
-        ids = np.searchsorted(level, ids * items + codes[:, i + 1])
-    return np.sort(ids * items + codes[:, -1])
-
-
-def _count_next(baskets: DataFrame, levels: list[np.ndarray], pairs: np.ndarray | None, items: int) -> DataFrame:
-    """Counts of the itemsets one longer than the last of ``levels``: (Codes, Orders)."""
-    shared = baskets.sparkSession.sparkContext.broadcast((levels, pairs))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, pairs = shared.value
-        keys, weights, buffered = [], [], 0
-
-        def flush():
-            unique, totals = _merge(keys, weights)
-            codes = _codes(unique, levels, items)
-            offsets = np.arange(len(codes) + 1, dtype=np.int32) * codes.shape[1]
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes.ravel(), pa.int32()))
-            return pa.RecordBatch.from_arrays([lists, pa.array(totals)], names=["Codes", "Orders"])
-
-        for batch in batches:
-            column = batch.column("Codes")
-            starts, flat = column.offsets.to_numpy(), column.values.to_numpy().astype(np.int64)
-            sizes, weight = np.diff(starts), batch.column("Weight").to_numpy()
-            for length in np.unique(sizes):
-                same = np.flatnonzero(sizes == length)
-                block = max(1, _BLOCK // int(length))
-                for begin in range(0, len(same), block):
-                    chosen = same[begin : begin + block]
-                    rows = flat[starts[chosen][:, None] + np.arange(length)]
-                    for r, k in _occurrences(rows, levels, pairs, items):
-                        if not len(k):
-                            continue
-                        keys.append(k)
-                        weights.append(weight[chosen][r])
-                        buffered += len(k)
-                        if buffered > _BUFFERED:
-                            merged, totals = _merge(keys, weights)
-                            keys, weights, buffered = [merged], [totals], len(merged)
-                            if buffered > _BUFFERED // 2:
-                                yield flush()
-                                keys, weights, buffered = [], [], 0
-        if keys:
-            yield flush()
-
-    counted = baskets.filter(F.size("Codes") > len(levels) + 1).mapInArrow(count, "Codes array<int>, Orders bigint")
-    return counted.groupBy("Codes").agg(F.sum("Orders").alias("Orders"))
-
-
-def _count_level(baskets: DataFrame, levels: list[np.ndarray], items: int) -> DataFrame:
-    """All passes of one level; a pass looks up a slice of the previous level's itemsets."""
-    if not levels:
-        return _count_next(baskets, [], None, items)
-    *earlier, last = levels
-    passes = [last[i : i + PREFIXES_PER_PASS] for i in range(0, len(last), PREFIXES_PER_PASS)]
-    counts = [_count_next(baskets, [*earlier, part], levels[0], items) for part in passes]
-    result = counts[0]
-    for part in counts[1:]:
-        result = result.unionByName(part)
-    return result
+def _extended(rows: DataFrame) -> DataFrame:
+    """Each itemset with each of the items that follow it in the basket: one item longer, with the items after that."""
+    each = rows.select("Weight", "Itemset", "Rest", F.posexplode("Rest").alias("_at", "_item"))
+    return each.select(
+        "Weight", F.concat("Itemset", F.array("_item")).alias("Itemset"), F.expr("slice(Rest, _at + 2, size(Rest))").alias("Rest")
+    )
 
 
 def frequent_itemsets(items: DataFrame, min_support: float = 0.005, max_length: int = 3) -> DataFrame:
     """Itemsets (sorted arrays of products) up to ``max_length`` with their orders, support and length."""
     items = stage(items, "basket-items")
     orders = order_count(items).first()["n"]
-    frequent = stage(
-        item_support(items, min_support, orders).withColumn(
-            "Code", F.row_number().over(Window.orderBy("Product")).cast("int") - 1
-        ),
-        "frequent-items",
-    )
-    number = frequent.count()
-    coded = items.filter("Bought").join(frequent.select("Product", "Code"), "Product")
-    baskets = stage(
-        coded.groupBy("Order_ID")
-        .agg(F.array_sort(F.collect_list("Code")).alias("Codes"))
-        .groupBy("Codes")
-        .agg(F.count("*").alias("Weight")),
-        "baskets",
-    )
-    names = frequent.agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("Code", "Product"))), lambda x: x.getField("Product")
-        ).alias("names")
-    ).scalar()
+    frequent = stage(item_support(items, min_support, orders), "frequent-items")
+    bought = items.filter("Bought").join(frequent.select("Product"), "Product", "left_semi")
+    baskets = (
+        bought.groupBy("Order_ID").agg(F.array_sort(F.collect_list("Product")).alias("Rest"))
+        .groupBy("Rest").agg(F.count("*").alias("Weight"))
+    )
+    empty = F.array().cast("array<string>")
+    rows = _extended(baskets.select("Weight", empty.alias("Itemset"), "Rest")).filter(F.size("Rest") > 0)
+    rows = stage(rows.repartition("Itemset", "Rest"), "basket-rows")
     result = frequent.select(F.array("Product").alias("Itemset"), "Orders")
-    levels: list[np.ndarray] = []
     for length in range(2, max_length + 1):
-        counts = stage(
-            _count_level(baskets, levels, number).filter(F.col("Orders") / F.lit(orders) >= min_support),
-            f"itemsets-{length}",
-        )
-        found = counts.select("Codes").toArrow().column("Codes").combine_chunks()
-        if not len(found):
-            break
-        codes = found.flatten().to_numpy().astype(np.int64).reshape(-1, length)
-        levels.append(_keys(codes, levels, number))
-        decoded = counts.withColumn("Names", names).select(
-            F.transform("Codes", lambda c: F.get(F.col("Names"), c)).alias("Itemset"), "Orders"
-        )
-        result = result.unionByName(decoded)
+        rows = _extended(rows)
+        counts = rows.groupBy("Itemset").agg(F.sum("Weight").alias("Orders"))
+        counts = stage(counts.filter(F.col("Orders") / F.lit(orders) >= min_support), f"itemsets-{length}")
+        result = result.unionByName(counts)
+        rows = rows.filter(F.size("Rest") > 0).join(counts.select("Itemset"), "Itemset", "left_semi")
     return result.select(
         "Itemset",
         "Orders",

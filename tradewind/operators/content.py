@@ -7,9 +7,31 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.functions.numbers import total
+from tradewind.functions.numbers import ratio, total
 
 _METRICS = ["GMV", "Orders", "Viewers", "Views", "Likes"]
+# Marketplace reports name their figures otherwise; confirmed orders count.
+_REPORTED = {
+    "GMV": ("Sales_Confirmed", "Video_Sales_Confirmed"),
+    "Orders": ("Orders_Confirmed", "Video_Orders_Confirmed"),
+    "Viewers": ("Total_Viewers",),
+    "Views": ("Total_Views",),
+    "Likes": ("Total_Likes",),
+    "Comments": ("Total_Comments",),
+    "Shares": ("Total_Shares",),
+}
+
+
+def canonical(content: DataFrame) -> DataFrame:
+    """Live or video rows of any channel with the same metric columns; a metric no report has is null."""
+    found = {}
+    for name, reported in _REPORTED.items():
+        present = [F.col(c) for c in (name, *reported) if c in content.columns]
+        found[name] = F.coalesce(*present) if present else F.lit(None).cast("double")
+    content = content.withColumns(found)
+    rate = ratio(F.col("Likes") + F.col("Comments") + F.col("Shares"), "Views", None)
+    own = [F.col("Engagement_Rate")] if "Engagement_Rate" in content.columns else []
+    return content.withColumn("Engagement_Rate", F.coalesce(*own, rate))
 
 
 def content_performance(live: DataFrame, video: DataFrame) -> DataFrame:
@@ -38,8 +60,8 @@ def content_performance(live: DataFrame, video: DataFrame) -> DataFrame:
 
 def platform_metrics(live: DataFrame, video: DataFrame) -> DataFrame:
     """Totals per channel for live sessions and videos, and both together."""
-    tagged = live.withColumn("_kind", F.lit("live")).unionByName(
-        video.withColumn("_kind", F.lit("video")), allowMissingColumns=True
+    tagged = canonical(live).withColumn("_kind", F.lit("live")).unionByName(
+        canonical(video).withColumn("_kind", F.lit("video")), allowMissingColumns=True
     )
     is_live, is_video = F.col("_kind") == "live", F.col("_kind") == "video"
 
@@ -62,7 +84,7 @@ def platform_metrics(live: DataFrame, video: DataFrame) -> DataFrame:
 
 
 def video_summary(video: DataFrame) -> DataFrame:
-    return video.groupBy("Platform").agg(
+    return canonical(video).groupBy("Platform").agg(
         *[total(c).alias(f"Total_{c}") for c in ("GMV", "Orders", "Views", "Likes")],
         F.avg("Engagement_Rate").alias("Avg_Engagement"),
     )
@@ -119,7 +141,6 @@ def engagement_histogram(video: DataFrame, bins: int = 20) -> DataFrame:
 
 def total_per_content(live: DataFrame) -> DataFrame:
     """Totals of the live sessions per channel."""
-    present = [c for c in _METRICS if c in live.columns]
-    return live.groupBy("Platform").agg(*[total(c).alias(f"Total_{c}") for c in present])
+    return canonical(live).groupBy("Platform").agg(*[total(c).alias(f"Total_{c}") for c in _METRICS])
 
 

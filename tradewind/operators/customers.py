@@ -87,14 +87,14 @@ def rfm_scores(base: DataFrame, bins: int = 5) -> DataFrame:
     ids = [c for c in ("Customer_ID", "Platform") if c in base.columns]
     probabilities = F.array(*[F.lit(s / bins) for s in range(1, bins)])
     # Recency has at most one distinct value per calendar day, so its exact quantiles are a small state.
-    stats = base.agg(F.count("*").alias("n"), F.percentile("Recency", probabilities).alias("q")).first()
+    stats = base.agg(F.percentile("Recency", probabilities).alias("q")).first()
     recency = F.lit(bins)
     for edge in stats["q"] or []:
         recency = recency - (F.col("Recency") > F.lit(edge)).cast("int")
     scores = {"R_Score": recency}
     for column, name in (("Frequency", "F_Score"), ("Monetary", "M_Score")):
         keys = [column, *ids]
-        scores[name] = _bins_passed(base, keys, rank_first_edges(base, keys, bins, stats["n"]))
+        scores[name] = _bins_passed(base, keys, rank_first_edges(base, keys, bins))
     return base.withColumns(scores)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tradewind.functions.numbers import growth, ratio, total, whole_table
 from tradewind.operators import labels
-from tradewind.operators.order_statistics import exact_quantiles
+from tradewind.operators.order_statistics import quantiles, value_ranges
 from tradewind.session import stage
 
 # Growth columns of the daily table and the distance in rows they look back.
@@ -102,10 +102,10 @@ def product_totals(lines: DataFrame) -> DataFrame:
     return _grouped(lines, keys, sums).withColumn("Avg_Price", ratio("Total_GMV", "Total_Qty"))
 
 
-def product_medians(products: DataFrame) -> tuple[float, float]:
-    """Median GMV and quantity of a staged product table."""
-    gmv, quantity = exact_quantiles(products, ["Total_GMV", "Total_Qty"], [0.5], products.count())
-    return gmv[0], quantity[0]
+def product_medians(products: DataFrame) -> tuple[float, float, float]:
+    """Median GMV and quantity of a staged product table, and its total GMV."""
+    gmv, quantity = value_ranges(products, "Total_GMV"), value_ranges(products, "Total_Qty")
+    return quantiles(gmv, [0.5])[0], quantiles(quantity, [0.5])[0], round(gmv.total, 4)
 
 
 def product_master(lines: DataFrame) -> DataFrame:
@@ -115,8 +115,7 @@ def product_master(lines: DataFrame) -> DataFrame:
     labelled; the labelling itself is a narrow pass over the staged table.
     """
     totals = stage(product_totals(lines), "products")
-    median_gmv, median_quantity = product_medians(totals)
-    grand_total = totals.agg(F.sum("Total_GMV").cast("double").alias("s")).first()["s"]
+    median_gmv, median_quantity, grand_total = product_medians(totals)
     share = F.col("Total_GMV").cast("double") / F.nullif(F.lit(grand_total).cast("double"), F.lit(0.0)) * 100
     segment = labels.product_segment(
         "Total_GMV", "Total_Qty", F.lit(median_gmv).cast("double"), F.lit(median_quantity).cast("double")

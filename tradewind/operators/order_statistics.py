@@ -1,66 +1,66 @@
 """Exact positions and quantiles of a global order without sorting everything in one task.
 
-The rows are range-partitioned by the sort keys and written once with the number of their range.
-Counting the ranges tells in which range a position falls, and only that range is sorted.
+The rows are range-partitioned by the sort keys and written once with the number of their range. One aggregation over
+the ranges gives their sizes, and with them the number of rows and the sum; only the ranges that hold a wanted position
+are sorted.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewind.session import stage
 
-# Up to this many rows one aggregation state holds every value comfortably.
-SMALL = 1_000_000
 
+@dataclass(frozen=True)
+class Ranges:
+    """Rows in ranges of their order, stored, with the number of rows and the sum of the first key per range."""
 
-def _in_one_sort(df: DataFrame, keys: Sequence[str], positions: list[int]) -> dict:
-    number = F.row_number().over(Window.orderBy(*keys)) - 1
-    rows = df.select(*keys).withColumn("_at", number).filter(F.col("_at").isin(positions)).collect()
-    return {row["_at"]: tuple(row[k] for k in keys) for row in rows}
+    table: DataFrame
+    keys: tuple[str, ...]
+    sizes: list[tuple[int, int]]
+    total: float
 
+    @property
+    def rows(self) -> int:
+        return sum(n for _, n in self.sizes)
 
-def at_positions(df: DataFrame, keys: Sequence[str], positions: Iterable[int], weight: str | None = None, rows: int | None = None) -> dict:
-    """Key tuples at zero-based ``positions`` of the order by ``keys``.
 
-    ``weight`` names a column with the number of copies a row stands for; ``rows`` is the known row count,
-    with which a small table is simply sorted. Only as many rows as there are positions, and one count per
-    range, reach the driver.
-    """
-    wanted = sorted(set(positions))
-    if not wanted:
-        return {}
-    if weight is None and rows is not None and rows <= SMALL:
-        return _in_one_sort(df, keys, wanted)
+def ranges(df: DataFrame, keys: Sequence[str], weight: str | None = None) -> Ranges:
+    """``weight`` names a column with the number of copies a row stands for. The first key is a number."""
     copies = F.col(weight) if weight else F.lit(1).cast("bigint")
-    ranged = stage(
-        df.select(*keys, copies.alias("_copies"))
-        .repartitionByRange(*keys)
-        .withColumn("_range", F.spark_partition_id()),
-        "ranges",
+    table = stage(
+        df.select(*keys, copies.alias("_copies")).repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()), "ranges"
     )
-    sizes = ranged.groupBy("_range").agg(F.sum("_copies").alias("n")).orderBy("_range").collect()
+    sums = table.groupBy("_range").agg(F.sum("_copies").alias("n"), F.sum(F.col(keys[0]).cast("double") * F.col("_copies")).alias("s"))
+    found = sums.orderBy("_range").collect()
+    return Ranges(table, tuple(keys), [(r["_range"], r["n"]) for r in found], math.fsum(r["s"] or 0.0 for r in found))
 
+
+def at_positions(ordered: Ranges, positions: Iterable[int]) -> dict:
+    """Key tuples at zero-based ``positions``. Only as many rows as there are positions reach the driver."""
+    wanted = sorted(set(positions))
+    if not wanted:
+        return {}
     targets, start = [], 0
-    for row in sizes:
-        targets += [(p, row["_range"], p - start) for p in wanted if start <= p < start + row["n"]]
-        start += row["n"]
+    for number, n in ordered.sizes:
+        targets += [(p, number, p - start) for p in wanted if start <= p < start + n]
+        start += n
     if len(targets) < len(wanted):
         raise ValueError("position outside the data")
 
-    inside = Window.partitionBy("_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.sum("_copies").over(inside)
+    inside = Window.partitionBy("_range").orderBy(*ordered.keys).rowsBetween(Window.unboundedPreceding, 0)
     hit = F.lit(False)
     for _, number, offset in targets:
-        hit = hit | (
-            (F.col("_range") == number) & (F.col("_upto") > offset) & (F.col("_upto") - F.col("_copies") <= offset)
-        )
+        hit = hit | ((F.col("_range") == number) & (F.col("_upto") > offset) & (F.col("_upto") - F.col("_copies") <= offset))
     found = (
-        ranged.filter(F.col("_range").isin([number for _, number, _ in targets]))
-        .withColumn("_upto", upto)
+        ordered.table.filter(F.col("_range").isin([number for _, number, _ in targets]))
+        .withColumn("_upto", F.sum("_copies").over(inside))
         .filter(hit)
         .collect()
     )
@@ -68,51 +68,40 @@ def at_positions(df: DataFrame, keys: Sequence[str], positions: Iterable[int], w
     for position, number, offset in targets:
         for row in found:
             if row["_range"] == number and row["_upto"] - row["_copies"] <= offset < row["_upto"]:
-                result[position] = tuple(row[k] for k in keys)
+                result[position] = tuple(row[k] for k in ordered.keys)
     return result
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], rows: int) -> list[list]:
-    """Linearly interpolated quantiles of several columns without nulls, as floats per column.
-
-    ``df`` should be a stored table with the known row count ``rows``; up to ``SMALL`` rows all columns
-    take one aggregation.
-    """
-    if rows == 0:
-        return [[None] * len(probabilities) for _ in columns]
-    if rows <= SMALL:
-        points = F.array(*[F.lit(float(p)) for p in probabilities])
-        found = df.agg(*[F.percentile(F.col(c).cast("double"), points).alias(c) for c in columns]).first()
-        return [list(found[c]) for c in columns]
-    return [_distributed_quantiles(df, c, probabilities, rows) for c in columns]
+def value_ranges(df: DataFrame, column: str) -> Ranges:
+    """Ranges of a numeric column without nulls; copies of a hot value collapse before they are put into ranges."""
+    return ranges(df.groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n")), ["v"], weight="n")
 
 
-def _distributed_quantiles(df: DataFrame, column: str, probabilities: Sequence[float], rows: int) -> list:
-    # Copies of a hot value collapse before the rows are put into ranges.
-    weighted = df.groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+def quantiles(ordered: Ranges, probabilities: Sequence[float]) -> list:
+    """Linearly interpolated quantiles of ``value_ranges``; nulls for no rows."""
+    rows = ordered.rows
+    if rows == 0:
+        return [None] * len(probabilities)
     places = [p * (rows - 1) for p in probabilities]
-    corners = {int(x) for x in places} | {min(int(x) + 1, rows - 1) for x in places}
-    at = at_positions(weighted, ["v"], corners, weight="n")
+    at = at_positions(ordered, {int(x) for x in places} | {min(int(x) + 1, rows - 1) for x in places})
     result = []
     for place in places:
         low, high = int(place), min(int(place) + 1, rows - 1)
-        if place == low:
-            result.append(at[low][0])
-        else:
-            result.append((high - place) * at[low][0] + (place - low) * at[high][0])
+        result.append(at[low][0] if place == low else (high - place) * at[low][0] + (place - low) * at[high][0])
     return result
 
 
-def rank_first_edges(df: DataFrame, keys: Sequence[str], bins: int, rows: int) -> list:
+def rank_first_edges(df: DataFrame, keys: Sequence[str], bins: int) -> list:
     """Last key tuple of each bin but the last, for equal-width bins on the ranks 1..n.
 
     The first key is the ranked value; the others make ties unique, so equal values are ranked in the
     order of the remaining keys.
     """
-    if rows == 0:
+    ordered = ranges(df, keys)
+    if ordered.rows == 0:
         return []
-    cuts = [s * (rows - 1) // bins for s in range(1, bins)]
-    at = at_positions(df, keys, cuts, rows=rows)
+    cuts = [s * (ordered.rows - 1) // bins for s in range(1, bins)]
+    at = at_positions(ordered, cuts)
     return [at[c] for c in cuts]
 
 

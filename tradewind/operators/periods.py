@@ -87,7 +87,7 @@ def previous_period(start: date, end: date) -> tuple[date, date]:
 def hero_comparison(daily: DataFrame, start: date, end: date, platform: str | None = None) -> DataFrame:
     """Totals of a period, of the one before, and the change in percent.
 
-    There is no comparison when the previous period ends before the first day of the data.
+    There is no comparison when the previous period has no rows.
     """
     before, before_end = previous_period(start, end)
     chosen = F.col("Platform") == platform if platform else F.lit(True)
@@ -101,12 +101,13 @@ def hero_comparison(daily: DataFrame, start: date, end: date, platform: str | No
         return F.coalesce(F.avg(F.when(condition, F.col("AOV"))), F.lit(0.0))
 
     sums = ["GMV", "Orders", "Net_Revenue", "Units_Sold"]
-    row = daily.agg(
+    # A day of the previous period is itself proof that the data reach back to it.
+    row = daily.filter(F.col("Date").between(F.lit(before), F.lit(end))).agg(
         *[sum_if(now, c).alias(f"Current_{c}") for c in sums],
         mean(now).alias("Current_AOV"),
         *[sum_if(then, c).alias(f"Previous_{c}") for c in sums],
         mean(then).alias("Previous_AOV"),
-        ((F.min("Date") <= F.lit(before_end)) & (F.count_if(then) > 0)).alias("Has_Previous"),
+        (F.count_if(then) > 0).alias("Has_Previous"),
     )
     changes = {
         f"{c}_Change_Pct": F.when(
@@ -155,7 +156,7 @@ def products_in_period(lines: DataFrame, start: date, end: date, platform: str |
         F.count_distinct("Order_ID").alias("Orders"),
     )
     totals = stage(totals, "period-products")
-    median_gmv, median_quantity = product_medians(totals)
+    median_gmv, median_quantity, _ = product_medians(totals)
     segment = labels.product_segment(
         "Total_GMV",
         "Total_Qty",

@@ -7,7 +7,7 @@ day of the daily table. The master tables are small (days, campaigns, provinces)
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,13 +18,13 @@ from tradewind.operators.content import content_performance as content_union
 from tradewind.sources import layouts
 
 
-def _with_as_of(daily: DataFrame, as_of: date | None) -> DataFrame:
-    newest = F.max("Date").over(whole_table()) if as_of is None else F.lit(as_of)
-    return daily.withColumn("_as_of", newest)
+def _as_of(daily: DataFrame, as_of: date | None) -> date | None:
+    """The newest day, from a scan of the date column alone; as a literal it bounds the scan of the other columns."""
+    return as_of or daily.agg(F.max("Date")).first()[0]
 
 
-def _since(days: int) -> Column:
-    return F.col("Date") >= F.date_sub("_as_of", days)
+def _since(as_of: date | None, days: int) -> Column:
+    return F.col("Date") >= F.lit(as_of and as_of - timedelta(days=days)).cast("date")
 
 
 def kpi_summary(daily: DataFrame) -> DataFrame:
@@ -38,8 +38,7 @@ def kpi_summary(daily: DataFrame) -> DataFrame:
 
 
 def hero_kpis(daily: DataFrame, as_of: date | None = None) -> DataFrame:
-    recent = _with_as_of(daily, as_of).filter(_since(30))
-    return recent.agg(
+    return daily.filter(_since(_as_of(daily, as_of), 30)).agg(
         F.sum("Orders").alias("Total_Orders"),
         total("GMV").alias("Total_GMV"),
         total("Net_Revenue").alias("Total_Net_Revenue"),
@@ -52,8 +51,7 @@ def hero_kpis(daily: DataFrame, as_of: date | None = None) -> DataFrame:
 
 def today_kpis(daily: DataFrame) -> DataFrame:
     return (
-        _with_as_of(daily, None)
-        .filter(F.col("Date") == F.col("_as_of"))
+        daily.filter(F.col("Date") == F.lit(_as_of(daily, None)).cast("date"))
         .select(
             "Date", "Platform", "GMV", "Orders", "AOV", "GMV_Segment",
             (F.col("DoD_GMV_Growth") * 100).alias("DoD_Growth_Pct"),
@@ -74,8 +72,7 @@ def daily_trend(daily: DataFrame, as_of: date | None = None, by_platform: bool =
     order = Window.partitionBy("Platform").orderBy("Date") if by_platform else Window.orderBy("Date", "Platform")
     previous = {"Previous_Day_GMV": 1, "Previous_Week_GMV": 7, "Previous_Month_GMV": 30}
     return (
-        _with_as_of(daily, as_of)
-        .filter(_since(90))
+        daily.filter(_since(_as_of(daily, as_of), 90))
         .select(
             "Date", "Platform", "GMV", "Orders", "AOV", "Net_Revenue", "GMV_Segment",
             *[F.lag("GMV", k).over(order).alias(name) for name, k in previous.items()],
@@ -244,13 +241,14 @@ def aov_segments(daily: DataFrame) -> DataFrame:
 
 def period_comparison(daily: DataFrame, as_of: date | None = None) -> DataFrame:
     """The last 7 days against the 7 before, in one pass over the daily table."""
-    current = _since(7)
-    previous = _since(14) & ~current
+    as_of = _as_of(daily, as_of)
+    current = _since(as_of, 7)
+    previous = _since(as_of, 14) & ~current
 
     def sum_if(condition: Column, column: str) -> Column:
         return total(F.when(condition, F.col(column)))
 
-    row = _with_as_of(daily, as_of).agg(
+    row = daily.filter(_since(as_of, 14)).agg(
         sum_if(current, "GMV").alias("Current_GMV"),
         sum_if(previous, "GMV").alias("Previous_GMV"),
         sum_if(current, "Orders").alias("Current_Orders"),

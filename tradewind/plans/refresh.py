@@ -9,12 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradewind.operators import channels, customers, masters
-from tradewind.operators.versions import newest
 from tradewind.plans.sinks import read_table, write_table, write_tables
 from tradewind.session import stage
-from tradewind.sources import files
-from tradewind.sources.delimited import read_csv
+from tradewind.sources import delimited, files
 
+REJECTED_SCHEMA = "Name string, Signature string, Reason string, Rejected_At timestamp"
 # What the master tables read from the unified order lines.
 LINE_COLUMNS = [
     "Order_ID", "Order_Status", "Order_Date", "Order_Date_Only", "Product_Name", "SKU", "Quantity",
@@ -111,47 +110,66 @@ class OrderStore:
     """Raw order lines kept as append-only batches, with a manifest of the files they came from.
 
     A run writes its batch first and the manifest rows last. A batch without manifest rows is not read, so
-    a run that failed half-way is simply repeated. A changed file is read again; its rows replace the
-    older ones because the newest file wins per key.
+    a run that failed half-way is simply repeated. A changed file is read again. Files that cannot be read are listed
+    with the reason in ``rejected`` and stay pending; they do not stop the others.
     """
 
     spark: SparkSession
     folder: str
     data_type: str = "social_orders"
-    keys: tuple[str, ...] = ("Order ID", "SKU ID")
-
-    _ORDER = ("File_Modified", "File_Source", "File_Block", "File_Row")
+    order_key: str = "Order ID"
 
     @property
     def _manifest_path(self) -> str:
         return f"{self.folder}/file_manifest"
 
+    @property
+    def _rejected_path(self) -> str:
+        return f"{self.folder}/rejected_files"
+
     def _exists(self, path: str) -> bool:
         context = self.spark.sparkContext
         where = context._jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(context._jsc.hadoopConfiguration()).exists(where)
 
+    def _table(self, path: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(path) if self._exists(path) else self.spark.createDataFrame([], schema)
+
     def manifest(self) -> DataFrame:
-        schema = files.MANIFEST_SCHEMA + ", Batch int"
-        if not self._exists(self._manifest_path):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self._manifest_path)
+        return self._table(self._manifest_path, files.MANIFEST_SCHEMA + ", Batch int")
 
-    def pending(self, exports: str, glob: str = "*.csv") -> DataFrame:
-        return files.unprocessed(files.listing(self.spark, exports, glob), self.manifest(), self.data_type)
+    def rejected(self) -> DataFrame:
+        """Files that a run could not read: ``Name``, ``Signature``, ``Reason`` and when."""
+        return self._table(self._rejected_path, REJECTED_SCHEMA)
 
-    def ingest(self, exports: str, glob: str = "*.csv") -> int:
-        """Read new and changed export files into a batch; returns their number."""
-        waiting = self.pending(exports, glob)
-        paths = [row["path"] for row in waiting.select("path").collect()]
-        if not paths:
+    def pending(self, exports: str, glob: str = "*.csv") -> DataFrame:
+        """Files whose newest entry is of another state, or that have none."""
+        newest_entries = files.latest_manifest(self.manifest())
+        return files.unprocessed(files.listing(self.spark, exports, glob), newest_entries, self.data_type)
+
+    def ingest(self, exports: str, glob: str = "*.csv", force: bool = False) -> int:
+        """Read new and changed export files into a batch; returns their number. ``force`` reads all files.
+
+        The state of the files is taken once, before they are read: a file that changes meanwhile has another state
+        than its entry and is read again by the next run."""
+        found = files.listing(self.spark, exports, glob) if force else self.pending(exports, glob)
+        waiting = found.select("path", "Name", "Signature").collect()
+        if not waiting:
+            return 0
+        names_of = delimited.headers(self.spark, [row["path"] for row in waiting])
+        rejected = [(r["Name"], r["Signature"], "no header") for r in waiting if r["path"] not in names_of]
+        if rejected:
+            rows = self.spark.createDataFrame(rejected, "Name string, Signature string, Reason string")
+            rows.withColumn("Rejected_At", F.current_timestamp()).coalesce(1).write.mode("append").parquet(self._rejected_path)
+        readable = [row for row in waiting if row["path"] in names_of]
+        if not readable:
             return 0
         last = self.manifest().agg(F.max("Batch")).first()[0]
         number = 0 if last is None else last + 1
-        path = f"{self.folder}/batches/{number}"
-        read_csv(self.spark, [files.literal_path(p) for p in paths], glob).write.mode("overwrite").parquet(path)
-        self.commit(number, waiting.filter(F.col("path").isin(paths)))
-        return len(paths)
+        rows = delimited.read_files(self.spark, [row["path"] for row in readable], names_of)
+        rows.write.mode("overwrite").parquet(f"{self.folder}/batches/{number}")
+        self.commit(number, self.spark.createDataFrame([(r["Name"], r["Signature"]) for r in readable], "Name string, Signature string"))
+        return len(readable)
 
     def commit(self, number: int, processed: DataFrame) -> None:
         batch = self.spark.read.parquet(f"{self.folder}/batches/{number}")
@@ -160,11 +178,17 @@ class OrderStore:
         entries.coalesce(1).write.mode("append").parquet(self._manifest_path)
 
     def current(self) -> DataFrame:
-        """The newest row per key over all committed batches, still with its raw status."""
+        """All lines an order has in the newest file that holds it, over all committed batches, still with their raw
+        status. A later batch is newer, and inside a batch the file that was written last. Lines without an order
+        are those of one order."""
         numbers = [r[0] for r in self.manifest().select("Batch").distinct().orderBy("Batch").collect()]
         paths = [f"{self.folder}/batches/{n}" for n in numbers]
-        rows = self.spark.read.option("mergeSchema", "true").parquet(*paths)
-        return newest(rows, self.keys, self._ORDER)
+        batch = F.regexp_extract("_metadata.file_path", r"/batches/(\d+)/", 1).cast("int")
+        rows = self.spark.read.option("mergeSchema", "true").parquet(*paths).withColumn("_batch", batch)
+        version = F.struct("_batch", "File_Modified", "File_Source")
+        newest_of = rows.groupBy(F.col(self.order_key).alias("_order")).agg(F.max(version).alias("_version"))
+        same = F.col(self.order_key).eqNullSafe(F.col("_order")) & (version == F.col("_version"))
+        return rows.join(newest_of, same).drop("_order", "_version", "_batch")
 
     def refresh(self, exports: str, tables_folder: str, others: Mapping[str, DataFrame] | None = None) -> list[str]:
         """Ingest, then rebuild the tables from the merged rows; invalid statuses are dropped after merging."""

@@ -29,7 +29,7 @@ def _file_columns() -> dict[str, Column]:
 
 def _lines(spark: SparkSession, paths, glob: str) -> DataFrame:
     """Lines with their file; only the order inside one block of a file is meaningful."""
-    text = spark.read.option("pathGlobFilter", glob).option("ignoreCorruptFiles", "true").text(paths)
+    text = spark.read.option("pathGlobFilter", glob).text(paths)
     return text.select(
         "value",
         decoded("_metadata.file_path").alias("File_Path"),
@@ -37,22 +37,53 @@ def _lines(spark: SparkSession, paths, glob: str) -> DataFrame:
     )
 
 
-def read_csv(spark: SparkSession, paths: str | Sequence[str], glob: str = "*.csv", multi_line: bool = False) -> DataFrame:
+def with_line_breaks(spark: SparkSession, paths: Sequence[str]) -> set[str]:
+    """Files in which a quoted cell goes over several lines: some line has an odd number of quotes."""
+    if not paths:
+        return set()
+    odd = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
+    found = spark.read.text([literal_path(p) for p in paths]).filter(odd).select(decoded("_metadata.file_path").alias("path")).distinct()
+    return {row["path"] for row in found.collect()}
+
+
+def read_csv(spark: SparkSession, paths: str | Sequence[str], glob: str = "*.csv", multi_line: bool | None = None) -> DataFrame:
     """All CSV files of a folder as text columns, joined by column name.
 
     Files may have their columns in different order. Files with the same header line are read together
-    with an explicit schema; there are as many reads as there are different header lines.
+    with an explicit schema; there are as many reads as there are different header lines. Blank lines above the
+    header are skipped. Files with line breaks inside quotes are found by a scan and read as a whole, the others
+    are split among tasks; ``multi_line`` says so for all files instead.
     """
     found = [row["path"] for row in listing(spark, paths, glob).select("path").collect()]
-    groups: dict[tuple, list[str]] = defaultdict(list)
-    for path, header in first_lines(spark, found).items():
-        names = next(csv.reader([(header or "").lstrip("\ufeff")]), [])
-        if names:
-            groups[tuple(n.strip() for n in names)].append(literal_path(path))
-    if not groups:
+    result = read_files(spark, found, headers(spark, found), multi_line)
+    if result is None:
         raise FileNotFoundError(f"no CSV file with a header in {paths}")
+    return result
+
+
+def headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, tuple[str, ...]]:
+    """Column names per file that has a header."""
+    found = {}
+    for path, line in first_lines(spark, paths).items():
+        names = tuple(n.strip() for n in next(csv.reader([(line or "").lstrip("\ufeff")]), []))
+        if names:
+            found[path] = names
+    return found
+
+
+def read_files(spark: SparkSession, paths: Sequence[str], names_of: Mapping[str, tuple[str, ...]], multi_line: bool | None = None) -> DataFrame | None:
+    """The given files, by their headers; None if no file has one."""
+    readable = [p for p in paths if p in names_of]
+    if multi_line is None:
+        plain = {p.split(":", 1)[-1].lstrip("/") for p in with_line_breaks(spark, readable)}
+        broken = {p for p in readable if p.split(":", 1)[-1].lstrip("/") in plain}
+    else:
+        broken = set(readable) if multi_line else set()
+    groups: dict[tuple, list[str]] = defaultdict(list)
+    for path in readable:
+        groups[names_of[path], path in broken].append(literal_path(path))
     result = None
-    for names, files in sorted(groups.items()):
+    for (names, whole), files in sorted(groups.items()):
         seen: dict[str, int] = {}
         unique = []
         for name in names:  # a repeated header gets a running number
@@ -61,7 +92,7 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], glob: str = "*.csv
         schema = ", ".join(f"`{n}` string" for n in unique)
         part = (
             spark.read.schema(schema)
-            .options(header=True, quote='"', escape='"', multiLine=multi_line, ignoreCorruptFiles=True)
+            .options(header=True, quote='"', escape='"', multiLine=whole)
             .csv(files)
             .withColumns(_file_columns())
         )
@@ -70,14 +101,16 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], glob: str = "*.csv
 
 
 def csv_cells(line: Column) -> Column:
-    """Cells of one CSV line, honouring quotes."""
-    cells = F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
-    return F.transform(
-        cells,
-        lambda c: F.when(
-            F.trim(c).rlike('^".*"$'), F.replace(F.regexp_extract(F.trim(c), '^"(.*)"$', 1), F.lit('""'), F.lit('"'))
-        ).otherwise(c),
+    """Cells of one CSV line, honouring quotes, in time proportional to its length.
+
+    Between quotes commas are text. A quote that is doubled inside a quoted cell leaves nothing between the two.
+    """
+    separator, end = "\u0001", "\u0002"
+    marked = F.transform(
+        F.split(F.concat(line, F.lit(end)), '"', -1),
+        lambda s, i: F.when(i % 2 == 1, s).when((s == "") & (i > 0), F.lit('"')).otherwise(F.replace(s, F.lit(","), F.lit(separator))),
     )
+    return F.split(F.translate(F.array_join(marked, ""), end, ""), separator, -1)
 
 
 def pick(cells: Column, header: Column, name: str) -> Column:
@@ -120,7 +153,7 @@ def read_ads_reports(spark: SparkSession, paths: str | Sequence[str], glob: str
 def _combined_header(upper: Column, lower: Column) -> Column:
     """Two header rows as one: blanks of the upper row take the text to their left."""
     filled = F.aggregate(
-        F.arrays_zip(upper.alias("u"), lower.alias("l")),
+        F.zip_with(upper, lower, lambda u, l: F.named_struct(F.lit("u"), u, F.lit("l"), l)),
         F.struct(F.lit("").alias("current"), F.array().cast("array<string>").alias("out")),
         lambda acc, pair: _next_header(acc, pair),
     )
@@ -139,33 +172,30 @@ def map_header(header: Column, rules: Sequence[tuple[str, str]]) -> Column:
     return first_match([(F.contains(header, F.lit(text)), name) for text, name in rules], None)
 
 
-def read_overview_reports(spark: SparkSession, paths: str | Sequence[str], rules: Sequence[tuple[str, str]], glob: str = "*.csv") -> DataFrame:
-    """Overview reports: two header rows and one data row per file; shorter files are ignored.
+def read_overview_reports(
+    spark: SparkSession, paths: str | Sequence[str], rules: Sequence[tuple[str, str]], glob: str = "*.csv", first_row_only: bool = False
+) -> DataFrame:
+    """Overview reports: two header rows and the data rows below them; shorter files give no rows.
 
-    These reports hold one row of figures by their format, so a whole file is one small value. The report
-    date stands in the file name, or else in the name of the folder.
+    These reports hold few rows of figures by their format, so a whole file is one small value. The report
+    date stands in the file name, or else in the name of the folder. ``first_row_only`` leaves out all data rows but
+    the first of each file.
     """
-    text = (
-        spark.read.option("pathGlobFilter", glob).option("ignoreCorruptFiles", "true").text(paths, wholetext=True)
-    )
+    text = spark.read.option("pathGlobFilter", glob).text(paths, wholetext=True)
     lines = F.filter(F.split(F.regexp_replace("value", "^\ufeff", ""), "\r?\n"), lambda x: F.trim(x) != "")
     path = F.split(decoded("_metadata.file_path"), "/")
-    reports = (
-        text.select(
-            F.element_at(path, -1).alias("File_Source"),
-            F.element_at(path, -2).alias("Folder"),
-            F.slice(lines, 1, 3).alias("lines"),
-        )
-        .filter(F.size("lines") == 3)
-        .select("File_Source", "Folder", F.transform("lines", csv_cells).alias("rows"))
-    )
-    header = _combined_header(F.col("rows")[0], F.col("rows")[1])
-    reports = reports.withColumn("names", F.transform(header, lambda h: map_header(h, rules)))
+    reports = text.select(F.element_at(path, -1).alias("File_Source"), F.element_at(path, -2).alias("Folder"), lines.alias("lines"))
+    reports = reports.filter(F.size("lines") >= 3)
+    header = _combined_header(csv_cells(F.col("lines")[0]), csv_cells(F.col("lines")[1]))
+    data = F.slice("lines", 3, 1) if first_row_only else F.slice("lines", F.lit(3), F.size("lines"))
+    reports = reports.select(
+        "File_Source", "Folder", F.transform(header, lambda h: map_header(h, rules)).alias("names"), F.explode(data).alias("line")
+    ).withColumn("cells", csv_cells(F.col("line")))
     _, in_name = parsing.file_dates("File_Source", "live")
     _, in_folder = parsing.file_dates("Folder", "live")
     canonical = list(dict.fromkeys(name for _, name in rules))
     return reports.select(
-        *[pick(F.col("rows")[2], F.col("names"), name).alias(name) for name in canonical],
+        *[pick(F.col("cells"), F.col("names"), name).alias(name) for name in canonical],
         "File_Source",
         F.coalesce(in_name, in_folder).alias("Report_Date"),
     )

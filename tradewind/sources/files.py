@@ -25,11 +25,15 @@ def literal_path(path: str) -> str:
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
+# Characters read of a file to find its header; a first line that is longer is none.
+HEADER_CHARS = 1 << 16
+
+
 def first_lines(spark: SparkSession, paths: Sequence[str]) -> dict[str, str | None]:
-    """First line of every file, without reading any further.
+    """First line of every file that is not blank, without reading any further than ``HEADER_CHARS``.
 
     The driver opens the files, which it lists for every scan anyway; a scan for the first lines would read
-    all of the data once more. A file that cannot be opened or has no line gives None.
+    all of the data once more. A file that cannot be opened or has no such line gives None.
     """
     context = spark.sparkContext
     jvm, configuration = context._jvm, context._jsc.hadoopConfiguration()
@@ -41,14 +45,30 @@ def first_lines(spark: SparkSession, paths: Sequence[str]) -> dict[str, str | No
         except Py4JJavaError:
             return None
         try:
-            return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
+            reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+            start = _some_chars(context, reader)
+        except Py4JJavaError:
+            return None
         finally:
             stream.close()
+        whole, lines = len(start) < HEADER_CHARS, start.lstrip("\ufeff").splitlines(keepends=True)
+        found = next((line for line in lines if line.strip()), None)
+        return found.rstrip("\r\n") if found and (whole or found[-1] in "\r\n") else None
 
     with ThreadPoolExecutor(16) as pool:
         return dict(zip(paths, pool.map(first_line, paths)))
 
 
+def _some_chars(context, reader) -> str:
+    """Up to ``HEADER_CHARS`` characters."""
+    jvm = context._jvm
+    buffer = jvm.java.nio.CharBuffer.allocate(HEADER_CHARS)
+    while buffer.hasRemaining() and reader.read(buffer) >= 0:
+        pass
+    buffer.flip()
+    return buffer.toString()
+
+
 def listing(spark: SparkSession, folder: str | Sequence[str], glob: str = "*") -> DataFrame:
     """Files of a folder with size and time, without reading their content."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder if isinstance(folder, str) else list(folder))
@@ -89,16 +109,18 @@ def latest_manifest(manifest: DataFrame) -> DataFrame:
 
 
 def content_hashes(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """MD5 of every file below ``folder``, with the folder it lies in."""
+    """MD5 of every file below ``folder``, with its folder relative to that one (empty for files right in it)."""
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", glob)
         .option("recursiveFileLookup", "true")
         .load(folder)
     )
-    parts = F.split("path", "/")
+    root = "/" + re.sub(r"^[a-zA-Z0-9+.-]+:/*", "", folder).strip("/") + "/"
+    below = F.expr("substring(path, locate(:root, path) + length(:root))".replace(":root", "'" + root.replace("'", "\\'") + "'"))
+    parts = F.split(below, "/")
     return files.select(
-        F.element_at(parts, -2).alias("Folder"), F.element_at(parts, -1).alias("Name"), F.md5("content").alias("Hash")
+        F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/").alias("Folder"), F.element_at(parts, -1).alias("Name"), F.md5("content").alias("Hash")
     ).filter(F.lower("Name") != "desktop.ini")
 
 

@@ -57,7 +57,27 @@ def _date_styles(archive: zipfile.ZipFile) -> set[int]:
     return {i for i, xf in enumerate(formats) if int(xf.get("numFmtId", 0)) in dates}
 
 
-def _value(cell, shared: list[str], dates: set[int]) -> str | None:
+def _first_sheet(archive: zipfile.ZipFile) -> tuple[str, datetime]:
+    """Name of the sheet that the workbook lists first, and the day its dates count from."""
+    epoch, target = datetime(1899, 12, 30), None
+    if "xl/workbook.xml" in archive.namelist():
+        root = ElementTree.fromstring(archive.read("xl/workbook.xml"))
+        elements = {_local(e.tag): e for e in reversed(list(root.iter()))}
+        if "workbookPr" in elements and elements["workbookPr"].get("date1904") in ("1", "true"):
+            epoch = datetime(1904, 1, 1)
+        number = next((v for k, v in elements["sheet"].items() if _local(k) == "id"), None) if "sheet" in elements else None
+        if number and "xl/_rels/workbook.xml.rels" in archive.namelist():
+            relations = ElementTree.fromstring(archive.read("xl/_rels/workbook.xml.rels"))
+            target = next((e.get("Target") for e in relations if e.get("Id") == number), None)
+    if target:
+        target = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+    if target not in archive.namelist():
+        sheets = [n for n in archive.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)]
+        target = min(sheets, key=lambda n: int(re.findall(r"\d+", n)[-1]))
+    return target, epoch
+
+
+def _value(cell, shared: list[str], dates: set[int], epoch: datetime) -> str | None:
     kind = cell.get("t")
     if kind == "inlineStr":
         return _text(cell)
@@ -68,7 +88,7 @@ def _value(cell, shared: list[str], dates: set[int]) -> str | None:
         return shared[int(raw)]
     if kind is None or kind == "n":
         if int(cell.get("s", 0)) in dates:
-            moment = datetime(1899, 12, 30) + timedelta(days=float(raw))
+            moment = epoch + timedelta(days=float(raw))
             return (moment + timedelta(microseconds=500)).strftime("%Y-%m-%d %H:%M:%S")
         return raw[:-2] if raw.endswith(".0") else raw
     return raw
@@ -84,8 +104,7 @@ def _sheet_rows(content: bytes) -> Iterator[tuple[int, list]]:
                     shared.append(_text(element))
                     element.clear()
         dates = _date_styles(archive)
-        sheets = [n for n in archive.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)]
-        first = min(sheets, key=lambda n: int(re.findall(r"\d+", n)[-1]))
+        first, epoch = _first_sheet(archive)
         position = -1
         for _, element in ElementTree.iterparse(archive.open(first)):
             if _local(element.tag) != "row":
@@ -95,7 +114,7 @@ def _sheet_rows(content: bytes) -> Iterator[tuple[int, list]]:
             for cell in element:
                 at = _column_number(cell.get("r", "")) if cell.get("r") else len(cells)
                 cells.extend([None] * (at + 1 - len(cells)))
-                cells[at] = _value(cell, shared, dates)
+                cells[at] = _value(cell, shared, dates, epoch)
             yield position, cells
             element.clear()
 
@@ -110,9 +129,8 @@ def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if len(rows) == _ROWS_PER_BATCH:
                         yield pd.DataFrame(rows, columns=["File_Path", "Row", "Cells"])
                         rows = []
-            except (zipfile.BadZipFile, KeyError, ValueError, IndexError, ElementTree.ParseError) as problem:
-                # A damaged file must not stop the others; it is reported as row -1.
-                rows.append((path, -1, [str(problem)]))
+            except Exception as problem:  # whatever is wrong with one file is reported as row -1, the others go on
+                rows.append((path, -1, [f"{type(problem).__name__}: {problem}"]))
             if rows:
                 yield pd.DataFrame(rows, columns=["File_Path", "Row", "Cells"])
 
