@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from checks import exports
@@ -140,6 +142,19 @@ def _full_refresh(spark, folder):
     return refresh.table_sizes(refresh.stored_tables(spark, target, names))
 
 
+def _complete_run(spark, folder):
+    """Source figures of the summary that a run with exports and views returns; one export is read back."""
+    target = _new_folder(spark, "run")
+    lines = order_lines(spark, folder, *ALL)
+    by_channel = {p: lines.filter(F.col("Platform") == p) for p in ("marketplace", "social")}
+    social = {f"social_{k}": content(spark, folder, k).filter(F.col("Platform") == "social") for k in ("live", "video")}
+    summary = refresh.complete_run({**by_channel, **social}, f"{target}/tables", f"{target}/csv", "run_")
+    exported = delimited.read_csv(spark, f"{target}/csv/daily_sales").agg(
+        F.lit("exported_GMV").alias("Metric"), F.sum(F.col("GMV").cast("double")).alias("Value")
+    )
+    return summary.unionByName(exported)
+
+
 def _incremental(spark, folder):
     """Two exports: the second corrects the orders from 1999 on, which the first has with other values."""
     root = _new_folder(spark, "incremental")
@@ -172,8 +187,7 @@ def _stored_all_orders(spark, folder):
     """The view over stored tables: written by month, read back with a date filter."""
     target = _new_folder(spark, "orders")
     sinks.write_tables({"orders_raw": _all_orders(spark, folder)}, target)
-    stored = sinks.read_table(spark, target, "orders_raw")
-    return stored.filter(F.col("Order_Date") >= F.lit("2000-01-01").cast("timestamp"))
+    return sinks.read_table(spark, target, "orders_raw", start=date(2000, 1, 1))
 
 
 _KEYWORDS = "NOT contains(lower(\"Product_Name\"), 'ring')"
@@ -262,8 +276,18 @@ CHECKS = [
               coalesce("GPM", 0) AS "Video_GPM_Confirmed", 'marketplace' AS "Platform" FROM ({_overview_sql("video", "Video", "NULL")})""",
         (CONTENT,),
     ),
-    Check("manifest_new_files", "Data_Type:s Name:s Signature:s Records:l Still_Pending:l", _manifest),
-    Check("changed_files", "Folder:s Name:s Hash:s Status:s", _changed),
+    Check(
+        "manifest_new_files",
+        "Data_Type:s Name:s Records:l Still_Pending:l",
+        _manifest,
+        " UNION ALL ".join(f"SELECT 'tables' AS \"Data_Type\", '{n}.parquet' AS \"Name\", count(*) AS \"Records\", 0 AS \"Still_Pending\" FROM {n}" for n in TABLES),
+    ),
+    Check(
+        "changed_files",
+        "Folder:s Name:s Status:s",
+        _changed,
+        """SELECT '' AS "Folder", 'events.parquet' AS "Name", 'new' AS "Status" UNION ALL SELECT '', 'lineitem.parquet', 'modified'""",
+    ),
     Check("catalog_tables", "Table_Name:s Column_Name:s Data_Type:s", _catalog),
     Check(
         "write_tables",
@@ -272,6 +296,23 @@ CHECKS = [
         _counts(_COUNTS),
         (*_LINES, DAILY, PRODUCTS, GEO, DAILY_GEO, ADS_RAW, ADS),
     ),
+    Check(
+        "run_sources",
+        "Metric:s Value:f2",
+        _complete_run,
+        """SELECT p || '_' || m AS "Metric", v AS "Value" FROM (
+             SELECT "Platform" AS p, unnest(['Records', 'Orders', 'GMV', 'Quantity']) AS m,
+               unnest([CAST(count(*) AS DOUBLE), count(DISTINCT "Order_ID"), CAST(sum("Net_Sales") AS DOUBLE), sum("Quantity")]) AS v
+             FROM lines WHERE "Platform" <> 'direct' GROUP BY 1
+             UNION ALL SELECT 'social_live', unnest(['Records', 'GMV', 'Orders', 'Viewers']),
+               unnest([CAST(count(*) AS DOUBLE), coalesce(CAST(sum("GMV") AS DOUBLE), 0), coalesce(sum("Orders"), 0), coalesce(sum("Viewers"), 0)])
+             FROM live WHERE "Platform" = 'social'
+             UNION ALL SELECT 'social_video', unnest(['Records', 'GMV', 'Orders', 'Views']),
+               unnest([CAST(count(*) AS DOUBLE), coalesce(CAST(sum("GMV") AS DOUBLE), 0), coalesce(sum("Orders"), 0), coalesce(sum("Views"), 0)])
+             FROM video WHERE "Platform" = 'social')
+           UNION ALL SELECT 'exported_GMV', CAST(sum("Net_Sales") AS DOUBLE) FROM lines WHERE "Platform" <> 'direct'""",
+        (*_LINES, CONTENT),
+    ),
     Check("export_csv", f"Date:d Platform:s {_MASTER_SUMS}", _export_csv, "SELECT * FROM daily_totals", (*_LINES, DAILY)),
     Check(
         "stored_orders",

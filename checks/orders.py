@@ -12,6 +12,7 @@ from checks.adapters import (
 from checks.base import Check
 from tradewind.operators import channels, masters, periods
 from tradewind.plans import named, refresh
+from tradewind.session import stage
 
 _LINES = (RAW_LINES, LINES)
 _DAILY = (*_LINES, DAILY)
@@ -53,7 +54,8 @@ def _direct(spark, folder):
 
 
 def _all_orders(spark, folder):
-    lines = order_lines(spark, folder, "product", "province")
+    # Joined and stored once; the channels are parts of the stored lines.
+    lines = stage(order_lines(spark, folder, "product", "province"), "order-lines")
     parts = [lines.filter(F.col("Platform") == p) for p in ("marketplace", "social", "direct")]
     return channels.all_orders(*parts)
 

@@ -41,3 +41,12 @@ def test_distinct_orders_need_no_shuffle_after_the_order_join(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "SortMergeJoin" in plan
     assert not re.search(r"hashpartitioning\([^)]*Order_Date_Only[^)]*Order_ID", plan)
+
+
+@pytest.mark.parametrize("name", ["hero_kpis", "period_comparison", "hero_comparison"])
+def test_date_filters_reach_the_scan(spark, name):
+    assert re.search(r"PushedFilters: .*GreaterThanOrEqual\(o_orderdate", _plan(spark, name))
+
+
+def test_stored_orders_skip_months(spark):
+    assert re.search(r"PartitionFilters: \[[^\]]*Month[^\]]*>= 2000-01", _plan(spark, "stored_orders"))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradewind.operators import channels, customers, masters
-from tradewind.plans.sinks import read_table, write_table, write_tables
+from tradewind.functions.numbers import total
+from tradewind.plans.sinks import export_csv, read_table, register_views, write_table, write_tables
 from tradewind.session import stage
 from tradewind.sources import delimited, files
 
@@ -22,6 +24,7 @@ LINE_COLUMNS = [
 ]
 # What direct sales have in addition.
 DIRECT_COLUMNS = ["Customer_Type", "Sales_Channel", "VAT", "Total_Amount"]
+REPORT_TABLES = {"live": "combined_live", "video": "combined_video", "social_live": "social_live", "social_video": "social_video"}
 CHANNEL_TABLES = {"marketplace": "orders_raw", "social": "social_orders", "direct": "direct_orders"}
 
 
@@ -57,8 +60,7 @@ def full_refresh(sources: Mapping[str, DataFrame], folder: str) -> list[str]:
         tables.update(master_tables(channels.unify(*parts)))
     if "ads" in sources:
         tables["ads_performance"] = masters.ads_master(sources["ads"])
-    reports = {"live": "combined_live", "video": "combined_video", "social_live": "social_live", "social_video": "social_video"}
-    tables.update({name: sources[source] for source, name in reports.items() if source in sources})
+    tables.update({name: sources[source] for source, name in REPORT_TABLES.items() if source in sources})
     write_tables(tables, folder)
     return [*stored, *tables]
 
@@ -76,13 +78,15 @@ def table_sizes(tables: Mapping[str, DataFrame]) -> DataFrame:
     return result
 
 
+def _long(row: DataFrame) -> DataFrame:
+    """The columns of a one-row frame as (Metric, Value)."""
+    pairs = [F.struct(F.lit(c).alias("Metric"), F.col(c).cast("double").alias("Value")) for c in row.columns]
+    return row.select(F.inline(F.array(*pairs)))
+
+
 def run_summary(daily: DataFrame, products: DataFrame, ads: DataFrame) -> DataFrame:
     """Headline figures of a run as (metric, value)."""
 
-    def long(df: DataFrame) -> DataFrame:
-        pairs = [F.struct(F.lit(c).alias("Metric"), F.col(c).cast("double").alias("Value")) for c in df.columns]
-        return df.select(F.inline(F.array(*pairs)))
-
     sales = daily.agg(
         F.unix_date(F.min("Date")).alias("First_Day"),
         F.unix_date(F.max("Date")).alias("Last_Day"),
@@ -102,7 +106,51 @@ def run_summary(daily: DataFrame, products: DataFrame, ads: DataFrame) -> DataFr
         F.sum("Sales").alias("Ad_Sales"),
         F.avg("ROAS").alias("Average_ROAS"),
     )
-    return long(sales).unionByName(long(catalogue)).unionByName(long(promotion))
+    return _long(sales).unionByName(_long(catalogue)).unionByName(_long(promotion))
+
+
+# Per source: what a run reports as (metric, column), summed; the records and, of orders, the distinct orders as well.
+SOURCE_SUMS = {
+    "marketplace": (("GMV", "Net_Sales"), ("Quantity", "Quantity")),
+    "social": (("GMV", "Net_Sales"), ("Quantity", "Quantity")),
+    "direct": (("GMV", "Net_Sales"), ("Total_With_VAT", "Total_Amount")),
+    "social_live": (("GMV", "GMV"), ("Orders", "Orders"), ("Viewers", "Viewers")),
+    "social_video": (("GMV", "GMV"), ("Orders", "Orders"), ("Views", "Views")),
+    "live": (("GMV", "Sales_Confirmed"), ("Orders", "Orders_Confirmed"), ("Viewers", "Total_Viewers")),
+    "video": (("GMV", "Video_Sales_Confirmed"), ("Orders", "Video_Orders_Confirmed"), ("Viewers", "Total_Viewers")),
+}
+
+
+def source_summary(sources: Mapping[str, DataFrame]) -> DataFrame | None:
+    """Figures of each source of a run as (Metric, Value); None without known sources."""
+    parts = []
+    for name, figures in SOURCE_SUMS.items():
+        if name not in sources:
+            continue
+        df = sources[name]
+        found = {f"{name}_Records": F.count("*")}
+        if name in CHANNEL_TABLES:
+            found[f"{name}_Orders"] = F.count_distinct("Order_ID")
+        found |= {f"{name}_{metric}": total(column) for metric, column in figures if column in df.columns}
+        parts.append(_long(df.agg(*[column.cast("double").alias(metric) for metric, column in found.items()])))
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def complete_run(sources: Mapping[str, DataFrame], folder: str, exports: str | None = None, views: str | None = None) -> DataFrame:
+    """A full refresh with all that belongs to a run: tables, CSV exports below ``exports``, views with the prefix
+    ``views``. Returns the summary of the run, as (Metric, Value), from the stored tables."""
+    spark = next(iter(sources.values())).sparkSession
+    tables = stored_tables(spark, folder, full_refresh(sources, folder))
+    if exports:
+        for name, df in tables.items():
+            export_csv(df, exports, name)
+    if views is not None:
+        register_views(spark, tables, views)
+    stored = {source: tables[name] for source, name in {**CHANNEL_TABLES, **REPORT_TABLES}.items() if name in tables}
+    parts = [source_summary(stored)]
+    if {"daily_sales", "products", "ads_performance"} <= set(tables):
+        parts.append(run_summary(tables["daily_sales"], tables["products"], tables["ads_performance"]))
+    return reduce(DataFrame.unionByName, [p for p in parts if p is not None])
 
 
 @dataclass
