@@ -4,13 +4,16 @@ All shingles stand in one global order, rare ones first. If two sets have at lea
 prefixes of length ``n - o + k`` have at least ``k`` in common, for every k. For k = 1 that is the usual prefix filter.
 A document takes a longer prefix (a larger k) where its prefix holds frequent shingles and the estimated number of
 candidates falls by more than the longer prefix costs; a pair is then a candidate if it shares as many prefix shingles
-as the smaller k of the two asks for. Candidates are verified on the whole sets.
+as the smaller k of the two asks for. What two sets of known sizes must share is more than ``o``; so a shared shingle
+counts for a pair only if enough shingles follow it in both sets, and a posting is dropped where that holds for no
+partner of its list. Candidates are verified on the whole sets.
 
 The order needs frequencies only to be good, not to be right: shingles are counted into a fixed number of buckets over
-all documents (with copies counted once per task), and the order is by the count of the bucket, then by the hash.
+all documents (with copies counted once per task), and the order is by the count of the bucket, then by the hash. What
+a count exceeds the usual one of a bucket by estimates the frequency.
 
-Equal sets are one node from the start. In a posting list nodes are first compared with one leader; those that are
-alike become a component, and lists whose nodes all belong to one component are done. So a group of copies costs as
+Equal sets are one node from the start. In a posting list nodes are first compared with one leader, that with the
+largest share of frequent or shared shingles, as the original of edited copies has; those that are alike become a component, and lists whose nodes all belong to one component are done. So a group of copies costs as
 much as it has members, not pairs. What is left, pairs of different components in one list, is listed in full and
 verified, so that no link between two components is lost. Frequent shingles are dealt out over several lists whose
 leaders are compared as well.
@@ -32,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewind.llm.components import connected
@@ -41,16 +44,17 @@ from tradewind.session import stage
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Buckets of the frequency counts (a power of two) and the parts in which tasks send them.
-BUCKETS, PARTS = 1 << 20, 64
+BUCKETS, PARTS = 1 << 22, 64
 # The largest number of shared shingles a document may ask for, and what verifying a pair costs in reads of a posting.
 MOST_MATCHES, VERIFY_COST = 8, 8.0
 # Shingles whose estimated frequency is higher are dealt out over that many lists.
 SPLIT_AT, LISTS = 20_000, 16
 # Rounds with leaders before the rest is listed, and the number of pairs per posting that counts as few.
-LEADER_ROUNDS, FEW_PAIRS = 4, 8
+LEADER_ROUNDS, FEW_PAIRS = 1, 8
 # Documents whose ids are sent to all tasks to pick their texts; 8 bytes each.
 BROADCAST_IDS = 500_000
 _ROWS = 200_000
+_FREQUENT = 1 << 20
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -119,7 +123,7 @@ def _profile(words: int):
 
 def _count(counts: np.ndarray, new: list[np.ndarray]) -> None:
     if new:
-        counts += np.bincount((np.concatenate(new) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
+        np.add.at(counts, _bucket(np.concatenate(new)), np.uint32(1))
         new.clear()
 
 
@@ -135,39 +139,43 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def bucket_frequencies(profile: DataFrame) -> np.ndarray:
-    """Estimated frequency of the shingles of each bucket: what its count exceeds the usual noise by, at least 1.
+def bucket_excess(profile: DataFrame) -> tuple[np.ndarray, float]:
+    """By how much the count of each bucket exceeds the usual one, and what of that may be chance.
 
-    The counts have a fixed size (8 MB) whatever the input, so they may pass through the driver."""
+    The counts have a fixed size (32 MB) whatever the input, so they may pass through the driver."""
     sent = profile.filter("part IS NOT NULL").select("part", "counts")
     rows = sent.repartition(PARTS, "part").mapInArrow(_summed, "part int, counts binary").collect()
     counts = np.zeros((PARTS, BUCKETS // PARTS))
     for row in rows:
         counts[row["part"]] += np.frombuffer(row["counts"], np.uint64)
     usual = np.median(counts)
-    return np.maximum(1, counts.ravel() - usual - 4 * np.sqrt(usual)).astype(np.float32)
+    return (counts.ravel() - usual).astype(np.float32), float(4 * np.sqrt(usual))
 
 
-def prefix(hashes: np.ndarray, frequencies: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The document's prefix in the global order, its frequencies, and the number of matches it asks for."""
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+
+
+def prefix(hashes: np.ndarray, excess: np.ndarray, chance: float, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The document's prefix in the global order, the estimated frequencies, and the number of matches it asks for."""
     needed = overlap_needed(len(hashes), percent)
-    own = frequencies[(hashes >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)]
+    own = excess[_bucket(hashes)]
     order = np.lexsort((hashes, own))
+    frequency = np.maximum(1, own[order] - chance)
     most = min(MOST_MATCHES, needed)
     lengths = len(hashes) - needed + np.arange(1, most + 1)
-    reads = np.cumsum(own[order], dtype=np.float64)[lengths - 1]
+    reads = np.cumsum(frequency, dtype=np.float64)[lengths - 1]
     best = int(np.argmin(reads + VERIFY_COST * reads / np.arange(1, most + 1)))
-    order = order[: lengths[best]]
-    return hashes[order], own[order], best + 1
+    return hashes[order[: lengths[best]]], frequency[: lengths[best]], best + 1
 
 
-def _postings(words: int, percent: int, frequencies):
-    """Prefix shingles of each distinct set: ``token``, ``sid``, ``info`` (size, matches asked for, the number of
-    matches from which the shingle belongs to the prefix) and the list a frequent shingle is dealt to."""
-    names = ["token", "sid", "info", "list"]
+def _postings(words: int, percent: int, excess, chance: float):
+    """Prefix shingles of each distinct set: ``token``, ``sid``, ``info`` (size and place of the shingle, 32 bits each) and
+    ``tag`` (whether the shingle is frequent, the share of frequent shingles, and the matches asked for)."""
+    names = ["token", "sid", "info", "tag"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(frequencies.value, np.float32)
+        table = np.frombuffer(excess.value, np.float32)
         seen, rows, count = set(), [], 0
         for batch in batches:
             for text in batch.column("text").to_pylist():
@@ -177,11 +185,10 @@ def _postings(words: int, percent: int, frequencies):
                 if sid in seen or n * 100 < percent * (n + 1):
                     continue
                 seen.add(sid)
-                tokens, own, asked = prefix(hashes, table, percent)
-                first = n - overlap_needed(n, percent) + 1
-                level = np.maximum(1, np.arange(len(tokens)) - first + 2).astype(np.int64)
-                lists = np.where(own >= SPLIT_AT, 1 + sid % LISTS, 0).astype(np.int32)
-                rows.append((tokens.view(np.int64), np.full(len(tokens), sid, np.int64), (n << 16) + (asked << 8) + level, lists))
+                tokens, own, asked = prefix(hashes, table, chance, percent)
+                core = int(255 * np.mean(table[_bucket(hashes)] > chance))
+                tag = np.where(own >= SPLIT_AT, _FREQUENT, 0) + (core << 8) + asked
+                rows.append((tokens.view(np.int64), np.full(len(tokens), sid, np.int64), (n << 32) + np.arange(len(tokens)), tag.astype(np.int32)))
                 count += len(tokens)
                 if count >= _ROWS:
                     yield _batch(rows, names)
@@ -213,19 +220,46 @@ def _sets(words: int):
     return run
 
 
-_ASKED = "least(shiftright({0}, 8) & 255, shiftright({1}, 8) & 255)"
+def _size(info: str) -> Column:
+    return F.shiftright(info, 32)
+
+
+def _after(info: str) -> Column:
+    """Shingles from this one to the end of the order."""
+    return F.shiftright(info, 32) - F.col(info).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def _asked(tag: str) -> Column:
+    return F.col(tag).bitwiseAND(F.lit(255))
+
+
+def _core(tag: str) -> Column:
+    return F.shiftright(tag, 8).bitwiseAND(F.lit(255))
+
+
+def _shared_needed(size_a: Column, size_b: Column, percent: int) -> Column:
+    """Shingles that sets of these sizes share at least."""
+    return F.ceil(percent * (size_a + size_b) / F.lit(100.0 + percent) - 1e-9)
 
 
 def _candidates(pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs (``a`` < ``b``) that share enough prefix shingles and whose sizes allow the similarity."""
-    asked = F.expr(_ASKED.format("info_a", "info_b"))
-    size_a, size_b = F.expr("shiftright(info_a, 16)"), F.expr("shiftright(info_b, 16)")
-    fitting = pairs.filter(100 * F.least(size_a, size_b) >= percent * F.greatest(size_a, size_b))
-    fitting = fitting.withColumn("asked", asked).filter("(info_a & 255) <= asked AND (info_b & 255) <= asked")
-    counted = fitting.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("asked").alias("asked"))
+    size_a, size_b = _size("info_a"), _size("info_b")
+    asked = F.least(_asked("tag_a"), _asked("tag_b"))
+    # Of the shingles a similar pair shares, the first ``asked`` have that many after them.
+    enough = F.least(_after("info_a"), _after("info_b")) >= _shared_needed(size_a, size_b, percent) - asked + 1
+    fitting = pairs.filter((100 * F.least(size_a, size_b) >= percent * F.greatest(size_a, size_b)) & enough)
+    counted = fitting.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(asked).alias("asked"))
     return counted.filter("shared >= asked").select("a", "b")
 
 
+def _useful(least: Column, percent: int) -> Column:
+    """Whether a posting can count for any partner, all of which have at least ``least`` shingles."""
+    size = _size("info")
+    partner = F.greatest(least, F.ceil(size * percent / 100.0 - 1e-9))
+    return _after("info") >= _shared_needed(size, partner, percent) - _asked("tag") + 1
+
+
 def _ordered(left: str, right: str) -> list:
     """The pair (left, right) with the smaller node as ``a``."""
     swap = F.col(left) > F.col(right)
@@ -233,8 +267,8 @@ def _ordered(left: str, right: str) -> list:
     return [
         pick(left, right).alias("a"),
         pick(right, left).alias("b"),
-        pick(left, right, "_info").alias("info_a"),
-        pick(right, left, "_info").alias("info_b"),
+        *[pick(left, right, f"_{c}").alias(f"{c}_a") for c in ("info", "tag")],
+        *[pick(right, left, f"_{c}").alias(f"{c}_b") for c in ("info", "tag")],
     ]
 
 
@@ -269,29 +303,41 @@ def similar_documents(
     spark = df.sparkSession
     profile = stage(profiles(df, id_col, text_col, words), "profiles")
     docs = profile.filter("part IS NULL").select("id", "text_hash", "n", "sid")
-    frequencies = spark.sparkContext.broadcast(bucket_frequencies(profile).tobytes())
+    excess, chance = bucket_excess(profile)
+    excess = spark.sparkContext.broadcast(excess.tobytes())
     texts = _rows(df, id_col, text_col).select("id", "text")
 
-    postings = texts.select("text").mapInArrow(_postings(words, percent, frequencies), "token long, sid long, info long, list int")
+    postings = texts.select("text").mapInArrow(_postings(words, percent, excess, chance), "token long, sid long, info long, tag int")
+    frequent = F.col("tag") >= _FREQUENT
+    postings = postings.withColumn("list", F.when(frequent, F.pmod("sid", F.lit(LISTS)).cast("int") + 1).otherwise(0))
     by_list = Window.partitionBy("token", "list")
+    lead = F.max(F.struct(_core("tag").alias("core"), "sid", "info", "tag")).over(by_list).alias("lead")
+    bounds = [F.min("sid").over(by_list).alias("low"), F.max("sid").over(by_list).alias("high"), F.min(_size("info")).over(by_list).alias("least")]
     lists = (
-        postings.select("*", F.min(F.struct("sid", "info")).over(by_list).alias("lead"), F.max("sid").over(by_list).alias("last"))
-        .filter("lead.sid <> last OR list > 0")
-        .select("token", "list", "sid", "info", F.col("lead.sid").alias("lead"), F.col("lead.info").alias("lead_info"))
+        postings.select("*", lead, *bounds)
+        .filter((F.col("low") != F.col("high")) & _useful(F.col("least"), percent) | (F.col("list") > 0))
+        .select("token", "list", "sid", "info", "tag", *[F.col(f"lead.{c}").alias("lead" if c == "sid" else f"lead_{c}") for c in ("sid", "info", "tag")])
     )
     lists = stage(lists, "postings")
 
     # First round: every node with the leader of its list, and the leaders of the lists of a frequent shingle.
-    own = lists.filter("sid <> lead").select(F.col("sid"), F.col("info").alias("sid_info"), "lead", "lead_info")
-    leaders = lists.filter("list > 0 AND sid = lead").select("token", "sid", F.col("info").alias("sid_info")).distinct()
-    heads = leaders.groupBy("token").agg(F.min(F.struct("sid", "sid_info")).alias("lead"))
-    among = leaders.join(heads, "token").filter("sid <> lead.sid").select("sid", "sid_info", F.col("lead.sid").alias("lead"), F.col("lead.sid_info").alias("lead_info"))
+    of_node = ["sid", F.col("info").alias("sid_info"), F.col("tag").alias("sid_tag")]
+    own = lists.filter("sid <> lead").select(*of_node, "lead", "lead_info", "lead_tag")
+    leaders = lists.filter("list > 0 AND sid = lead").select("token", *of_node).distinct()
+    heads = leaders.groupBy("token").agg(F.max(F.struct(_core("sid_tag").alias("core"), "sid", "sid_info", "sid_tag")).alias("head"))
+    among = leaders.join(heads, "token").filter("sid <> head.sid").select(
+        "sid", "sid_info", "sid_tag", F.col("head.sid").alias("lead"), F.col("head.sid_info").alias("lead_info"), F.col("head.sid_tag").alias("lead_tag")
+    )
     pairs = _candidates(own.unionByName(among).select(*_ordered("lead", "sid")), percent)
     known = [_check(pairs, docs, texts, words, percent)]
+    # The number of shared postings of a node tells how central it is.
+    members = lists.select("token", "sid", "info", "tag").distinct()
+    least = members.groupBy("token").agg(F.min(_size("info")).alias("least"))
+    members = members.join(least, "token").filter(_useful(F.col("least"), percent)).drop("least")
+    members = members.join(lists.groupBy("sid").agg(F.count("*").alias("core")), "sid")
     for round_ in range(1, LEADER_ROUNDS + 2):
         roots = connected(_union(known).filter("alike").select("a", "b"))
-        nodes = lists.select("token", "sid", "info").distinct().join(roots.withColumnRenamed("node", "sid"), "sid", "left")
-        nodes = nodes.withColumn("root", F.coalesce("root", "sid"))
+        nodes = members.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
         per_root = nodes.groupBy("token", "root").agg(F.count("*").alias("c"))
         per_token = per_root.groupBy("token").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.count("*").alias("roots"))
         several = per_token.filter("roots > 1").select("token", "c", "squares")
@@ -347,14 +393,18 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def _open_pairs(open_: DataFrame, round_: int | None) -> DataFrame:
     """Pairs of different components in one list: each node with another leader than before, or all of them."""
-    left = open_.select("token", F.col("sid").alias("x"), F.col("info").alias("x_info"), F.col("root").alias("x_root"))
+    def named(name):
+        return ["token", F.col("sid").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("info", "tag", "root")]]
+
+    left = open_.select(*named("x"))
     if round_ is None:
-        right = open_.select("token", F.col("sid").alias("y"), F.col("info").alias("y_info"), F.col("root").alias("y_root"))
-        pairs = left.join(right, "token").filter("x < y AND x_root <> y_root")
+        pairs = left.join(open_.select(*named("y")), "token").filter("x < y AND x_root <> y_root")
     else:
-        first = F.min(F.struct(F.xxhash64("sid", F.lit(round_)), "sid", "info", "root"))
+        # The most central node, then nodes at random.
+        order = F.col("core") if round_ == 1 else F.xxhash64("sid", F.lit(round_))
+        first = F.max(F.struct(order.alias("order"), "sid", "info", "tag", "root"))
         heads = open_.groupBy("token").agg(first.alias("lead"))
-        heads = heads.select("token", F.col("lead.sid").alias("y"), F.col("lead.info").alias("y_info"), F.col("lead.root").alias("y_root"))
+        heads = heads.select("token", "lead.*").select(*named("y"))
         pairs = left.join(heads, "token").filter("x <> y AND x_root <> y_root")
     return pairs.select(*_ordered("x", "y"))
 
