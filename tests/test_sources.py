@@ -192,6 +192,10 @@ def test_table_access(spark):
     assert tables.load_or_empty(spark, "no_such_table", "a int").count() == 0
     spark.range(3).selectExpr("id", "cast(id as double) as Total_GMV").createOrReplaceTempView("products")
     assert [r["id"] for r in tables.load(spark, "products", ordered=True).collect()] == [2, 1, 0]
+    assert tables.load(spark, "no_such_table", ordered=True).count() == 0 and tables.load(spark, "all_orders", prefix="none_").count() == 0
+    spark.sql("SELECT 1 AS Order_ID, DATE'2024-01-01' AS Order_Date").createOrReplaceTempView("some_orders_raw")
+    spark.sql("SELECT 2 AS Order_ID, DATE'2024-01-02' AS Order_Date, 'x' AS SKU").createOrReplaceTempView("some_direct_orders")
+    assert [r["Order_ID"] for r in tables.load(spark, "all_orders", ordered=True, prefix="some_").collect()] == [2, 1]
     assert tables.list_tables(spark, "products").count() == 1
     assert [r["Column_Name"] for r in tables.describe(spark, "products").collect()] == ["id", "Total_GMV"]
     spark.catalog.dropTempView("products")

@@ -21,7 +21,11 @@ def file_stream(spark: SparkSession, folder: str, schema, file_format: str = "cs
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return reader.load(folder).withColumns(
-        {"File_Source": F.col("_metadata.file_name"), "File_Modified": F.col("_metadata.file_modification_time")}
+        {
+            "File_Source": F.col("_metadata.file_name"),
+            "File_Modified": F.col("_metadata.file_modification_time"),
+            "File_Block": F.col("_metadata.file_block_start"),
+        }
     )
 
 
@@ -33,7 +37,8 @@ def ingest(stream: DataFrame, batches: str, checkpoint: str, every: str | None =
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{batches}/batch={number}")
+        rows = batch.withColumn("File_Row", F.monotonically_increasing_id())
+        rows.write.mode("overwrite").parquet(f"{batches}/batch={number}")
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": every} if every else {"availableNow": True}
@@ -41,5 +46,5 @@ def ingest(stream: DataFrame, batches: str, checkpoint: str, every: str | None =
 
 
 def current(spark: SparkSession, batches: str, keys, order=("File_Modified", "File_Source")) -> DataFrame:
-    """The newest row per key over all stored micro-batches."""
-    return newest(spark.read.parquet(batches), keys, [*order, "batch"]).drop("batch")
+    """The newest row per key over all stored micro-batches; of two rows in one file the later one."""
+    return newest(spark.read.parquet(batches), keys, [*order, "batch", "File_Block", "File_Row"]).drop("batch")
