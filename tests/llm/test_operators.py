@@ -224,7 +224,10 @@ def test_encoding_equals_the_library(spark):
     texts += ["", None, "a" * 3000, "The THE the <|startoftext|>x", "word " * 30_000, "same", "same"]
     df = docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
     columns = ("n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256")
-    for row in trie_bpe.encode(df, VOCABULARY, columns=columns).collect():
+    encoded = trie_bpe.encode(df, VOCABULARY, columns=columns)
+    again = {r["doc_id"]: r["decoded"] for r in trie_bpe.decode(encoded.select("doc_id", "ids"), VOCABULARY).collect()}
+    for row in encoded.collect():
+        assert again[row["doc_id"]] == row["decoded"]
         ids = library.encode(texts[row["doc_id"]] or "", add_special_tokens=False).ids
         decoded = library.decode(ids, skip_special_tokens=False)
         assert row["ids"] == ids and row["n_tokens"] == len(ids) and row["decoded"] == decoded
@@ -308,14 +311,14 @@ def test_jaccard_join_with_split_lists(spark, monkeypatch):
 def test_prefixes_share_enough_shingles():
     # Any two sets that are similar enough share as many prefix shingles as the smaller demand.
     rng = np.random.default_rng(2)
-    frequencies = rng.integers(1, 400, jaccard_join.BUCKETS).astype(np.float32)
+    excess = rng.integers(-20, 400, jaccard_join.BUCKETS).astype(np.float32)
     for _ in range(300):
         whole = rng.integers(0, 2**63, 60, dtype=np.uint64)
         a, b = np.unique(whole[: rng.integers(45, 61)]), np.unique(whole[rng.integers(0, 8) :])
         shared = len(np.intersect1d(a, b))
         if 100 * shared < 75 * (len(a) + len(b) - shared):
             continue
-        (x, _, asked_x), (y, _, asked_y) = (jaccard_join.prefix(s, frequencies, 75) for s in (a, b))
+        (x, _, asked_x), (y, _, asked_y) = (jaccard_join.prefix(s, excess, 20.0, 75) for s in (a, b))
         asked = min(asked_x, asked_y)
         cut = lambda p, s: p[: len(s) - jaccard_join.overlap_needed(len(s), 75) + asked]
         assert len(np.intersect1d(cut(x, a), cut(y, b))) >= asked

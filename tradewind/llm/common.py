@@ -13,3 +13,10 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named input columns under the operator's own names, so that no further column can clash."""
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
+
+
+def bounded_batches(df: DataFrame) -> SparkSession:
+    """The session, set to hand Python tasks few rows at a time: texts can be long, and tasks share an executor's memory."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    return spark

@@ -38,15 +38,17 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tradewind.llm.common import bounded_batches
 from tradewind.llm.components import connected
 from tradewind.session import stage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Buckets of the frequency counts (a power of two) and the parts in which tasks send them.
-BUCKETS, PARTS = 1 << 22, 64
+BUCKETS, PARTS = 1 << 21, 64
 # The largest number of shared shingles a document may ask for, and what verifying a pair costs in reads of a posting.
-MOST_MATCHES, VERIFY_COST = 8, 8.0
+# Asking for more lets shingles count that have fewer others after them, so that texts around one frequent passage meet.
+MOST_MATCHES, VERIFY_COST = 2, 8.0
 # Shingles whose estimated frequency is higher are dealt out over that many lists.
 SPLIT_AT, LISTS = 20_000, 16
 # Rounds with leaders before the rest is listed, and the number of pairs per posting that counts as few.
@@ -142,7 +144,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def bucket_excess(profile: DataFrame) -> tuple[np.ndarray, float]:
     """By how much the count of each bucket exceeds the usual one, and what of that may be chance.
 
-    The counts have a fixed size (32 MB) whatever the input, so they may pass through the driver."""
+    The counts have a fixed size (16 MB) whatever the input, so they may pass through the driver."""
     sent = profile.filter("part IS NOT NULL").select("part", "counts")
     rows = sent.repartition(PARTS, "part").mapInArrow(_summed, "part int, counts binary").collect()
     counts = np.zeros((PARTS, BUCKETS // PARTS))
@@ -300,7 +302,7 @@ def similar_documents(
 
     Two documents are linked if ``100 * shared >= percent * united`` for their sets of shingles of ``words`` words.
     """
-    spark = df.sparkSession
+    spark = bounded_batches(df)
     profile = stage(profiles(df, id_col, text_col, words), "profiles")
     docs = profile.filter("part IS NULL").select("id", "text_hash", "n", "sid")
     excess, chance = bucket_excess(profile)

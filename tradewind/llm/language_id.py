@@ -25,6 +25,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tradewind.llm.common import bounded_batches
 from tradewind.session import stage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -182,6 +183,7 @@ def identify(
 
     ``suffix`` is what the address says about the language, ``host`` the host; dots separate parent domains. Without a
     ``model`` one is fitted on a sample of ``df`` by ``label_col``."""
+    bounded_batches(df)
     k = len(languages)
     if model is None:
         model = fit(df, id_col, text_col, label_col, languages)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-from tradewind.llm.common import pick
+from tradewind.llm.common import bounded_batches, pick
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -208,7 +208,7 @@ def encode(
     ``vocabulary`` is a file the driver can read; its content (a few MB, fixed) is sent to the tasks.
     """
     with open(vocabulary, encoding="utf-8") as file:
-        content = df.sparkSession.sparkContext.broadcast(file.read())
+        content = bounded_batches(df).sparkContext.broadcast(file.read())
     rows = pick(df, **{"key": id_col, "text": text_col})
     key_type = rows.schema["key"].dataType
     schema = T.StructType([T.StructField(id_col, key_type)] + [T.StructField(c, _KINDS[c]) for c in columns])
@@ -239,3 +239,19 @@ def encode(
             yield pa.RecordBatch.from_arrays(arrays, names=[id_col, *columns])
 
     return rows.mapInArrow(run, schema)
+
+
+def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """``id_col`` and ``decoded``, the token strings of ``ids_col`` joined by blanks as the library does; ids that the
+    vocabulary lacks are left out. Null ids count as none."""
+    with open(vocabulary, encoding="utf-8") as file:
+        content = bounded_batches(df).sparkContext.broadcast(file.read())
+    rows = pick(df, **{"key": id_col, "ids": ids_col})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = Vocabulary(content.value)
+        for batch in batches:
+            texts = [vocab.decode(ids or []) for ids in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(texts, pa.string())], names=[id_col, "decoded"])
+
+    return rows.mapInArrow(run, T.StructType([T.StructField(id_col, rows.schema["key"].dataType), T.StructField("decoded", T.StringType())]))
