@@ -377,6 +377,28 @@ def test_page_text(spark):
     assert line_blocks.extract(df.limit(0)).count() == 0
 
 
+def page_text(page):
+    return " ".join(line_blocks.main_lines(line_blocks.page_lines(page))[2])
+
+
+@pytest.mark.parametrize(
+    "opening",
+    ['<article class="post type-post category-social">', '<article class="post has-comments">', '<div id="content" class="with-sidebar">',
+     '<article class="comment">', '<div class="form post">', '<div class="category-social">'],
+)
+def test_names_that_only_hold_a_boilerplate_word_keep_the_text(opening):
+    story = "A long story. " * 20 + "End."
+    rest = '<div class="site-footer">f</div><div id="main-nav">n</div><div class="x comments-area">c</div>'
+    assert page_text(f"{opening}<p>{story}</p></{opening[1:].split()[0]}>{rest}") == story
+
+
+def test_long_attribute_values():
+    for quote in "\"'":
+        menu = f"<nav data-menu={quote}{'<b>item</b> ' * 1200}{quote}>menu</nav>"
+        assert page_text(f"{menu}<article><p>text</p></article>{menu}") == "text"
+        assert page_text(f"{menu}<p>text</p>") == "text"
+
+
 # --- language
 
 

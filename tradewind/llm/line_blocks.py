@@ -48,10 +48,15 @@ BOILERPLATE = set(
 )
 BOILERPLATE_ROLES = set("navigation banner contentinfo complementary search alert dialog alertdialog form menu menubar".split())
 CONTENT = set("article content main post entry story maincontent articlebody".split())
+# What else a class name or id that stands for boilerplate as a whole may be made of: what it belongs to, what holds it.
+BESIDE = set(
+    "site page main post article entry top bottom box bar area block list link links button buttons item items icons wrap"
+    " wrapper container section inner slot unit panel zone group text".split()
+)
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"""|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:"[^"]{0,10000}"|'[^']{0,10000}'|[^'">])*)(?:>|\Z)"""
+    r"""|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:"[^"]*+"|'[^']*+'|[^'">])*+)(?:>|\Z)"""
     r"|</?[a-zA-Z][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
@@ -59,23 +64,24 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\
 _WORDS = re.compile(r"[a-z]+")
 
 
-def _cues(attributes: str) -> tuple[bool, bool]:
-    """Whether an element is boilerplate, and whether it is named as the content."""
+def _cues(attributes: str) -> tuple[bool, bool, bool]:
+    """Whether an element is hidden or has a boilerplate role, whether a class name or id names it boilerplate, and
+    whether it is named as the content. Names count as a whole: 'cookie-notice' and 'site-footer' are boilerplate,
+    'category-social' and 'with-sidebar' say something else."""
     names, drop = set(), False
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values).lower()
         if key in ("class", "id"):
-            names |= set(_WORDS.findall(value))
+            names |= {tuple(_WORDS.findall(name)) for name in value.split()}
         elif key == "role":
             drop |= value in BOILERPLATE_ROLES
-            names |= {value} & {"main", "article"}
+            names |= {(value,)} & {("main",), ("article",)}
         else:
             drop |= key == "hidden" or (value == "true" if key == "aria-hidden" else "display:none" in value.replace(" ", ""))
-    found = names & BOILERPLATE
-    content = bool(names & CONTENT)
-    if content:
-        found -= {"header", "banner"}  # the heading of an article, or a picture above it
-    return drop or bool(found), content
+    boilerplate = [bool(BOILERPLATE.intersection(name)) for name in names]
+    content = any(CONTENT.intersection(name) and not found for name, found in zip(names, boilerplate))
+    named = any(found and (BOILERPLATE | BESIDE).issuperset(name) for name, found in zip(names, boilerplate))
+    return drop, named, content
 
 
 class _Lines:
@@ -150,7 +156,9 @@ def page_lines(page: str) -> list[tuple[str, int, int]]:
                 if not (name in ("p", "li", "td", "th", "tr", "dd", "dt", "option") and skipped[-1] == name and len(skipped) > 1):
                     skipped.append(name)
                 continue
-        drop, content = _cues(attributes) if attributes.strip() else (False, False)
+        drop, named, content = _cues(attributes) if attributes.strip() else (False, False, False)
+        # Names alone never drop an article or what is named as content.
+        drop |= named and not content and name != "article"
         if name in NO_TEXT or (name == "header" and level == 0) or (drop and name not in ("html", "body", "main")):
             out.end(level)
             if name == "body":
