@@ -399,6 +399,25 @@ def test_long_attribute_values():
         assert page_text(f"{menu}<p>text</p>") == "text"
 
 
+STORY = "A long story. " * 40 + "It ends."
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f'<main><article>Teaser</article><p>{STORY}</p></main><p>out</p>', f"Teaser {STORY}"),
+        (f'<div class="content"><p>{STORY}</p></div><article>Teaser</article><p>out</p>', f"{STORY} Teaser"),
+        (f'<main><p>Before.</p><article><p>{STORY}</p></article><p>After.</p></main><p>out</p>', f"Before. {STORY} After."),
+        (f'<div><p>{STORY}</p><p>More.</p></div><article>Teaser</article>', f"{STORY} More. Teaser"),
+        (f'<p>{STORY}</p><div class="ad">Buy</div><p>Closing.</p><div class="notice">n</div><p>By us.</p>', f"{STORY} Closing. By us."),
+        (f'<p>Top</p><div class="ad">Buy</div><p>Lead.</p><p>{STORY}</p><div class="ad">Buy</div><p>Short.</p><nav>n</nav><p>{STORY}</p>',
+         f"Lead. {STORY} Short. {STORY}"),
+    ],
+)
+def test_story_is_whole_beside_marks_and_gaps(page, text):
+    assert page_text(page) == text
+
+
 # --- language
 
 

@@ -3,8 +3,9 @@
 Markup is stripped so that each block of a page becomes one line; what stands in menus, headers, footers, sidebars,
 notices, adverts, forms, scripts or reader comments leaves an empty line. The text lengths are summed over sliding
 windows of lines. The text begins where the sums surge from nothing and ends at the dive after which only empty
-windows follow; every line between is kept, however short. If the page marks its article, lines outside it count as
-empty and any text is a surge. Otherwise a surge must reach a share of the highest sum, and lines that
+windows follow; every line between is kept, however short. If a page marks its content, by an article or other
+elements, and what is marked holds at least half of the text in the windows that surge, lines outside it count as
+empty and any text is a surge. Otherwise a surge must reach a share of the highest sum, and unmarked lines that
 consist of links count as empty.
 
 Null html counts as empty: text "" with 0 characters. Markup that is cut off, unclosed or nested wrongly is read as
@@ -27,9 +28,9 @@ from tradewind.llm.common import pick
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Lines of a window; the least share of the highest window sum that is a surge where no article is marked, and the
-# length that is always one.
-WINDOW, SURGE_SHARE, SURGE_CHARS = 3, 0.2, 250
+# Lines of a window; the least share of the highest window sum that is a surge where no content is marked, the length
+# that is always one, and the least share of the text in surging windows that makes what is marked the content.
+WINDOW, SURGE_SHARE, SURGE_CHARS, MARKED_SHARE = 3, 0.2, 250, 0.5
 
 # Names of elements and of the classes, ids and roles that pages use.
 RAW = "script|style|noscript|template|textarea|title|iframe|svg|canvas|object|math|xmp|noembed"
@@ -182,30 +183,28 @@ def page_lines(page: str) -> list[tuple[str, int, int]]:
     return out.lines
 
 
+def _sums(lengths: list[int]) -> list[int]:
+    return [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
+
+
 def main_lines(lines: list[tuple[str, int, int]]) -> tuple[int, int, list[str]]:
     """Surge and dive, as numbers of lines (the dive is exclusive), and the texts between them."""
-    scope = max((level for text, _, level in lines if text), default=0)
-    lengths = [(len(text) if scope else own) if level >= scope else 0 for text, own, level in lines]
-    sums = [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
+    lengths = [len(text) if level else own for text, own, level in lines]
+    marked = [length if level else 0 for length, (_, _, level) in zip(lengths, lines)]
+    sums, inside = _sums(lengths), _sums(marked)
     if not any(sums):
         return 0, 0, []
-    least = 1 if scope else min(SURGE_CHARS, SURGE_SHARE * max(sums))
-    # Stretches between empty windows; those that surge are kept, with all of their lines.
-    kept, first, i = [], None, 0
-    while i < len(lengths):
-        if not lengths[i]:
-            i += 1
-            continue
-        end, last = i, i
-        while end < len(lengths) and sums[end]:
-            last = end if lengths[end] else last
-            end += 1
-        if max(sums[i : last + 1]) >= least:
-            kept.append((i, last + 1))
-        i = max(end, last + 1)
-    first, last = kept[0][0], kept[-1][1]
-    texts = [lines[k][0] for a, b in kept for k in range(a, b) if lengths[k]]
-    return first, last, texts
+    least = min(SURGE_CHARS, SURGE_SHARE * max(sums))
+    surging = [(s, i) for s, i in zip(sums, inside) if s >= least]
+    if any(marked) and sum(i for _, i in surging) >= MARKED_SHARE * sum(s for s, _ in surging):
+        lengths, sums, least = marked, inside, 1
+    # From the line with which the sums first surge, or the text without an empty window before it, to the last text.
+    surge = next(i for i, s in enumerate(sums) if s >= least)
+    while surge and sums[surge - 1]:
+        surge -= 1
+    first = next(i for i in range(surge, len(lengths)) if lengths[i])
+    last = max(i for i, length in enumerate(lengths) if length) + 1
+    return first, last, [lines[k][0] for k in range(first, last) if lengths[k]]
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
