@@ -267,6 +267,28 @@ def test_passages_against_alignment(spark):
     assert decontaminate.contaminated(df.limit(0), benchmark).count() == 0
 
 
+def test_excerpts_and_short_items(spark):
+    r = random.Random(6)
+    words = ["".join(r.choice("klmnopqrstuv") for _ in range(r.randint(3, 8))) for _ in range(400)]
+    long, medium = (" ".join(r.choice(words) for _ in range(n)) for n in (70, 30))
+    items = [(1, long), (2, medium), (3, "Who wrote Faust?"), (4, "who wrote faust"), (5, "Yes")]
+    around = " ".join(r.choice(words) for _ in range(40))
+    rows, want = [], set()
+    for item, text in ((1, long), (2, medium)):
+        for k in range(0, len(text) - 64, 7):
+            rows.append((1000 * item + k, f"{around} {text[k : k + 64]}# {around}", "en", "s"))
+            want.add((1000 * item + k, item))
+    rows += [(1, f"{around}. WHO wrote -- Faust", "en", "s"), (2, "who wrote faustus; yesterday", "en", "s"), (3, "yes", "en", "s"),
+             (4, "w " * 600_000 + "who wrote faust " + "w " * 9, "en", "s"), (5, "swho wrote faust", "en", "s")]
+    want |= {(1, 3), (1, 4), (3, 5), (4, 3), (4, 4)}
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.find_passages(docs(spark, rows), benchmark).collect()
+    assert {(x["id"], x["item_id"]) for x in found} == want
+    texts = {key: decontaminate.normal(text) for key, text, *_ in rows}
+    assert all(texts[x["id"]][: x["end"]].endswith(decontaminate.normal(dict(items)[x["item_id"]])[x["place"] :][: x["length"]]) for x in found if not x["edits"])
+    assert decontaminate.without_passages(docs(spark, rows), benchmark).count() == 2
+
+
 # --- near duplicates
 
 

@@ -1,7 +1,9 @@
 """Benchmark passages in documents, by the q-gram lemma and banded alignment.
 
 Texts are compared in lower case without punctuation, with single blanks. A benchmark item is searched as a whole, or
-in overlapping segments if it is long, so that a part of it is found as well. A segment of m characters that stands
+in overlapping segments if it is long, so that a part of it is found as well: of an item with more than 62 characters
+every excerpt of at least 64 (segment plus step less one) is found, of shorter ones the whole. Items below the least
+length for edits are found as exact sequences of whole words, however few. A segment of m characters that stands
 in a document with at most e edits shares at least m + 1 - q (e + 1) of its q-grams with the document, and these lie
 on diagonals (place in the document less place in the segment) that differ by at most e. So shared q-grams are
 counted in diagonal bands of width 2e that overlap by half; every window of e + 1 diagonals lies in one of them.
@@ -11,7 +13,7 @@ of the segment needs at most e edits.
 Documents are read once and nothing is shuffled but what was found. The benchmark is sent to all tasks in blocks of a
 bounded size, one pass each.
 
-Null or empty texts and items, and items with fewer characters than the least length, match nothing. Equal items are
+Null or empty texts and items match nothing. Equal items are
 found each under their own id, equal documents each in their own row. An empty table gives an empty result. Columns
 that are not named are ignored.
 """
@@ -33,12 +35,15 @@ from tradewind.session import stage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Length of q-grams, edits per character of a segment, length of segments and their step, least length of an item.
-Q, EDIT_RATE, SEGMENT, STEP, LEAST = 10, 0.08, 160, 80, 40
+# Length of q-grams, edits per character of a segment, length of segments and their step, least length of an item that
+# may have edits (from there on the lemma's bound is positive).
+Q, EDIT_RATE, SEGMENT, STEP, LEAST = 10, 0.08, 60, 5, 40
 # Characters of benchmark items in one block, which bounds what a task holds.
 BLOCK_CHARS = 4_000_000
 _FILTER_BITS = 24
 _CHUNK = 1_000_000
+# Alignments done at once.
+_ALIGNED = 4096
 
 _PARTS = re.compile(r"\w+").findall
 
@@ -82,88 +87,151 @@ def grams(codes: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Q-grams of the segments of a block of items."""
+    """Q-grams of a block of items, each once with its place in the item, and where the item's segments begin."""
 
     def __init__(self, items: list[tuple[object, str]]):
-        self.items, self.places, self.texts = [], [], []
-        for item, text in items:
-            for place, part in segments(text):
-                self.items.append(item)
-                self.places.append(place)
-                self.texts.append(_codes(part))
-        self.edits = np.array([edits_allowed(len(t)) for t in self.texts], np.int64)
-        self.needed = np.maximum(1, [shared_needed(len(t)) for t in self.texts])
+        self.items = [item for item, text in items if len(text) >= LEAST]
+        texts = [text for _, text in items if len(text) >= LEAST]
+        self.texts = [_codes(text) for text in texts]
+        self.starts = [np.array([place for place, _ in segments(text)], np.int64) for text in texts]
+        self.lengths = np.array([len(segments(text)[0][1]) for text in texts], np.int64)
+        self.edits = np.array([edits_allowed(n) for n in self.lengths], np.int64)
+        self.needed = np.array([max(1, shared_needed(int(n))) for n in self.lengths], np.int64)
         hashes = [grams(t) for t in self.texts]
         lengths = [len(h) for h in hashes]
         all_ = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        segment = np.repeat(np.arange(len(hashes)), lengths)
+        item = np.repeat(np.arange(len(hashes)), lengths)
         place = np.concatenate([np.arange(n) for n in lengths]) if hashes else np.empty(0, np.int64)
         order = np.argsort(all_, kind="stable")
-        self.hashes, self.segment, self.place = all_[order], segment[order], place[order]
+        self.hashes, self.item, self.place = all_[order], item[order], place[order]
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[(self.hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
+        # Short items between blanks: per length the hashes, and the items of each text.
+        self.short: dict[bytes, list] = {}
+        for item_id, text in items:
+            if 0 < len(text) < LEAST:
+                self.short.setdefault(_codes(f" {text} ").tobytes(), []).append(item_id)
+        by_length: dict[int, list[np.ndarray]] = {}
+        for key in self.short:
+            by_length.setdefault(len(key) // 4, []).append(np.frombuffer(key, np.uint32))
+        self.short_hashes = {n: np.unique([window_hashes(c, np.zeros(1, np.int64), n)[0] for c in found]) for n, found in by_length.items()}
 
     def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places in the text, segments and places in them of all shared q-grams."""
+        """Places in the text, items and places in them of all shared q-grams."""
         at = np.nonzero(self.filter[(hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])[0]
         low, high = np.searchsorted(self.hashes, hashes[at], "left"), np.searchsorted(self.hashes, hashes[at], "right")
         many = high - low
         rows = np.repeat(at, many)
         entry = np.repeat(low, many) + np.arange(len(rows)) - np.repeat(np.cumsum(many) - many, many)
-        return rows, self.segment[entry], self.place[entry]
-
-
-def banded_edits(text: np.ndarray, segment: np.ndarray, first: int, width: int, most: int) -> tuple[int, int]:
-    """Fewest edits of an alignment of the whole segment inside a band, and where it ends in the text.
-
-    Row i of the band holds the text ends ``first + i + 0 .. width``; the alignment may begin anywhere on the first row.
+        return rows, self.item[entry], self.place[entry]
+
+
+def window_hashes(codes: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """64-bit hashes of the windows of one length that begin at ``starts``."""
+    total = np.zeros(len(starts), np.uint64)
+    for i in range(length):
+        total = total * np.uint64(0x9E3779B97F4A7C15) + codes[starts + i]
+    return total
+
+
+def short_matches(codes: np.ndarray, index: Index) -> Iterator[tuple[object, int, int]]:
+    """(item, length, end in the text without its first blank) of short items that are whole words of ``codes``, a
+    normalised text between blanks; the first place only."""
+    blanks = np.nonzero(codes == 32)[0]
+    for n, hashes in index.short_hashes.items():
+        starts = blanks[blanks + n <= len(codes)]
+        starts = starts[codes[starts + n - 1] == 32]
+        found = window_hashes(codes, starts, n)
+        places = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
+        seen = set()
+        for start in starts[hashes[places] == found].tolist():
+            key = codes[start : start + n].tobytes()
+            if key not in seen:
+                seen.add(key)
+                for item in index.short.get(key, ()):
+                    yield item, n - 2, start + n - 2
+
+
+def banded_edits(text: np.ndarray, parts: np.ndarray, firsts: np.ndarray, width: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fewest edits of an alignment of each whole segment (a row of ``parts``) inside its band, and where it ends in the text.
+
+    Row i of a band holds the text ends ``first + i + 0 .. width``; the alignment may begin anywhere on the first row.
     """
-    ends = first + np.arange(width + 1)
-    row = np.where((ends >= 0) & (ends <= len(text)), 0, most + 1)
+    best, at = np.full(len(parts), most + 1), np.full(len(parts), -1)
+    alive = np.arange(len(parts))
     slide = np.arange(width + 1)
-    for i in range(len(segment)):
+    ends = firsts[:, None] + slide
+    row = np.where((ends >= 0) & (ends <= len(text)), 0, most + 1)
+    for i in range(parts.shape[1]):
         ends = ends + 1
         inside = (ends >= 1) & (ends <= len(text))
-        equal = np.zeros(width + 1, bool)
-        equal[inside] = text[ends[inside] - 1] == segment[i]
+        equal = inside & (text[np.clip(ends - 1, 0, len(text) - 1)] == parts[alive, i][:, None])
         step = row + ~equal  # a character against a character
-        step[:-1] = np.minimum(step[:-1], row[1:] + 1)  # one of the segment left out
+        step[:, :-1] = np.minimum(step[:, :-1], row[:, 1:] + 1)  # one of the segment left out
         step = np.where((ends >= 0) & (ends <= len(text)), step, most + 1)
-        row = np.minimum.accumulate(step - slide) + slide  # further ones of the text
-        if row.min() > most:
-            return most + 1, -1
-    best = int(row.argmin())
-    return int(row[best]), int(ends[best])
-
-
-def matches(codes: np.ndarray, index: Index) -> Iterator[tuple[int, int, int]]:
-    """(segment, edits, end in the text) of every segment found in a normalised text, its best place only."""
-    rows, segment, place = index.hits(grams(codes))
+        row = np.minimum.accumulate(step - slide, axis=1) + slide  # further ones of the text
+        left = row.min(axis=1) <= most
+        if not left.all():
+            alive, ends, row = alive[left], ends[left], row[left]
+            if not len(alive):
+                return best, at
+    place = row.argmin(axis=1)
+    best[alive], at[alive] = row[np.arange(len(alive)), place], ends[np.arange(len(alive)), place]
+    return best, at
+
+
+def matches(codes: np.ndarray, index: Index) -> Iterator[tuple[int, int, int, int]]:
+    """(item, place of the segment, edits, end in the text) of every segment found in a normalised text, its best place only."""
+    rows, item, place = index.hits(grams(codes))
     if not len(rows) or len(rows) < index.needed.min():
         return
     half = np.maximum(index.edits, 1)
     diagonal = rows - place
     # Band b holds the diagonals [b * half, (b + 2) * half); each diagonal is in two of them.
-    band = np.floor_divide(diagonal, half[segment]) + (1 << 30)
-    keys = (segment << 32) + band
-    unique, counts = np.unique(np.concatenate([keys, keys - 1]), return_counts=True)
+    keys = (item << 32) + np.floor_divide(diagonal, half[item]) + (1 << 30)
+    keys = np.concatenate([keys, keys - 1])
+    unique, counts = np.unique(keys, return_counts=True)
     full = unique[counts >= index.needed[unique >> 32]]
-    best: dict[int, tuple[int, int]] = {}
-    for key in full:
-        s, b = int(key >> 32), int(key & 0xFFFFFFFF) - (1 << 30)
-        if best.get(s, (1, 0))[0] == 0:
-            continue
-        part, e = index.texts[s], int(index.edits[s])
-        own = diagonal[(segment == s) & (band - (1 << 30) - b >= 0) & (band - (1 << 30) - b <= 1)]
-        straight = int(np.bincount(own - own.min()).argmax() + own.min())
-        if straight >= 0 and np.array_equal(codes[straight : straight + len(part)], part):
-            best[s] = 0, straight + len(part)
+    if not len(full):
+        return
+    place, diagonal = np.concatenate([place, place]), np.concatenate([diagonal, diagonal])
+    order = np.nonzero(np.isin(keys, full))[0]
+    order = order[np.lexsort((place[order], keys[order]))]
+    low, high = np.searchsorted(keys[order], full, "left"), np.searchsorted(keys[order], full, "right")
+    best: dict[tuple[int, int], tuple[int, int]] = {}
+    open_: dict[int, list[tuple[int, int, int]]] = {}
+    for key, a, z in zip(full.tolist(), low, high):
+        k, b = key >> 32, (key & 0xFFFFFFFF) - (1 << 30)
+        own, m = order[a:z], int(index.lengths[k])
+        # The bound holds for each segment: shared q-grams that lie inside it.
+        starts = index.starts[k]
+        shared = np.searchsorted(place[own], starts + m - Q, "right") - np.searchsorted(place[own], starts, "left")
+        starts = starts[shared >= index.needed[k]]
+        if not len(starts):
             continue
-        found = banded_edits(codes, part, b * max(e, 1) - e, 2 * max(e, 1) + 2 * e, e)
-        if found[0] <= e:
-            best[s] = min(best.get(s, found), found)
-    for s, (edits, end) in best.items():
-        yield s, edits, end
+        straight = int(np.bincount(diagonal[own] - diagonal[own].min()).argmax() + diagonal[own].min())
+        text = index.texts[k]
+        at = np.arange(len(text)) + straight
+        differ = (at < 0) | (at >= len(codes)) | (codes[np.clip(at, 0, len(codes) - 1)] != text)
+        differ = np.concatenate([[0], np.cumsum(differ)])
+        for start, n in zip(starts.tolist(), (differ[starts + m] - differ[starts]).tolist()):
+            if not n:
+                found = 0, straight + start + m
+                best[k, start] = min(best.get((k, start), found), found)
+            else:
+                open_.setdefault(m, []).append((k, start, b))
+    for m, some in open_.items():
+        e = edits_allowed(m)
+        some = [x for x in some if best.get(x[:2], (1, 0))[0]]
+        for i in range(0, len(some), _ALIGNED):
+            now = some[i : i + _ALIGNED]
+            parts = np.array([index.texts[k][start : start + m] for k, start, _ in now])
+            firsts = np.array([start + b * max(e, 1) - e for _, start, b in now])
+            for (k, start, _), edits, end in zip(now, *(x.tolist() for x in banded_edits(codes, parts, firsts, 2 * max(e, 1) + 2 * e, e))):
+                if edits <= e:
+                    best[k, start] = min(best.get((k, start), (edits, end)), (edits, end))
+    for (k, start), (edits, end) in best.items():
+        yield k, start, edits, end
 
 
 def _search(sent, names: list[str]):
@@ -172,14 +240,19 @@ def _search(sent, names: list[str]):
         for batch in batches:
             found = []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                codes = _codes(normal(text))
-                best: dict[int, tuple[int, int]] = {}
+                codes = _codes(f" {normal(text)} ")
+                best: dict[tuple[int, int], tuple[int, int]] = {}
+                short: dict[object, tuple[int, int]] = {}
                 # Long texts in pieces that overlap by more than the longest match.
                 overlap = 2 * (SEGMENT + STEP)
                 for start in range(0, max(1, len(codes) - overlap), _CHUNK):
-                    for s, edits, end in matches(codes[start : start + _CHUNK + overlap], index):
-                        best[s] = min(best.get(s, (edits, start + end)), (edits, start + end))
-                found += [(i, index.items[s], index.places[s], len(index.texts[s]), e, end) for s, (e, end) in best.items()]
+                    piece = codes[start : start + _CHUNK + overlap]
+                    for item, length, end in short_matches(piece, index):
+                        short.setdefault(item, (length, start + end))
+                    for k, place, edits, end in matches(piece, index):
+                        best[k, place] = min(best.get((k, place), (edits, start + end - 1)), (edits, start + end - 1))
+                found += [(i, index.items[k], place, int(index.lengths[k]), e, end) for (k, place), (e, end) in best.items()]
+                found += [(i, item, 0, length, 0, end) for item, (length, end) in short.items()]
             columns = list(zip(*found)) or [[]] * 6
             rows = batch.take(pa.array(columns[0], pa.int64()))
             yield pa.RecordBatch.from_arrays(
@@ -196,7 +269,7 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: st
     block, size = [], 0
     for row in pick(benchmark, id=id_col, text=text_col).filter("id IS NOT NULL AND text IS NOT NULL").toLocalIterator():
         text = normal(row["text"])
-        if len(text) < LEAST:
+        if not text:
             continue
         block.append((row["id"], text))
         size += len(text)
