@@ -3,7 +3,8 @@
 Every text is scanned for credential patterns. The hash of each candidate value is then counted over the corpus: by
 (value, owner, repository), from these rows by (value, owner), and at last by value, so that copies collapse in the
 tasks that read them. A value that several owners have is an example that was copied around; a value of one owner
-that looks random is a live credential.
+that looks random is a live credential. A private key reaches from its first line to its last, or to the end of its
+base64 lines, and its value is their characters, however they are wrapped; a first line without any is no credential.
 
 Null text counts as empty. Rows without an owner or repository count as those of one unnamed owner or repository.
 Equal rows give equal results. An empty table gives an empty result. Columns that are not named are ignored. Rows with
@@ -41,6 +42,8 @@ PATTERNS = {
     "web_token": (r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 0),
     "forge_token": (r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
 }
+# Short values cannot have more bits a character than log2 of their length; this share of it is enough for them.
+ENTROPY_SHARE = 0.75
 PLACEHOLDERS = r"example|sample|dummy|placeholder|changeme|your[_-]?|xxxx|1234567|abcdefg"
 
 SPAN = "array<struct<kind:string,start:int,end:int,value_start:int,value_end:int,value:string,random:boolean>>"
@@ -55,8 +58,39 @@ def entropy(value: str) -> float:
     return -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
 
 
+# What ends a private key; else its base64 lines, plain, quoted or with escaped line ends, after header lines if any.
+_KEY_END = re.compile(r"-----(?:(BEGIN)|END) [A-Z ]{0,20}PRIVATE KEY-----")
+_GAP = r"""(?:\s|\\[nrt]|["',;>\#*|]|\+(?=\s))"""
+_KEY_LINES = re.compile(
+    rf"(?:{_GAP}*+[A-Z][A-Za-z-]+:\x20[^\n\\]*+(?=\n|\\[nr]))*+(?:{_GAP}*+[A-Za-z0-9+/]{{16,}}+={{0,2}})+(?:{_GAP}++[A-Za-z0-9+/]{{1,15}}+={{1,2}})?"
+)
+_KEY_HEADER = re.compile(r"^[^\w\n]*[A-Z][A-Za-z-]+:\x20.*$", re.MULTILINE)
+
+
+def _key_body(text: str, at: int) -> tuple[int, str]:
+    """Where the private key ends whose first line ends at ``at``, and its base64 characters."""
+    end = _KEY_END.search(text, at)
+    if end and not end[1]:
+        words = text[at : end.start()].replace("\\r", "\n").replace("\\n", "\n").split()
+        coded = sum(len(w) for w in words if len(w) >= 16 or re.search("[0-9+/=]|[a-z][A-Z]", w))
+        # Not where a text only speaks of the first and the last line.
+        last = end.end() if len(words) <= 8 or 2 * coded >= sum(map(len, words)) else None
+    else:
+        last = None
+    if last is None:
+        lines = _KEY_LINES.match(text, at)
+        last = lines.end() if lines else at
+        inner = text[at:last]
+    else:
+        inner = text[at : end.start()]
+    inner = re.sub(r"\\[nrt]", "\n", inner)
+    return last, "".join(re.findall("[A-Za-z0-9+/=]+", _KEY_HEADER.sub("", inner)))
+
+
 def scanner(least_entropy: float):
-    """A function from a text to its spans: leftmost matches of each kind that do not overlap, by start and kind."""
+    """A function from a text to its spans: leftmost matches of each kind that do not overlap, by start and kind.
+
+    A value looks random from ``least_entropy`` bits a character, or from a share of what its length allows."""
     found_by = [
         (kind, re.compile(pattern, re.ASCII | (re.IGNORECASE if kind == "assign" else 0)), group, least)
         for kind, (pattern, group, least) in PATTERNS.items()
@@ -67,13 +101,18 @@ def scanner(least_entropy: float):
         spans = []
         for order, (kind, pattern, group, least) in enumerate(found_by):
             for m in pattern.finditer(text):
-                value = m[group]
+                value, end, value_end = m[group], m.end(), m.end(group)
                 if len(value) < least:
                     continue
-                random = kind == "private_key" or (entropy(value) >= least_entropy and not placeholder.search(value))
+                if kind == "private_key":
+                    end, body = _key_body(text, end)
+                    value, value_end, random = body or value, end, bool(body)
+                else:
+                    bound = min(least_entropy, ENTROPY_SHARE * math.log2(len(value)))
+                    random = entropy(value) >= bound and not placeholder.search(value)
                 spans.append((m.start(), order, {
-                    "kind": kind, "start": m.start(), "end": m.end(), "value_start": m.start(group),
-                    "value_end": m.end(group), "value": hashlib.sha256(value.encode()).hexdigest(), "random": random,
+                    "kind": kind, "start": m.start(), "end": end, "value_start": m.start(group),
+                    "value_end": value_end, "value": hashlib.sha256(value.encode()).hexdigest(), "random": random,
                 }))
         return [span for *_, span in sorted(spans, key=lambda s: s[:2])]
 
