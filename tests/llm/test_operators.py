@@ -239,6 +239,24 @@ def test_surrogates_stay_distinct_in_a_small_space(spark):
     assert len(made) == len(set(made)) == 576 and not own & set(made)
 
 
+def test_exhausted_formats_grow(spark):
+    # All addresses of one-digit octets that begin with 1, all phone numbers of a form, all mail addresses of a form.
+    from string import ascii_lowercase as letters
+
+    ips = [f"{a}.{b}.{c}.{d}" for a in range(1, 10) for b in range(10) for c in range(10) for d in range(10)]
+    rows = ips + [f"+1 {n // 100:02d} {n % 100:02d}" for n in range(10_000)] + [f"{a}@{b}.co" for a in letters for b in letters]
+    own = [("ip", x) for x in ips] + [("phone", re.sub("[^0-9]", "", x)) for x in rows[len(ips) : len(ips) + 10_000]] + [("email", x) for x in rows[len(ips) + 10_000 :]]
+    made = surrogates.surrogate_table(spark.createDataFrame(own, "kind string, canonical string"), "key", attempts=1)
+    made = {(x["kind"], x["canonical"]): x["surrogate"] for x in made.collect()}
+    assert set(made) == set(own)
+    new = {(kind, value) for (kind, _), value in made.items()}
+    assert len(new) == len(own) and not new & set(own)
+    assert all(re.fullmatch(surrogates.IP if kind == "ip" else surrogates.EMAIL if kind == "email" else r"1[0-9]{5,}", value) for kind, value in new)
+    spelled = spark.createDataFrame([("phone", "+1 23 45", "198765"), ("email", "A@b.co", "xyz@q.co"), ("card", "4417 7442 8035 1547", "44177442803515470")], "k string, r string, s string")
+    spelled = [x[0] for x in spelled.select(surrogates._spelled(F.col("k"), F.col("r"), F.col("s"))).collect()]
+    assert spelled == ["+1 98 765", "Xyz@q.co", "4417 7442 8035 15470"]
+
+
 # --- tokens
 
 

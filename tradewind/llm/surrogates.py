@@ -7,7 +7,8 @@ the same gender as the form of address says and in the same script. All occurren
 in their own spelling; so references stay, also those between documents.
 
 Surrogates are checked for collisions over the corpus: one that another entity has, or that is itself an entity of the
-corpus, is derived anew with the next attempt, until all differ.
+corpus, is derived anew with the next attempt, until all differ. What is left after a number of attempts, because its
+format has few free values or none, gets a surrogate with more digits or letters (octets of any length).
 
 Null text stays null, and text without personal data stays as it is. Equal rows give equal results, an empty table an
 empty one. All columns of the input are kept, whatever their names.
@@ -53,7 +54,9 @@ _SYLLABLES = {
     "latin": "ba be bo da de do fa fe fi ga ka ko la le li lo ma me mi mo na ne no ra re ri ro sa se so ta te ti to va ve vi".split(),
     "cyrillic": "ба бе бо да де до ва ве ви га ка ко ла ле ли ло ма ме ми мо на не но ра ре ри ро са се со та те ти то".split(),
 }
-ATTEMPTS = 40
+# Attempts in the entity's own length, and attempts until one more character is added; those after which too few values
+# can be left only if most of all addresses are taken.
+ATTEMPTS, GROW, MOST = 40, 2, 200
 
 
 def _hash(key: str, *parts) -> Column:
@@ -123,10 +126,13 @@ def _same_shape(value: Column, hexes: Column) -> Column:
     return F.array_join(F.transform(F.filter(F.split(value, ""), lambda c: c != ""), one), "")
 
 
-def _surrogate(key: str, kind: Column, canonical: Column, attempt: int) -> Column:
-    """Surrogate of an entity in its common spelling."""
+def _surrogate(key: str, kind: Column, canonical: Column, attempt: int, more: int = 0) -> Column:
+    """Surrogate of an entity in its common spelling, with ``more`` characters than the entity has."""
     salt = F.lit(str(attempt))
     h = _hash(key, kind, canonical, salt)
+    name = _name(key, kind, canonical, attempt)
+    if more:
+        canonical = F.when(kind == "email", F.concat(F.lit("a" * more), canonical)).when(kind == "ip", canonical).otherwise(F.concat(canonical, F.lit("0" * more)))
     # The top-level domain of an address stays, so that the result is an address.
     last = F.regexp_extract(canonical, r"\.[a-z]+$", 0)
     email = F.concat(_same_shape(F.regexp_replace(canonical, r"\.[a-z]+$", ""), h), last)
@@ -134,6 +140,8 @@ def _surrogate(key: str, kind: Column, canonical: Column, attempt: int) -> Colum
         F.when(F.length(c) == 1, F.when(i == 0, 1 + _number(h, i * 7) % 9).otherwise(_number(h, i * 7) % 10))
         .when(F.length(c) == 2, 10 + _number(h, i * 7) % 90).otherwise(100 + _number(h, i * 7) % 156).cast("string")
     )
+    if more:
+        octet = lambda c, i: F.when(i == 0, 1 + _number(h, i * 7) % 255).otherwise(_number(h, i * 7) % 256).cast("string")
     ip = F.array_join(F.transform(F.split(canonical, r"\."), octet), ".")
     # The first digit of a card names its brand; the last one is the check digit.
     body = F.concat(F.substring(canonical, 1, 1), _same_shape(F.substring(canonical, F.lit(2), F.length(canonical) - 2), h))
@@ -143,7 +151,7 @@ def _surrogate(key: str, kind: Column, canonical: Column, attempt: int) -> Colum
     iban = F.concat(F.substring(canonical, 1, 2), _same_shape(F.substring(canonical, F.lit(3), F.length(canonical)), h))
     return (
         F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "iban", iban)
-        .when(kind.startswith("name"), _name(key, kind, canonical, attempt)).otherwise(number)
+        .when(kind.startswith("name"), name).otherwise(number)
     )
 
 
@@ -180,6 +188,9 @@ def _spelled(kind: Column, raw: Column, surrogate: Column) -> Column:
         ),
         "",
     )
+    # Characters that the entity does not have come last.
+    grouped = F.concat(grouped, F.substring(plain, F.length(F.regexp_replace(raw, "[^0-9A-Za-z]", "")) + 1, F.length(plain)))
+    cased = F.concat(cased, F.substring(surrogate, F.length(raw) + 1, F.length(surrogate)))
     words = F.regexp_replace(raw, r"^\S+ ", "")
     name = F.when((F.upper(words) == words) & (F.length(words) > 1), F.upper(surrogate)).otherwise(F.initcap(surrogate))
     return (
@@ -195,10 +206,11 @@ def surrogate_table(entities: DataFrame, key: str, attempts: int = ATTEMPTS) ->
     open_ = stage(entities.select("kind", "canonical").distinct(), "entities")
     originals = open_.select(space(F.col("kind")).alias("space"), F.col("canonical").alias("surrogate")).distinct()
     settled: list[DataFrame] = []
-    for attempt in range(attempts):
+    for attempt in range(attempts + MOST):
         if open_.isEmpty():
             break
-        made = open_.select("*", space(F.col("kind")).alias("space"), _surrogate(key, F.col("kind"), F.col("canonical"), attempt).alias("surrogate"))
+        more = max(0, 1 + (attempt - attempts) // GROW)
+        made = open_.select("*", space(F.col("kind")).alias("space"), _surrogate(key, F.col("kind"), F.col("canonical"), attempt, more).alias("surrogate"))
         first = made.groupBy("space", "surrogate").agg(F.min(F.struct("canonical", "kind")).alias("winner"))
         first = first.join(originals, ["space", "surrogate"], "left_anti")
         for before in settled:
