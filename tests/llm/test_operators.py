@@ -29,7 +29,7 @@ from tradewind.llm import (
 from tradewind.llm.components import connected
 
 FOLDER = "/root/testdata/sf0.001"
-VOCABULARY = f"{queries.TOKENIZERS}/word_bpe_49k.json"
+VOCABULARY = queries.tokenizer_file("word_bpe_49k.json")
 # Names that operators use inside; tables may have them as well.
 CLASHING = "id row kind n spans hash text_hash count first sid place value"
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,3 +22,9 @@ def bounded_batches(df: DataFrame) -> SparkSession:
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return spark
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Have the driver notice which shuffles no plan refers to any more, so that their files go before the next stage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.llm import decontaminate, fixity, forest_neighbours, jaccard_join, language_id, line_blocks, secret_ownership, surrogates, trie_bpe, url_lists
+from tradewind.llm import decontaminate, fixity, forest_neighbours, jaccard_join, language_id, line_blocks, ranked_search, secret_ownership, suffix_dedup, surrogates, token_alignment, trie_bpe, url_lists
 from tradewind.llm.common import read_table
 from tradewind.llm.url_lists import url_host, url_path
 
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+def tokenizer_file(name: str) -> str:
+    """A public tokenizer's file, from the folder that is set or else from the installed package."""
+    folder = os.environ.get("TOKENIZER_DIR")
+    return f"{folder}/{name}" if folder else public_tokenizers.path(name)
 
 
 def op1_forest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
@@ -100,7 +104,7 @@ def op4_surrogates(spark: SparkSession, folder: str) -> DataFrame:
 def op5_trie_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return trie_bpe.encode(
         read_table(spark, folder, "documents"),
-        f"{TOKENIZERS}/word_bpe_49k.json",
+        tokenizer_file("word_bpe_49k.json"),
         columns=("n_tokens", "ids_sha256", "decoded_sha256"),
     )
 
@@ -156,5 +160,46 @@ def op10_language_fusion(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "declared", "language", "by_text", "probability", "accepted")
 
 
-QUERIES = {f.__name__: f for f in (op1_forest_neighbours, op2_secret_ownership, op3_url_list_asof, op4_surrogates, op5_trie_bpe, op6_qgram_decontamination, op7_adaptive_jaccard, op8_merkle_audit, op9_line_blocks, op10_language_fusion)}
-SQL: dict[str, str] = {"op3_url_list_asof": SQL_OP3, "op8_merkle_audit": SQL_OP8}
+def op11_identity_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    found = token_alignment.align(docs, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"), with_groups=False)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_prefix_doubling(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_dedup.without_repeats(read_table(spark, folder, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        (F.length("kept") + removed).cast("long").alias("n_bytes"),
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def op13_limited_accumulators(spark: SparkSession, folder: str) -> DataFrame:
+    found = ranked_search.search(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+    return found.select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
+
+
+SQL_OP13 = r"""
+WITH word AS (
+  SELECT doc_id, row, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT doc_id, text, row_number() OVER () AS row FROM documents)),
+held AS (SELECT row, any_value(doc_id) AS doc_id, term, CAST(count(*) AS BIGINT) AS tf FROM word GROUP BY row, term),
+size AS (SELECT row, CAST(sum(tf) AS BIGINT) AS n FROM held GROUP BY row),
+whole AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS total FROM size),
+weight AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM held, whole GROUP BY term),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+scored AS (
+  SELECT item_id, doc_id, row, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total)))) AS BIGINT) AS score
+  FROM asked JOIN held USING (term) JOIN size USING (row) JOIN weight USING (term), whole GROUP BY item_id, doc_id, row)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 10
+"""
+
+QUERIES = {f.__name__: f for f in (op1_forest_neighbours, op2_secret_ownership, op3_url_list_asof, op4_surrogates, op5_trie_bpe, op6_qgram_decontamination, op7_adaptive_jaccard, op8_merkle_audit, op9_line_blocks, op10_language_fusion, op11_identity_alignment, op12_prefix_doubling, op13_limited_accumulators)}
+SQL: dict[str, str] = {"op3_url_list_asof": SQL_OP3, "op8_merkle_audit": SQL_OP8, "op13_limited_accumulators": SQL_OP13}
