@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tradewind.llm import decontaminate, jaccard_join, language_id, secret_ownership, trie_bpe
 from tradewind.llm.common import read_table
-from tradewind.llm.queries import TOKENIZERS
+from tradewind.llm.queries import tokenizer_file
 from tradewind.session import configure, stage
 
 
@@ -39,7 +39,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id``, ``n_tokens`` and the token ``ids`` of every document."""
-    return trie_bpe.encode(docs, f"{TOKENIZERS}/word_bpe_49k.json", columns=("n_tokens", "ids"))
+    return trie_bpe.encode(docs, tokenizer_file("word_bpe_49k.json"), columns=("n_tokens", "ids"))
 
 
 STAGES = [
