@@ -1,5 +1,5 @@
 """All registered queries, in the order of the build."""
 
-from checks import customers, jobs, orders, promotion, scalars
+from checks import customers, growth, jobs, orders, promotion, scalars
 
-CHECKS = [*orders.CHECKS, *customers.CHECKS, *promotion.CHECKS, *scalars.CHECKS, *jobs.CHECKS]
+CHECKS = [*orders.CHECKS, *customers.CHECKS, *promotion.CHECKS, *scalars.CHECKS, *jobs.CHECKS, *growth.CHECKS]
