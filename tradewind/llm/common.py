@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,4 +28,6 @@ def bounded_batches(df: DataFrame) -> SparkSession:
 def release_shuffles(spark: SparkSession) -> None:
     """Have the driver notice which shuffles no plan refers to any more, so that their files go before the next stage."""
     gc.collect()
+    # References that Python has dropped reach the driver's JVM within a second.
+    time.sleep(2)
     spark.sparkContext._jvm.System.gc()
