@@ -22,8 +22,8 @@ from __future__ import annotations
 import hashlib
 import json
 import sys
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -31,12 +31,12 @@ import pandas as pd
 import pyarrow as pa
 import regex
 import sentencepiece
+import tiktoken
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
-from tokenizers import Tokenizer
 
 from tradewind.llm.common import bounded_batches, pick
 from tradewind.llm.trie_bpe import byte_symbols
@@ -48,6 +48,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 REMEMBERED = 200_000
 REMEMBERED_CHARS = 6_000_000
 _WORD_MARK = "▁"
+# Rows cut and aligned at a time; bounds the memory of a task and changes no result.
+ROWS_AT_ONCE = 200
+# How the byte-level vocabulary file cuts a text, and the same as a pattern.
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _CUT = regex.compile(r"(?<=\S) ")
 
 
@@ -60,24 +65,29 @@ class Tokenizers:
     """Both tokenizers, the bytes of their tokens, and the second one's id with the same bytes for each id of the first."""
 
     def __init__(self, first: str, second: bytes):
-        self.first = Tokenizer.from_str(first)
-        self.first.encode_special_tokens = True
-        self.first.no_padding()
-        self.first.no_truncation()
+        file = json.loads(first)
+        vocab, split = file["model"]["vocab"], file["pre_tokenizer"]
+        merges = (m.split(" ", 1) if isinstance(m, str) else m for m in file["model"]["merges"])
+        symbols = byte_symbols()
+        special = {t["content"] for t in file["added_tokens"]}
+        plain = {bytes(symbols[c] for c in name): i for name, i in vocab.items() if name not in special}
+        # With ids in the order of the merges, the same vocabulary as ranks gives the same tokens.
+        if split != _BYTE_LEVEL or any(vocab[a + b] != 256 + i for i, (a, b) in enumerate(merges)):
+            raise ValueError("a byte-level vocabulary whose ids follow its merges is needed")
+        self.first = tiktoken.Encoding("first", pat_str=_PATTERN, mergeable_ranks=plain, special_tokens={})
         self.second = sentencepiece.SentencePieceProcessor(model_proto=second)
-        symbols, names = byte_symbols(), json.loads(first)["model"]["vocab"]
-        self.first_bytes = [b""] * (max(names.values()) + 1)
-        for name, i in names.items():
-            self.first_bytes[i] = bytes(symbols[c] for c in name) if all(c in symbols for c in name) else name.encode()
+        self.first_bytes = [b""] * (max(plain.values()) + 1)
+        for name, i in plain.items():
+            self.first_bytes[i] = name
         self.second_bytes = [self._piece(i) for i in range(self.second.get_piece_size())]
-        inner = [i for i in range(len(self.second_bytes)) if regex.search(f"[^{_WORD_MARK}]{_WORD_MARK}", self.second.id_to_piece(i))]
-        if inner:
+        if any(regex.search(f"[^{_WORD_MARK}]{_WORD_MARK}", self.second.id_to_piece(i)) for i in range(len(self.second_bytes))):
             raise ValueError("the second vocabulary joins words, so texts cannot be cut before blanks")
         lowest: dict[bytes, int] = {}
         for i, piece in enumerate(self.second_bytes):
             if piece and not self.second.is_byte(i):
                 lowest.setdefault(piece, i)
         self.same = np.array([lowest.get(b, -1) for b in self.first_bytes], np.int64)
+        self.first_sizes, self.second_sizes = (np.array([len(b) for b in side], np.int64) for side in (self.first_bytes, self.second_bytes))
 
     def _piece(self, i: int) -> bytes:
         if self.second.is_control(i) or self.second.is_unknown(i):
@@ -85,31 +95,20 @@ class Tokenizers:
         piece = self.second.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.second.is_byte(i) else piece.replace(_WORD_MARK, " ").encode()
 
-    def encode(self, parts: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
-        """Tokens of both sides for each unit, None where they do not spell it."""
-        firsts = self.first.encode_batch(parts, add_special_tokens=False)
-        seconds = self.second.encode([p[1:] for p in parts], num_threads=1)
-        for part, a, b in zip(parts, firsts, seconds):
-            spelt = part.encode()
+    def encode(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
+        """Tokens of both sides for each unit, and whether they spell it; those that do not have none."""
+        firsts = [self.first.encode_ordinary(part) for part in parts]
+        seconds = self.second.encode([part[1:] for part in parts], num_threads=1)
+        spelt = []
+        for i, part in enumerate(parts):
             if part == " ":  # the end of a text; nothing is added to an empty string
-                b = [self.second.piece_to_id(_WORD_MARK)]
-            same = b"".join(map(self.first_bytes.__getitem__, a.ids)) == spelt == b"".join(map(self.second_bytes.__getitem__, b))
-            yield (a.ids, b) if same and _WORD_MARK not in part else None
-
-
-def groups(first: list[int], second: list[int], first_sizes: list[int], second_sizes: list[int]) -> Iterator[tuple[list[int], list[int]]]:
-    """Tokens of either side between neighbouring offsets at which both end."""
-    i = j = begin_i = begin_j = at_i = at_j = 0
-    while i < len(first) or j < len(second):
-        if at_i <= at_j and i < len(first):
-            at_i += first_sizes[first[i]]
-            i += 1
-        else:
-            at_j += second_sizes[second[j]]
-            j += 1
-        if at_i == at_j:
-            yield first[begin_i:i], second[begin_j:j]
-            begin_i, begin_j = i, j
+                seconds[i] = [self.second.piece_to_id(_WORD_MARK)]
+            whole = part.encode()
+            same = b"".join([self.first_bytes[t] for t in firsts[i]]) == whole == b"".join([self.second_bytes[t] for t in seconds[i]])
+            spelt.append(same)
+            if not same:
+                firsts[i], seconds[i] = [], []
+        return firsts, seconds, spelt
 
 
 class _Units:
@@ -117,44 +116,61 @@ class _Units:
 
     def __init__(self, tokenizers: Tokenizers):
         self.tokenizers = tokenizers
-        self.first_sizes = list(map(len, tokenizers.first_bytes))
-        self.second_sizes = list(map(len, tokenizers.second_bytes))
         self.forget()
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
         self.written: list[str] = []
         self.chars = 0
-        self.figures, self.regular, self.pairs = [], array("q"), array("q")
-        self.regular_ends, self.pair_ends = array("q", [0]), array("q", [0])
+        self.figures = np.zeros((0, 4), np.int64)
+        self.regular = self.pairs = np.zeros(0, np.int64)
+        self.regular_ends = self.pair_ends = np.zeros(1, np.int64)
 
     def full(self) -> bool:
         return len(self.written) > REMEMBERED or self.chars > REMEMBERED_CHARS
 
     def learn(self, parts: list[str]) -> None:
-        same = self.tokenizers.same
-        for part, found in zip(parts, self.tokenizers.encode(parts)):
+        """Align new units, all at once: their bytes laid end to end, a group ends where a token of either side does."""
+        known, n = self.tokenizers, len(parts)
+        firsts, seconds, spelt = known.encode(parts)
+        n_a, n_b = (np.fromiter(map(len, side), np.int64, n) for side in (firsts, seconds))
+        a, b = (np.fromiter(chain.from_iterable(side), np.int64) for side in (firsts, seconds))
+        end_a, end_b = np.cumsum(known.first_sizes[a]), np.cumsum(known.second_sizes[b])
+        both = np.zeros(int(end_a[-1]) + 1 if len(a) else 1, np.int8)
+        both[end_a] += 1
+        both[end_b] += 1
+        before = np.cumsum(both == 2)
+        group_a, group_b = before[end_a] - (both[end_a] == 2), before[end_b] - (both[end_b] == 2)
+        size_a, size_b = np.bincount(group_a), np.bincount(group_b)
+        unit_a = np.repeat(np.arange(n), n_a)
+        begin_a, begin_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
+        unit = unit_a[begin_a] if len(a) else np.zeros(0, np.int64)
+        links = size_a * size_b
+
+        # All links, in the order of the first side.
+        times = size_b[group_a] if len(a) else np.zeros(0, np.int64)
+        link_a, link_unit = np.repeat(a, times), np.repeat(unit_a, times)
+        skip = np.repeat(np.cumsum(times) - times, times)
+        link_b = b[np.repeat(begin_b[group_a], times) + np.arange(len(link_a)) - skip] if len(a) else link_a
+        same = known.same[link_a] == link_b
+        self.regular = np.append(self.regular, link_a[same])
+        self.pairs = np.append(self.pairs, (link_a << 32 | link_b)[~same])
+        self.regular_ends = np.append(self.regular_ends, self.regular_ends[-1] + np.cumsum(np.bincount(link_unit[same], minlength=n)))
+        self.pair_ends = np.append(self.pair_ends, self.pair_ends[-1] + np.cumsum(np.bincount(link_unit[~same], minlength=n)))
+        sums = [np.where(spelt, n_a, -1), n_b, np.bincount(unit, minlength=n), np.bincount(unit, links, minlength=n).astype(np.int64)]
+        self.figures = np.append(self.figures, np.stack(sums, axis=1), axis=0)
+
+        texts = []
+        for x, y, i, j, k, l in zip(size_a.tolist(), size_b.tolist(), a[begin_a].tolist(), b[begin_b].tolist(), begin_a.tolist(), begin_b.tolist()):
+            if x == y == 1:
+                texts.append(f"{i}|{j}")
+            else:
+                texts.append(",".join(map(str, a[k : k + x].tolist())) + "|" + ",".join(map(str, b[l : l + y].tolist())))
+        ends = np.cumsum(sums[2]).tolist()
+        for part, begin, end in zip(parts, [0, *ends], ends):
             self.number[part] = len(self.written)
             self.chars += len(part)
-            written, n_groups, n_links = [], 0, 0
-            for a, b in groups(*(found or ([], [])), self.first_sizes, self.second_sizes):
-                written.append(",".join(map(str, a)) + "|" + ",".join(map(str, b)))
-                n_groups += 1
-                n_links += len(a) * len(b)
-                for x in a:
-                    for y in b:
-                        if same[x] == y:
-                            self.regular.append(x)
-                        else:
-                            self.pairs.append(x << 32 | y)
-            self.written.append(";".join(written))
-            self.figures.append((len(found[0]), len(found[1]), n_groups, n_links) if found else (-1, 0, 0, 0))
-            self.regular_ends.append(len(self.regular))
-            self.pair_ends.append(len(self.pairs))
-
-    def arrays(self) -> tuple[np.ndarray, ...]:
-        kinds = (self.regular, self.regular_ends, self.pairs, self.pair_ends)
-        return np.array(self.figures, np.int64).reshape(-1, 4), *(np.array(kind, np.int64) for kind in kinds)
+            self.written.append(";".join(texts[begin:end]))
 
 
 def _counted(values: np.ndarray, ends: np.ndarray, unit: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,28 +198,27 @@ def _aligned(rows: DataFrame, first, second, with_groups: bool) -> DataFrame:
         for number, batch in enumerate(batches):
             if not batch.num_rows:
                 continue
-            if known.full():
-                known.forget()
-            cut = [units(text or "") for text in batch.column("text").to_pylist()]
-            new = dict.fromkeys(u for parts in cut for u in parts if u not in known.number)
-            if new:
-                known.learn(list(new))
-            figures, regular, regular_ends, pairs, pair_ends = known.arrays()
             vector = np.zeros(len(known.tokenizers.same), np.int64)
             columns: dict[str, list] = {name: [] for name in names[2:12]}
-            for parts in cut:
-                unit = np.array([known.number[u] for u in parts], np.int64)
-                if len(unit) and figures[unit, 0].min() < 0:
-                    unit = unit[:0]
-                sums = figures[unit].sum(axis=0).tolist()
-                written = ";".join([known.written[u] for u in unit.tolist()])
-                distinct, times = np.unique(unit, return_counts=True)
-                ids, id_links = _counted(regular, regular_ends, distinct, times)
-                own, own_links = _counted(pairs, pair_ends, distinct, times)
-                vector[ids] += 1
-                digest = hashlib.sha256(written.encode()).hexdigest() if written else ""
-                for name, value in zip(columns, [*sums, digest, written if with_groups else None, ids, id_links, own, own_links]):
-                    columns[name].append(value)
+            for begin in range(0, batch.num_rows, ROWS_AT_ONCE):
+                if known.full():
+                    known.forget()
+                cut = [units(text or "") for text in batch.column("text").slice(begin, ROWS_AT_ONCE).to_pylist()]
+                if new := list(dict.fromkeys(u for parts in cut for u in parts if u not in known.number)):
+                    known.learn(new)
+                for parts in cut:
+                    unit = np.array([known.number[u] for u in parts], np.int64)
+                    if len(unit) and known.figures[unit, 0].min() < 0:
+                        unit = unit[:0]
+                    sums = known.figures[unit].sum(axis=0).tolist()
+                    written = ";".join([known.written[u] for u in unit.tolist()])
+                    distinct, times = np.unique(unit, return_counts=True)
+                    ids, id_links = _counted(known.regular, known.regular_ends, distinct, times)
+                    own, own_links = _counted(known.pairs, known.pair_ends, distinct, times)
+                    vector[ids] += 1
+                    digest = hashlib.sha256(written.encode()).hexdigest() if written else ""
+                    for name, value in zip(columns, [*sums, digest, written if with_groups else None, ids, id_links, own, own_links]):
+                        columns[name].append(value)
             sizes = [len(p) for p in columns["pairs"]]
             chunk_pairs, place, pair_docs = np.unique(np.concatenate(columns["pairs"]), return_inverse=True, return_counts=True)
             columns["pairs"] = np.split(place, np.cumsum(sizes)[:-1])
