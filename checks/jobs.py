@@ -14,7 +14,7 @@ from checks.customers import _RFM
 from checks.orders import _all_orders, _MASTER_SUMS
 from checks.promotion import _overview, _overview_sql
 from tradewind.operators import channels, masters, promotion, versions
-from tradewind.plans import refresh, sinks
+from tradewind.plans import months, refresh, sinks
 from tradewind.session import staging_path
 from tradewind.sources import delimited, files, layouts, tables
 from tradewind.streaming import ingest
@@ -175,6 +175,55 @@ def _incremental(spark, folder):
     return refresh.stored_tables(spark, f"{root}/tables", names)["daily_sales"]
 
 
+_MONTHLY: dict = {}
+
+
+def _monthly(spark, folder, table_name):
+    """A master table of a store by month, which is built once per session and folder."""
+    key = spark.sparkContext.applicationId, folder
+    if key not in _MONTHLY:
+        _MONTHLY[key] = _monthly_store(spark, folder)
+    return _MONTHLY[key].tables()[table_name]
+
+
+def _monthly_store(spark, folder):
+    """As above, kept by month: the second run corrects orders from 1999 on, and moves those of the first days of a month
+    to the month before."""
+    root = _new_folder(spark, "monthly")
+    lines = order_lines(spark, folder, *ALL, valid=False)
+    corrected = F.col("Order_Date") >= F.lit("1999-01-01").cast("timestamp")
+    old = lines.filter(F.col("Order_Date") < F.lit("2000-01-01").cast("timestamp"))
+    moved = corrected & (F.dayofmonth("Order_Date") <= 3)
+    old = old.withColumns(
+        {
+            "Net_Sales": F.when(corrected, F.col("Net_Sales") + 1).otherwise(F.col("Net_Sales")),
+            "Order_Status": F.when(corrected, F.lit("F")).otherwise(F.col("Order_Status")),
+            "Order_Date": F.when(moved, F.date_sub("Order_Date", 5).cast("timestamp")).otherwise(F.col("Order_Date")),
+        }
+    )
+    raw = refresh.OrderStore(spark, f"{root}/store")
+    store = months.social_store(spark, f"{root}/months")
+    exports.social_orders(old, f"{root}/exports")
+    months.refresh_months(raw, store, f"{root}/exports")
+    exports.social_orders(lines.filter(corrected), f"{root}/exports")
+    months.refresh_months(raw, store, f"{root}/exports")
+    return store
+
+
+def _stream_months(spark, folder):
+    """Two order files as a stream, one a micro-batch; the second corrects half of the orders of the first. The stream is
+    started once more from its checkpoint."""
+    root = _new_folder(spark, "stream-months")
+    orders = table(spark, folder, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))
+    old = orders.withColumns({"o_totalprice": F.col("o_totalprice") + 1, "o_orderdate": F.date_add("o_orderdate", 20).cast("timestamp")})
+    store = months.MonthlyStore(spark, f"{root}/months", lambda df: df, order_key="o_orderkey", date=F.col("o_orderdate"), parts=lambda lines: {})
+    for part in (old.filter("o_orderkey % 2 = 0 OR o_orderkey % 3 = 0").coalesce(1), orders.filter("o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0").coalesce(1), orders.filter("o_orderkey % 6 = 3").coalesce(1)):
+        part.write.mode("append").parquet(f"{root}/files")
+        stream = ingest.file_stream(spark, f"{root}/files", orders.schema, "parquet", "*.parquet", files_per_batch=1)
+        ingest.merge(stream, store, f"{root}/checkpoint").awaitTermination()
+    return store.rows()
+
+
 def _stream(spark, folder):
     """The orders file as a stream of one micro-batch, then the newest row per order."""
     target = _new_folder(spark, "stream")
@@ -335,6 +384,29 @@ CHECKS = [
         _SOCIAL_DAILY,
         _LINES,
     ),
+    Check(
+        "incremental_months",
+        f"Date:d Platform:s {_MASTER_SUMS}",
+        lambda s, f: _monthly(s, f, "daily_sales"),
+        _SOCIAL_DAILY,
+        _LINES,
+    ),
+    Check(
+        "incremental_months_products",
+        "Product_Name:s SKU:s Orders:l Total_GMV:f2 Total_Qty:f2",
+        lambda s, f: _monthly(s, f, "products"),
+        """SELECT "Product_Name", "SKU", count(DISTINCT "Order_ID") AS "Orders", sum("Net_Sales") AS "Total_GMV", sum("Quantity") AS "Total_Qty"
+           FROM lines GROUP BY 1, 2""",
+        _LINES,
+    ),
+    Check(
+        "incremental_months_customers",
+        "Customer_ID:s Recency:l Frequency:l Monetary:f2 R_Score:i F_Score:i M_Score:i Segment:s",
+        lambda s, f: _monthly(s, f, "customer_rfm"),
+        "SELECT * FROM rfm",
+        (*_LINES, _RFM),
+    ),
+    Check("stream_months", "o_orderkey:l o_custkey:l o_orderstatus:s o_totalprice:f2 o_orderdate:t", _stream_months, "SELECT * FROM orders"),
     Check(
         "stream_ingest",
         "o_orderkey:l o_custkey:l o_orderstatus:s o_totalprice:f2 o_orderdate:t",

@@ -53,20 +53,35 @@ def rfm_base(lines: DataFrame, customer: str | None = None, reference=None, by_p
     days, not calendar days. The grouped customers are staged: the newest date and all later steps read
     them instead of the order lines.
     """
+    return recency(customer_totals(lines, customer, ["Platform"] if by_platform else []), reference)
+
+
+def customer_totals(lines: DataFrame, customer: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Last order, distinct orders and revenue per customer, and per ``by``; rows without a customer are left out."""
     customer = customer or next(c for c in CUSTOMER_COLUMNS if c in lines.columns)
     known = lines.filter(F.col(customer).isNotNull() & (F.col(customer) != ""))
-    keys = [F.col(customer).alias("Customer_ID")] + ([F.col("Platform")] if by_platform else [])
-    grouped = known.groupBy(*keys).agg(
+    return known.groupBy(F.col(customer).alias("Customer_ID"), *by).agg(
         F.max("Order_Date").alias("Last_Order"),
         F.count_distinct("Order_ID").alias("Frequency"),
         total("Net_Sales").alias("Monetary"),
     )
+
+
+def add_customers(parts: DataFrame) -> DataFrame:
+    """Partial results as one; right when no order is in two of them."""
+    return parts.groupBy("Customer_ID").agg(
+        F.max("Last_Order").alias("Last_Order"), F.sum("Frequency").alias("Frequency"), total("Monetary").alias("Monetary")
+    )
+
+
+def recency(grouped: DataFrame, reference=None) -> DataFrame:
+    """Customer totals with the whole days from the last order to ``reference``."""
     grouped = stage(grouped, "customers")
     if reference is None:
         reference = grouped.agg(F.max("Last_Order") + F.expr("INTERVAL 1 DAY")).first()[0]
-    recency = F.timestamp_diff("DAY", F.col("Last_Order"), F.lit(reference).cast("timestamp"))
-    return grouped.withColumn("Recency", recency).select(
-        "Customer_ID", *(["Platform"] if by_platform else []), "Recency", "Frequency", "Monetary"
+    days = F.timestamp_diff("DAY", F.col("Last_Order"), F.lit(reference).cast("timestamp"))
+    return grouped.withColumn("Recency", days).select(
+        "Customer_ID", *(["Platform"] if "Platform" in grouped.columns else []), "Recency", "Frequency", "Monetary"
     )
 
 

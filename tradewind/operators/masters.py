@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,21 +26,32 @@ _DAILY_SUMS = {
     "Service_Fee": "Service_Fee",
 }
 
-def _grouped(lines: DataFrame, keys: dict, sums: dict) -> DataFrame:
-    """Distinct orders and sums per key; rows with a null key are dropped as in a pandas group-by."""
+def _grouped(lines: DataFrame, keys: dict, sums: dict, by: Sequence[str] = ()) -> DataFrame:
+    """Distinct orders and sums per key; rows with a null key are dropped as in a pandas group-by.
+
+    With ``by``, partial results: one per value of these columns, to be added up by ``_added``."""
     for source in keys.values():
         lines = lines.filter(F.col(source).isNotNull())
-    return lines.groupBy(*[F.col(s).alias(k) for k, s in keys.items()]).agg(
+    return lines.groupBy(*by, *[F.col(s).alias(k) for k, s in keys.items()]).agg(
         F.count_distinct("Order_ID").alias("Orders"),
         *[total(s).alias(k) for k, s in sums.items()],
     )
 
 
-def daily_totals(lines: DataFrame) -> DataFrame:
-    daily = _grouped(lines, {"Date": "Order_Date_Only", "Platform": "Platform"}, _DAILY_SUMS)
+def _added(parts: DataFrame, keys: Sequence[str], sums: Iterable[str]) -> DataFrame:
+    """Partial results as one; right when no order is in two of them."""
+    return parts.groupBy(*keys).agg(F.sum("Orders").alias("Orders"), *[total(s).alias(s) for s in sums])
+
+
+def daily_totals(lines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    daily = _grouped(lines, {"Date": "Order_Date_Only", "Platform": "Platform"}, _DAILY_SUMS, by)
     return daily.withColumn("AOV", ratio("GMV", "Orders"))
 
 
+def add_daily(parts: DataFrame) -> DataFrame:
+    return _added(parts, ["Date", "Platform"], _DAILY_SUMS).withColumn("AOV", ratio("GMV", "Orders"))
+
+
 def with_growth(daily: DataFrame) -> DataFrame:
     """Growth against the k-th previous row of the same channel."""
     by_channel = Window.partitionBy("Platform").orderBy("Date")
@@ -89,17 +102,24 @@ def gmv_quantiles(daily: DataFrame) -> DataFrame:
     )
 
 
-def product_totals(lines: DataFrame) -> DataFrame:
+_PRODUCT_SUMS = {
+    "Total_GMV": "Net_Sales",
+    "Net_Revenue": "True_Net_Revenue",
+    "Total_Qty": "Quantity",
+    "Total_Discount": "Total_Discount",
+}
+
+
+def product_totals(lines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     keys = {"Product_Name": "Product_Name", "SKU": "SKU", "Platform": "Platform"}
     if "SKU" not in lines.columns:
         lines = lines.withColumn("SKU", F.lit("N/A"))
-    sums = {
-        "Total_GMV": "Net_Sales",
-        "Net_Revenue": "True_Net_Revenue",
-        "Total_Qty": "Quantity",
-        "Total_Discount": "Total_Discount",
-    }
-    return _grouped(lines, keys, sums).withColumn("Avg_Price", ratio("Total_GMV", "Total_Qty"))
+    return _grouped(lines, keys, _PRODUCT_SUMS, by).withColumn("Avg_Price", ratio("Total_GMV", "Total_Qty"))
+
+
+def add_products(parts: DataFrame) -> DataFrame:
+    added = _added(parts, ["Product_Name", "SKU", "Platform"], _PRODUCT_SUMS)
+    return added.withColumn("Avg_Price", ratio("Total_GMV", "Total_Qty"))
 
 
 def product_medians(products: DataFrame) -> tuple[float, float, float]:
@@ -109,12 +129,17 @@ def product_medians(products: DataFrame) -> tuple[float, float, float]:
 
 
 def product_master(lines: DataFrame) -> DataFrame:
-    """Products with segment, share of GMV and risk.
+    """Products with segment, share of GMV and risk."""
+    return label_products(product_totals(lines))
+
+
+def label_products(totals: DataFrame) -> DataFrame:
+    """Product totals with segment, share of GMV and risk.
 
     The totals are staged because the medians and the grand total need all of them before any row can be
     labelled; the labelling itself is a narrow pass over the staged table.
     """
-    totals = stage(product_totals(lines), "products")
+    totals = stage(totals, "products")
     median_gmv, median_quantity, grand_total = product_medians(totals)
     share = F.col("Total_GMV").cast("double") / F.nullif(F.lit(grand_total).cast("double"), F.lit(0.0)) * 100
     segment = labels.product_segment(
@@ -152,6 +177,10 @@ def geographic(lines: DataFrame) -> DataFrame:
     return _grouped(lines, {"Province": "Province", "Platform": "Platform"}, _GEO_SUMS)
 
 
-def daily_geographic(lines: DataFrame) -> DataFrame:
+def daily_geographic(lines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     keys = {"Date": "Order_Date_Only", "Province": "Province", "Platform": "Platform"}
-    return _grouped(lines, keys, _GEO_SUMS)
+    return _grouped(lines, keys, _GEO_SUMS, by)
+
+
+def add_geographic(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return _added(parts, keys, _GEO_SUMS)

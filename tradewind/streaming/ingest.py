@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tradewind.operators.versions import newest
+from tradewind.plans.months import MonthlyStore
 
 
 def file_stream(spark: SparkSession, folder: str, schema, file_format: str = "csv", glob: str | None = None, files_per_batch: int = 1000) -> DataFrame:
@@ -48,3 +49,17 @@ def ingest(stream: DataFrame, batches: str, checkpoint: str, every: str | None =
 def current(spark: SparkSession, batches: str, keys, order=("File_Modified", "File_Source")) -> DataFrame:
     """The newest row per key over all stored micro-batches; of two rows in one file the later one."""
     return newest(spark.read.parquet(batches), keys, [*order, "batch", "File_Block", "File_Row"]).drop("batch")
+
+
+def merge(stream: DataFrame, store: MonthlyStore, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Merge every micro-batch into a store by month, which holds the newest version of every order and nothing else.
+
+    The state is keyed by order: an older version that arrives late changes nothing, whatever the delay, and a micro-batch that
+    a restart repeats is known by its number and not merged again."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        store.merge(batch.drop("File_Block"), number)
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return writer.trigger(**trigger).start()
