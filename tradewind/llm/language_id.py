@@ -37,7 +37,7 @@ BUCKETS, SAMPLE_PER_LANGUAGE = 1 << 16, 4000
 TEXT_WEIGHT = 60.0
 # Rows that a parent domain, and the whole table, count for in the shares below them.
 HOST_SMOOTHING, DOMAIN_SMOOTHING, VALUE_SMOOTHING = 20.0, 20.0, 1.0
-_CHUNK = 1_000_000
+_CHUNK = 100_000
 _LETTERS = 0x3000
 
 
@@ -116,13 +116,13 @@ def fit(df: DataFrame, id_col: str, text_col: str, label_col: str, languages: Se
 
 def score(rows: DataFrame, model: np.ndarray) -> DataFrame:
     """``rows`` (id, text and others) with ``n`` trigrams and ``fit``, the mean log probability per language, for text."""
-    sent = rows.sparkSession.sparkContext.broadcast(model.astype(np.float32).tobytes())
+    blank = np.arange(model.shape[1]) > 0  # bucket 0 says nothing
+    sent = rows.sparkSession.sparkContext.broadcast((model * blank).astype(np.float32).tobytes())
     kept = [c for c in rows.columns if c != "text"]
     n_languages = len(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(sent.value, np.float32).reshape(n_languages, -1).astype(np.float64)
-        table[:, 0] = 0
+        table = np.frombuffer(sent.value, np.float32).reshape(n_languages, -1)
         letters = _letters()
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
@@ -131,10 +131,11 @@ def score(rows: DataFrame, model: np.ndarray) -> DataFrame:
                 for i, codes in zip(numbers, pieces):
                     found = _buckets(codes, letters)
                     n[i] += np.count_nonzero(found)
-                    total[i] += table[:, found].sum(axis=1)
+                    total[i] += [np.take(row, found).sum(dtype=np.float64) for row in table]
             mean = total / np.maximum(n, 1)[:, None]
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in kept], pa.array(n), pa.array(list(mean), pa.list_(pa.float64()))], names=[*kept, "n", "fit"]
+                [*[batch.column(c) for c in kept], pa.array(n), pa.FixedSizeListArray.from_arrays(pa.array(mean.ravel()), n_languages).cast(pa.list_(pa.float64()))],
+                names=[*kept, "n", "fit"],
             )
 
     fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
@@ -183,7 +184,8 @@ def identify(
 
     ``suffix`` is what the address says about the language, ``host`` the host; dots separate parent domains. Without a
     ``model`` one is fitted on a sample of ``df`` by ``label_col``."""
-    bounded_batches(df)
+    # Arrow's buffers lie outside the heap, and every task holds several.
+    bounded_batches(df).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     k = len(languages)
     if model is None:
         model = fit(df, id_col, text_col, label_col, languages)
