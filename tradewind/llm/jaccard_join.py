@@ -378,6 +378,9 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     same = id_.eqNullSafe(F.col("__id")) & (hash_ == F.col("__hash"))
     keys = [F.col("id").alias("__id"), F.col("text_hash").alias("__hash")]
     others = stage(found.filter("NOT first").select(*keys).distinct(), "other-copies")
+    # Ids of a checked number (16 bytes each) go to all tasks, and the texts are not shuffled; more are joined.
+    if others.count() <= BROADCAST_IDS and dict(others.dtypes)["__id"] in ("bigint", "int"):
+        others = F.broadcast(others)
     kept = df.join(others, same, "left_anti")
     repeated = found.filter("first AND n_shingles > 0").groupBy(*keys).count().filter("count > 1").drop("count")
     repeated = stage(repeated, "repeated-rows")
