@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradewind.functions import parsing
+from tradewind.operators.versions import of_newest_file
 from tradewind.sources import layouts
 from tradewind.sources.delimited import pick
 from tradewind.sources.files import listing
@@ -181,10 +182,12 @@ def _with_range(rows: DataFrame, names: Mapping[str, str], header_row: int) -> D
     return sheet(rows, names, header_row, [start.alias("Report_Start"), end.alias("Report_Date")])
 
 
-def read_marketplace_orders(spark: SparkSession, folder: str) -> DataFrame:
+def read_marketplace_orders(spark: SparkSession, folder: str, dedupe: bool = False) -> DataFrame:
+    """Marketplace orders; with ``dedupe`` an order that overlapping exports hold is read from the newest of them only."""
     start, end = parsing.file_dates("File_Source", "orders")
     period = F.when(start.isNotNull(), F.concat_ws(" - ", start.cast("string"), end.cast("string")))
-    return sheet(workbook_rows(spark, folder), layouts.MARKETPLACE_ORDERS, 0, [period.alias("File_Date_Range")])
+    found = sheet(workbook_rows(spark, folder), layouts.MARKETPLACE_ORDERS, 0, [period.alias("File_Date_Range")])
+    return of_newest_file(found, "Order_ID") if dedupe else found
 
 
 def read_direct_sales(spark: SparkSession, folder: str) -> DataFrame:
