@@ -95,8 +95,8 @@ def _damaged(spark, folder):
     write_workbooks(_exported(spark, f"{target}/csv"), f"{target}/xlsx")
     rows = workbooks.workbook_rows(spark, f"{target}/xlsx")
     # The orders and the total row at the end of the export.
-    kept = rows.filter("Row > 0").agg(F.count("*").alias("Rows"))
-    return workbooks.damaged(rows).select("File_Source").join(kept)
+    kept = rows.filter("Row > 0").agg(F.count("*")).scalar()
+    return workbooks.damaged(rows).select("File_Source", kept.alias("Rows"))
 
 
 def _overlapping(spark, folder):
