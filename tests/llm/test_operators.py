@@ -487,6 +487,41 @@ def test_story_is_whole_beside_marks_and_gaps(page, text):
     assert page_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "name",
+    ["related-posts", "sidebar-left", "left-sidebar", "footer-widgets", "nav-primary", "navbar-collapse", "ad-300x250", "adsbygoogle",
+     "google-ad", "social-media", "cookie-law-info", "share-this", "breadcrumb-trail", "user-comments", "siteFooter"],
+)
+def test_boilerplate_by_first_and_last_words(name):
+    story = f"<p>{STORY}</p>"
+    for kind in ("class", "id"):
+        beside = f'<div {kind}="{name}"><p>Not of the story.</p></div>'
+        assert page_text(f"<article>{story}{beside}<p>End.</p></article>") == f"{STORY} End."
+        assert page_text(f"<div>{beside}{story}{beside}<p>End.</p></div>") == f"{STORY} End."
+
+
+@pytest.mark.parametrize("name", ["overflow-hidden", "hidden-xs", "menu-open", "no-sidebar", "has-comments", "table-header", "topic-social"])
+def test_names_of_states_keep_the_text(name):
+    assert page_text(f'<div class="{name}"><p>{STORY}</p></div>') == STORY
+
+
+def test_dive_without_marks():
+    after = "<p>Copyright 2024 Foo Ltd</p><p>All rights reserved</p><p>Imprint</p>"
+    assert page_text(f"<h1>Head</h1><p>{STORY}</p>{after}") == f"Head {STORY}"
+    assert page_text(f"<h1>Head</h1><p>{STORY}</p><p>It was so.</p>{after}<p>Written by hand.</p>") == f"Head {STORY} It was so."
+    assert page_text(f"<p>{STORY}</p><h2>Then</h2><p>{STORY}</p><p>Share</p>") == f"{STORY} Then {STORY}"
+
+
+def test_formulas_links_and_unclosed_elements():
+    math = "<math><mi>x</mi><mo>=</mo><mn>2</mn></math>"
+    assert page_text(f"<article><p>So {math} holds.</p></article>") == "So x=2 holds."
+    assert page_text(f"<p>{STORY}</p><p><a href=1>A source</a></p><p>{STORY}</p>") == f"{STORY} A source {STORY}"
+    assert page_text(f"<p>{STORY}</p><ul><li><a>one</a><li><a>two</a></ul><p>{STORY}</p>") == f"{STORY} {STORY}"
+    for name in ("svg", "object", "canvas", "iframe", "noscript"):
+        assert page_text(f"<article><{name}>x</{name}><p>A.</p><{name}><p>B.</p></article>") == "A. B."
+    assert page_text("<article><p>A.</p><script>var a;<p>B.</p></article>") == "A."
+
+
 # --- language
 
 
