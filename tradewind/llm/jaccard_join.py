@@ -15,8 +15,8 @@ a count exceeds the usual one of a bucket by estimates the frequency.
 Equal sets are one node from the start. In a posting list nodes are first compared with one leader, that with the
 largest share of frequent or shared shingles, as the original of edited copies has; those that are alike become a component, and lists whose nodes all belong to one component are done. So a group of copies costs as
 much as it has members, not pairs. What is left, pairs of different components in one list, is listed in full and
-verified, so that no link between two components is lost. Frequent shingles are dealt out over several lists whose
-leaders are compared as well.
+verified, so that no link between two components is lost. Frequent shingles are dealt out over lists of a bounded
+length whose leaders are compared as well.
 
 Shingles are 64-bit hashes of word sequences, and sets are known by a 64-bit hash of theirs.
 
@@ -27,6 +27,7 @@ smallest id that it reaches, null if it reaches none. Columns that are not named
 
 from __future__ import annotations
 
+import math
 import sys
 import zlib
 from collections.abc import Iterator
@@ -35,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.llm.common import bounded_batches
@@ -49,14 +50,14 @@ BUCKETS, PARTS = 1 << 21, 64
 # The largest number of shared shingles a document may ask for, and what verifying a pair costs in reads of a posting.
 # Asking for more lets shingles count that have fewer others after them, so that texts around one frequent passage meet.
 MOST_MATCHES, VERIFY_COST = 2, 8.0
-# Shingles whose estimated frequency is higher are dealt out over that many lists.
-SPLIT_AT, LISTS = 20_000, 16
+# Shingles whose estimated frequency is higher are dealt out over lists of about that length.
+SPLIT_AT = 20_000
+# Postings of one group of lists, which a task holds at once, and postings a task gathers before it sends them.
+GROUPED, GATHERED = 1_000_000, 1_000_000
 # Rounds with leaders before the rest is listed, and the number of pairs per posting that counts as few.
 LEADER_ROUNDS, FEW_PAIRS = 1, 8
 # Documents whose ids are sent to all tasks to pick their texts; 8 bytes each.
 BROADCAST_IDS = 500_000
-_ROWS = 200_000
-_FREQUENT = 1 << 20
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -171,10 +172,10 @@ def prefix(hashes: np.ndarray, excess: np.ndarray, chance: float, percent: int)
     return hashes[order[: lengths[best]]], frequency[: lengths[best]], best + 1
 
 
-def _postings(words: int, percent: int, excess, chance: float):
-    """Prefix shingles of each distinct set: ``token``, ``sid``, ``info`` (size and place of the shingle, 32 bits each) and
-    ``tag`` (whether the shingle is frequent, the share of frequent shingles, and the matches asked for)."""
-    names = ["token", "sid", "info", "tag"]
+def _postings(words: int, percent: int, excess, chance: float, groups: int):
+    """Prefix shingles of each distinct set, packed by ``group``, a range of shingles.
+
+    A row per posting would be shuffled with all its columns; most postings have no partner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(excess.value, np.float32)
@@ -189,20 +190,100 @@ def _postings(words: int, percent: int, excess, chance: float):
                 seen.add(sid)
                 tokens, own, asked = prefix(hashes, table, chance, percent)
                 core = int(255 * np.mean(table[_bucket(hashes)] > chance))
-                tag = np.where(own >= SPLIT_AT, _FREQUENT, 0) + (core << 8) + asked
-                rows.append((tokens.view(np.int64), np.full(len(tokens), sid, np.int64), (n << 32) + np.arange(len(tokens)), tag.astype(np.int32)))
+                # A frequent shingle has several lists; which one a set is in is chance, but the same in all tasks.
+                number = np.where(own >= SPLIT_AT, np.ceil(own / max(1, SPLIT_AT)), 0).astype(np.uint64)
+                chosen = np.where(number > 0, 1 + _mixed(np.uint64([sid & _ALL])) % np.maximum(number, np.uint64(1)), 0)
+                rows.append((tokens, chosen.astype(np.uint32), sid, n, (core << 8) + asked))
                 count += len(tokens)
-                if count >= _ROWS:
-                    yield _batch(rows, names)
+                if count >= GATHERED:
+                    yield _packed(rows, groups)
                     rows, count = [], 0
         if rows:
-            yield _batch(rows, names)
+            yield _packed(rows, groups)
 
     return run
 
 
-def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(column)) for column in zip(*rows)], names=names)
+_ALL = (1 << 64) - 1
+# What a packed group holds: of each posting the step from the posting before it, the list, the place in the set's order
+# and the set; of each set its hash, size and tag.
+_OF_POSTING, _OF_SET = (np.uint64, np.uint32, np.uint32, np.uint32), (np.int64, np.uint32, np.uint32)
+
+
+def _spread(lists: np.ndarray) -> np.ndarray:
+    """What is added to the shingles of these lists, so that the lists of one shingle fall into different groups."""
+    return _mixed(lists.astype(np.uint64))
+
+
+def _packed(rows: list[tuple], groups: int) -> pa.RecordBatch:
+    """``group`` and ``packed`` of the postings of some sets (shingles, lists, hash, size and tag of each)."""
+    lengths = [len(row[0]) for row in rows]
+    lists = np.concatenate([row[1] for row in rows])
+    keys = np.concatenate([row[0] for row in rows]) + _spread(lists)
+    places = np.concatenate([np.arange(n, dtype=np.uint32) for n in lengths])
+    of_set = np.repeat(np.arange(len(rows)), lengths)
+    sets = [np.array(column, kind) for column, kind in zip(list(zip(*rows))[2:], _OF_SET)]
+    order = np.argsort(keys)
+    group = (((keys[order] >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)).astype(np.int64)
+    ends = [*(np.nonzero(np.diff(group))[0] + 1).tolist(), len(group)]
+    found, packed, start = [], [], 0
+    for end in ends:
+        own = order[start:end]
+        used, set_ = np.unique(of_set[own], return_inverse=True)
+        columns = [np.diff(keys[own], prepend=np.uint64(0)), lists[own], places[own], set_.astype(np.uint32)]
+        # Bytes of equal weight stand together, as the high ones are mostly zero.
+        parts = [c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in [*columns, *[c[used] for c in sets]]]
+        found.append(int(group[start]))
+        packed.append(zlib.compress(np.array([len(own), len(used)], np.uint32).tobytes() + b"".join(parts), 1))
+        start = end
+    return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(packed, pa.binary())], names=["group", "packed"])
+
+
+def _unpacked(packed: bytes) -> list[np.ndarray]:
+    """Shingles, lists, places, set hashes, sizes and tags of the postings of a packed group."""
+    data = zlib.decompress(packed)
+    counts = np.frombuffer(data, np.uint32, 2)
+    at, columns = 8, []
+    for count, kinds in zip(counts.tolist(), (_OF_POSTING, _OF_SET)):
+        for kind in kinds:
+            width = np.dtype(kind).itemsize
+            part = np.frombuffer(data, np.uint8, count * width, at).reshape(width, count)
+            columns.append(np.ascontiguousarray(part.T).view(kind).ravel())
+            at += count * width
+    steps, lists, places, set_, *sets = columns
+    return [np.cumsum(steps, dtype=np.uint64) - _spread(lists), lists, places, *[c[set_] for c in sets]]
+
+
+_LISTS = "token long, list long, sid long, info long, tag int, lead long, lead_info long, lead_tag int"
+
+
+def _listed(percent: int):
+    """The posting lists of a group: of each posting ``token``, ``list``, ``sid``, ``info`` (size and place of the shingle, 32 bits
+    each), ``tag`` (the share of frequent shingles and the matches asked for) and the same of the list's leader. Lists of one
+    set are left out, and postings that count for no partner, but for lists of frequent shingles."""
+
+    def run(group: pa.Table) -> pa.Table:
+        parts = [_unpacked(packed) for packed in group.column("packed").to_pylist()]
+        token, list_, place, sid, size, tag = (np.concatenate(column) for column in zip(*parts))
+        del parts
+        order = np.lexsort((sid, tag >> 8, list_, token))
+        token, list_, place, sid, size, tag = (c[order] for c in (token, list_, place, sid, size, tag))
+        same = (token[1:] == token[:-1]) & (list_[1:] == list_[:-1])
+        once = np.concatenate([[True], ~(same & (sid[1:] == sid[:-1]))])
+        token, list_, place, sid, size, tag = (c[once] for c in (token, list_, place, sid, size.astype(np.int64), tag))
+        starts = np.nonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (list_[1:] != list_[:-1])]))[0]
+        lengths = np.diff(starts, append=len(token))
+        least = np.repeat(np.minimum.reduceat(size, starts), lengths)
+        lead = np.repeat(starts + lengths - 1, lengths)
+        partner = np.maximum(least, np.ceil(size * percent / 100.0 - 1e-9))
+        shared = np.ceil(percent * (size + partner) / (100.0 + percent) - 1e-9)
+        useful = size - place >= shared - (tag & 255) + 1
+        kept = (np.repeat(lengths, lengths) > 1) & useful | (list_ > 0)
+        info, tag, lead = (size << 32) + place, tag.astype(np.int32), lead[kept]
+        columns = [token.view(np.int64)[kept], list_[kept].astype(np.int64), sid[kept], info[kept], tag[kept], sid[lead], info[lead], tag[lead]]
+        return pa.table(columns, names=["token", "list", "sid", "info", "tag", "lead", "lead_info", "lead_tag"])
+
+    return run
 
 
 def _sets(words: int):
@@ -309,17 +390,11 @@ def similar_documents(
     excess = spark.sparkContext.broadcast(excess.tobytes())
     texts = _rows(df, id_col, text_col).select("id", "text")
 
-    postings = texts.select("text").mapInArrow(_postings(words, percent, excess, chance), "token long, sid long, info long, tag int")
-    frequent = F.col("tag") >= _FREQUENT
-    postings = postings.withColumn("list", F.when(frequent, F.pmod("sid", F.lit(LISTS)).cast("int") + 1).otherwise(0))
-    by_list = Window.partitionBy("token", "list")
-    lead = F.max(F.struct(_core("tag").alias("core"), "sid", "info", "tag")).over(by_list).alias("lead")
-    bounds = [F.min("sid").over(by_list).alias("low"), F.max("sid").over(by_list).alias("high"), F.min(_size("info")).over(by_list).alias("least")]
-    lists = (
-        postings.select("*", lead, *bounds)
-        .filter((F.col("low") != F.col("high")) & _useful(F.col("least"), percent) | (F.col("list") > 0))
-        .select("token", "list", "sid", "info", "tag", *[F.col(f"lead.{c}").alias("lead" if c == "sid" else f"lead_{c}") for c in ("sid", "info", "tag")])
-    )
+    # Groups grow in number with the postings, so that what a task holds does not grow.
+    expected = docs.agg(F.sum(F.col("n") * (100 - percent) / 100 + MOST_MATCHES)).first()[0] or 0
+    groups = 1 + math.ceil(expected / GROUPED)
+    sent = texts.select("text").mapInArrow(_postings(words, percent, excess, chance, groups), "group long, packed binary")
+    lists = sent.groupBy("group").applyInArrow(_listed(percent), _LISTS)
     lists = stage(lists, "postings")
 
     # First round: every node with the leader of its list, and the leaders of the lists of a frequent shingle.
@@ -333,10 +408,10 @@ def similar_documents(
     pairs = _candidates(own.unionByName(among).select(*_ordered("lead", "sid")), percent)
     known = [_check(pairs, docs, texts, words, percent)]
     # The number of shared postings of a node tells how central it is.
-    members = lists.select("token", "sid", "info", "tag").distinct()
+    members = lists.select("token", "sid", "info", "tag")
     least = members.groupBy("token").agg(F.min(_size("info")).alias("least"))
     members = members.join(least, "token").filter(_useful(F.col("least"), percent)).drop("least")
-    members = members.join(lists.groupBy("sid").agg(F.count("*").alias("core")), "sid")
+    members = stage(members.join(lists.groupBy("sid").agg(F.count("*").alias("core")), "sid"), "members")
     for round_ in range(1, LEADER_ROUNDS + 2):
         roots = connected(_union(known).filter("alike").select("a", "b"))
         nodes = members.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
@@ -425,5 +500,6 @@ def _check(pairs: DataFrame, docs: DataFrame, texts: DataFrame, words: int, perc
         ids = F.broadcast(ids)
     rows = texts.join(ids, F.col("id").eqNullSafe(F.col("chosen_id")), "left_semi")
     made = rows.select("text").mapInArrow(_sets(words), "sid long, hashes array<long>")
-    sets = stage(made.join(chosen.select("sid"), "sid", "left_semi"), "sets").dropDuplicates(["sid"])
+    # Other texts of the same ids have no pair.
+    sets = stage(made, "sets").dropDuplicates(["sid"])
     return stage(_verified(pairs, sets, percent), "checked")
