@@ -422,6 +422,14 @@ def test_fixity(spark):
     assert fixity.audit(replica(spark, []), replica(spark, [])).count() == 0
 
 
+def test_records_of_one_place_are_laid_out_alike(spark):
+    rows = [("f", place, "r" * size) for place in (1, 1, 1, None, None, 2) for size in (3, 70, 5)]
+    schema = "file string, place long, record string"
+    one, other = (fixity.laid_out(spark.createDataFrame(r, schema).repartition(n)) for r, n in ((rows, 1), (rows[::-1], 3)))
+    assert fixity.audit(one, other).count() == 0
+    assert {r["offset"] for r in one.collect()} == {r["offset"] for r in other.collect()}
+
+
 # --- page text
 
 PAGES = [

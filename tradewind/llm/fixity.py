@@ -37,11 +37,12 @@ def warc_record(url: Column, payload: Column) -> Column:
 def laid_out(records: DataFrame, file: str = "file", order: str = "place", record: str = "record") -> DataFrame:
     """``file``, ``place``, ``offset``, ``length`` and ``hash`` of the records of each file, one after the other.
 
+    Records of the same place, or without one, stand in the order of their hashes, in every replica the same.
     Records are hashed where they are read; only hashes and lengths are shuffled. Files are bounded by their writer, so
     one file's lengths are summed by one task."""
     bytes_ = F.coalesce(F.col(record).cast("binary"), F.lit(b""))
     each = records.select(F.col(file).alias("file"), F.col(order).alias("place"), F.octet_length(bytes_).cast("long").alias("length"), F.sha2(bytes_, 256).alias("hash"))
-    before = Window.partitionBy("file").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("file").orderBy("place", "hash").rowsBetween(Window.unboundedPreceding, -1)
     return each.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
 
 
