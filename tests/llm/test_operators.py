@@ -285,6 +285,54 @@ def test_encoding_equals_the_library(spark):
 # --- benchmark passages
 
 
+def test_repetitive_items_in_bounded_memory():
+    """An item that repeats itself, in a text of the same word: 2 * 10^8 equal q-grams."""
+    import tracemalloc
+
+    index = decontaminate.Index([("zeros", "0 " * 5000 + "0")])
+    assert max(map(len, index.texts)) < 2100
+    codes = decontaminate._codes(" 0" * 40_000 + " ")
+    tracemalloc.start()
+    found = list(decontaminate.matches(codes, index))
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+    assert {index.places[k] + place for k, place, edits, _ in found if not edits} == {p for p, _ in decontaminate.segments("0 " * 5000 + "0")}
+
+
+def test_lists_of_shared_grams_do_not_change_what_is_found(monkeypatch):
+    r = random.Random(9)
+    items = [(str(i), " ".join(r.choice(("ab", "b", "a")) for _ in range(n))) for i, n in enumerate((30, 60, 150))]
+    part = list(items[2][1][50:250])
+    part[70] = part[140] = "z"
+    text = " ".join(r.choice(("ab", "b", "a")) for _ in range(150)) + f" {items[0][1]} " + "".join(part) + " b" * 100
+    codes = decontaminate._codes(f" {text} ")
+
+    def found():
+        index = decontaminate.Index(items)
+        return {(index.items[k], index.places[k] + place): edits for k, place, edits, _ in decontaminate.matches(codes, index)}
+
+    whole = found()
+    want = {
+        (item, place): best
+        for item, passage in items
+        for place, segment in decontaminate.segments(passage)
+        if (best := brute.edits_inside(segment, f" {text} ")) <= decontaminate.edits_allowed(len(segment))
+    }
+    assert whole == want and len(want) > 20
+    monkeypatch.setattr(decontaminate, "_LISTED", 500)
+    monkeypatch.setattr(decontaminate, "_PART", 7)
+    assert found() == whole
+
+
+def test_item_ids_of_any_type(spark):
+    passage = "which of these planets has the largest number of moons known today"
+    rows = [(1, f"so {passage} then", "en", "s"), (2, "nothing of that kind here", "en", "s"), (3, "as tiny words say", "en", "s")]
+    benchmark = spark.createDataFrame([("q1", passage), (None, "tiny words"), ("q2", None)], "item_id string, text string")
+    got = {(x["id"], x["item_id"]) for x in decontaminate.contaminated(docs(spark, rows), benchmark).collect()}
+    assert got == {(1, "q1"), (3, None)}
+    assert [x["doc_id"] for x in decontaminate.without_passages(docs(spark, rows), benchmark).collect()] == [2]
+
+
 def test_passages_against_alignment(spark):
     r = random.Random(4)
     words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(300)]

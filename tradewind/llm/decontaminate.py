@@ -11,11 +11,14 @@ Only bands that reach the bound are aligned, with dynamic programming inside the
 of the segment needs at most e edits.
 
 Documents are read once and nothing is shuffled but what was found. The benchmark is sent to all tasks in blocks of a
-bounded size, one pass each.
-
-Null or empty texts and items match nothing. Equal items are
-found each under their own id, equal documents each in their own row. An empty table gives an empty result. Columns
-that are not named are ignored.
+bounded size, one pass each. Shared q-grams are counted before they are listed: where a text and the items repeat
+themselves, so that there are many, the text is halved (halves overlap by more than a match) and then the items, until
+a bounded number is left; items are held in parts of a bounded length. Parts that have been found whole, without edits, are not
+searched any further.
+
+Null or empty texts and items match nothing. Ids may be of any type; items without an id are found under the null id.
+Equal items are found each under their own id, equal documents each in their own row. Long texts are searched whole, in
+pieces that overlap. An empty table gives an empty result. Columns that are not named are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tradewind.llm.common import pick
 from tradewind.session import stage
@@ -44,6 +48,8 @@ _FILTER_BITS = 24
 _CHUNK = 1_000_000
 # Alignments done at once.
 _ALIGNED = 4096
+# Segments in one part of an item, shared q-grams listed at once, characters of a text that no match exceeds.
+_PART, _LISTED, _OVERLAP = 400, 1_000_000, 2 * (SEGMENT + STEP)
 
 _PARTS = re.compile(r"\w+").findall
 
@@ -87,23 +93,34 @@ def grams(codes: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Q-grams of a block of items, each once with its place in the item, and where the item's segments begin."""
+    """Q-grams of a block of items, taken in parts of at most ``_PART`` segments, each with the parts that hold it and
+    its places there."""
 
     def __init__(self, items: list[tuple[object, str]]):
-        self.items = [item for item, text in items if len(text) >= LEAST]
-        texts = [text for _, text in items if len(text) >= LEAST]
-        self.texts = [_codes(text) for text in texts]
-        self.starts = [np.array([place for place, _ in segments(text)], np.int64) for text in texts]
-        self.lengths = np.array([len(segments(text)[0][1]) for text in texts], np.int64)
-        self.edits = np.array([edits_allowed(n) for n in self.lengths], np.int64)
-        self.needed = np.array([max(1, shared_needed(int(n))) for n in self.lengths], np.int64)
+        # Per part: item, place in the item, text, places of segments in the part, their length.
+        self.items, self.places, self.texts, self.starts, lengths = [], [], [], [], []
+        for item, text in items:
+            if len(text) < LEAST:
+                continue
+            codes, own = _codes(text), segments(text)
+            places, length = np.array([place for place, _ in own], np.int64), len(own[0][1])
+            for some in (places[i : i + _PART] for i in range(0, len(places), _PART)):
+                self.items.append(item)
+                self.places.append(int(some[0]))
+                self.texts.append(codes[some[0] : some[-1] + length])
+                self.starts.append(some - some[0])
+                lengths.append(length)
+        self.lengths = np.array(lengths, np.int64)
+        self.edits = np.array([edits_allowed(n) for n in lengths], np.int64)
+        self.needed = np.array([max(1, shared_needed(n)) for n in lengths], np.int64)
         hashes = [grams(t) for t in self.texts]
-        lengths = [len(h) for h in hashes]
-        all_ = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        item = np.repeat(np.arange(len(hashes)), lengths)
-        place = np.concatenate([np.arange(n) for n in lengths]) if hashes else np.empty(0, np.int64)
-        order = np.argsort(all_, kind="stable")
-        self.hashes, self.item, self.place = all_[order], item[order], place[order]
+        counts = [len(h) for h in hashes]
+        self.hashes, gram = np.unique(np.concatenate([*hashes, np.empty(0, np.uint64)]), return_inverse=True)
+        # Entries by q-gram and part, so that those of a range of parts lie together.
+        entries = (gram << 32) + np.repeat(np.arange(len(hashes)), counts)
+        order = np.argsort(entries, kind="stable")
+        self.entries = entries[order]
+        self.place = np.concatenate([*(np.arange(n) for n in counts), np.empty(0, np.int64)])[order]
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[(self.hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
         # Short items between blanks: per length the hashes, and the items of each text.
@@ -116,14 +133,17 @@ class Index:
             by_length.setdefault(len(key) // 4, []).append(np.frombuffer(key, np.uint32))
         self.short_hashes = {n: np.unique([window_hashes(c, np.zeros(1, np.int64), n)[0] for c in found]) for n, found in by_length.items()}
 
-    def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places in the text, items and places in them of all shared q-grams."""
+    def shared(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the text of q-grams that items have, and which ones these are."""
         at = np.nonzero(self.filter[(hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])[0]
-        low, high = np.searchsorted(self.hashes, hashes[at], "left"), np.searchsorted(self.hashes, hashes[at], "right")
-        many = high - low
-        rows = np.repeat(at, many)
-        entry = np.repeat(low, many) + np.arange(len(rows)) - np.repeat(np.cumsum(many) - many, many)
-        return rows, self.item[entry], self.place[entry]
+        gram = np.searchsorted(self.hashes, hashes[at])
+        same = self.hashes[np.minimum(gram, len(self.hashes) - 1)] == hashes[at]
+        return at[same], gram[same]
+
+    def entries_of(self, gram: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """First entry of each q-gram in the parts ``low`` to ``high`` (exclusive), and how many there are."""
+        first = np.searchsorted(self.entries, (gram << 32) + low)
+        return first, np.searchsorted(self.entries, (gram << 32) + high) - first
 
 
 def window_hashes(codes: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
@@ -181,10 +201,44 @@ def banded_edits(text: np.ndarray, parts: np.ndarray, firsts: np.ndarray, width:
 
 
 def matches(codes: np.ndarray, index: Index) -> Iterator[tuple[int, int, int, int]]:
-    """(item, place of the segment, edits, end in the text) of every segment found in a normalised text, its best place only."""
-    rows, item, place = index.hits(grams(codes))
-    if not len(rows) or len(rows) < index.needed.min():
+    """(part, place of the segment in it, edits, end in the text) of every segment found in a normalised text, its best
+    place only."""
+    at, gram = index.shared(grams(codes))
+    best: dict[tuple[int, int], tuple[int, int]] = {}
+    if not len(at):
         return
+    # Segments of each part not yet found without edits.
+    missing = np.array([len(starts) for starts in index.starts])
+    todo = [(0, len(codes), 0, len(missing))]
+    while todo:
+        first, last, low, high = todo.pop()
+        rows = slice(*np.searchsorted(at, (first, last)))
+        if at[rows].size < index.needed.min() or not missing[low:high].any():
+            continue
+        begin, many = index.entries_of(gram[rows], low, high)
+        if many.sum() <= _LISTED or (last - first <= 4 * _OVERLAP and high - low == 1):
+            listed = np.repeat(begin, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            _match(codes, index, np.repeat(at[rows], many), index.entries[listed] & 0xFFFFFFFF, index.place[listed], best, missing)
+        elif last - first > 4 * _OVERLAP:
+            middle = (first + last) // 2
+            todo += [(middle, last, low, high), (first, middle + _OVERLAP, low, high)]
+        else:
+            middle = (low + high) // 2
+            todo += [(first, last, middle, high), (first, last, low, middle)]
+    for (k, start), (edits, end) in best.items():
+        yield k, start, edits, end
+
+
+def _match(
+    codes: np.ndarray, index: Index, rows: np.ndarray, item: np.ndarray, place: np.ndarray, best: dict, missing: np.ndarray
+) -> None:
+    """Adds what the shared q-grams (places in the text, parts, places there) lead to to ``best``."""
+
+    def keep(k: int, start: int, found: tuple[int, int]) -> None:
+        known = best.get((k, start), (SEGMENT, 0))
+        missing[k] -= known[0] > 0 and found[0] == 0
+        best[k, start] = min(known, found)
+
     half = np.maximum(index.edits, 1)
     diagonal = rows - place
     # Band b holds the diagonals [b * half, (b + 2) * half); each diagonal is in two of them.
@@ -198,10 +252,11 @@ def matches(codes: np.ndarray, index: Index) -> Iterator[tuple[int, int, int, in
     order = np.nonzero(np.isin(keys, full))[0]
     order = order[np.lexsort((place[order], keys[order]))]
     low, high = np.searchsorted(keys[order], full, "left"), np.searchsorted(keys[order], full, "right")
-    best: dict[tuple[int, int], tuple[int, int]] = {}
     open_: dict[int, list[tuple[int, int, int]]] = {}
     for key, a, z in zip(full.tolist(), low, high):
         k, b = key >> 32, (key & 0xFFFFFFFF) - (1 << 30)
+        if not missing[k]:
+            continue
         own, m = order[a:z], int(index.lengths[k])
         # The bound holds for each segment: shared q-grams that lie inside it.
         starts = index.starts[k]
@@ -216,9 +271,8 @@ def matches(codes: np.ndarray, index: Index) -> Iterator[tuple[int, int, int, in
         differ = np.concatenate([[0], np.cumsum(differ)])
         for start, n in zip(starts.tolist(), (differ[starts + m] - differ[starts]).tolist()):
             if not n:
-                found = 0, straight + start + m
-                best[k, start] = min(best.get((k, start), found), found)
-            else:
+                keep(k, start, (0, straight + start + m))
+            elif best.get((k, start), (1, 0))[0]:
                 open_.setdefault(m, []).append((k, start, b))
     for m, some in open_.items():
         e = edits_allowed(m)
@@ -229,12 +283,10 @@ def matches(codes: np.ndarray, index: Index) -> Iterator[tuple[int, int, int, in
             firsts = np.array([start + b * max(e, 1) - e for _, start, b in now])
             for (k, start, _), edits, end in zip(now, *(x.tolist() for x in banded_edits(codes, parts, firsts, 2 * max(e, 1) + 2 * e, e))):
                 if edits <= e:
-                    best[k, start] = min(best.get((k, start), (edits, end)), (edits, end))
-    for (k, start), (edits, end) in best.items():
-        yield k, start, edits, end
+                    keep(k, start, (edits, end))
 
 
-def _search(sent, names: list[str]):
+def _search(sent, names: list[str], kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(sent.value)
         for batch in batches:
@@ -244,19 +296,18 @@ def _search(sent, names: list[str]):
                 best: dict[tuple[int, int], tuple[int, int]] = {}
                 short: dict[object, tuple[int, int]] = {}
                 # Long texts in pieces that overlap by more than the longest match.
-                overlap = 2 * (SEGMENT + STEP)
-                for start in range(0, max(1, len(codes) - overlap), _CHUNK):
-                    piece = codes[start : start + _CHUNK + overlap]
+                for start in range(0, max(1, len(codes) - _OVERLAP), _CHUNK):
+                    piece = codes[start : start + _CHUNK + _OVERLAP]
                     for item, length, end in short_matches(piece, index):
                         short.setdefault(item, (length, start + end))
                     for k, place, edits, end in matches(piece, index):
                         best[k, place] = min(best.get((k, place), (edits, start + end - 1)), (edits, start + end - 1))
-                found += [(i, index.items[k], place, int(index.lengths[k]), e, end) for (k, place), (e, end) in best.items()]
+                found += [(i, index.items[k], index.places[k] + place, int(index.lengths[k]), e, end) for (k, place), (e, end) in best.items()]
                 found += [(i, item, 0, length, 0, end) for item, (length, end) in short.items()]
             columns = list(zip(*found)) or [[]] * 6
             rows = batch.take(pa.array(columns[0], pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [rows.column("id"), rows.column("text_hash"), pa.array(columns[1], pa.int64()),
+                [rows.column("id"), rows.column("text_hash"), pa.array(columns[1], kind),
                  *[pa.array(c, pa.int32()) for c in columns[2:]]],
                 names=names,
             )
@@ -264,10 +315,10 @@ def _search(sent, names: list[str]):
     return run
 
 
-def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[int, str]]]:
+def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[object, str]]]:
     """The items in blocks of bounded size, streamed through the driver; only one block is held at a time."""
     block, size = [], 0
-    for row in pick(benchmark, id=id_col, text=text_col).filter("id IS NOT NULL AND text IS NOT NULL").toLocalIterator():
+    for row in pick(benchmark, id=id_col, text=text_col).filter("text IS NOT NULL").toLocalIterator():
         text = normal(row["text"])
         if not text:
             continue
@@ -286,12 +337,12 @@ def find_passages(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     text = F.col(f"`{text_col}`")
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
     names = ["id", "text_hash", "item_id", "place", "length", "edits", "end"]
-    kind = rows.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, text_hash long, item_id long, place int, length int, edits int, end int"
+    kind, item_kind = rows.schema["id"].dataType.simpleString(), benchmark.schema["item_id"].dataType
+    schema = f"id {kind}, text_hash long, item_id {item_kind.simpleString()}, place int, length int, edits int, end int"
     result = None
     for block in benchmark_blocks(benchmark):
         sent = df.sparkSession.sparkContext.broadcast(block)
-        found = rows.mapInArrow(_search(sent, names), schema)
+        found = rows.mapInArrow(_search(sent, names, to_arrow_type(item_kind)), schema)
         result = found if result is None else result.unionByName(found)
     return df.sparkSession.createDataFrame([], schema) if result is None else result
 
