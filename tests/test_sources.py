@@ -1,3 +1,4 @@
+import hashlib
 import os
 import time
 import zipfile
@@ -188,6 +189,33 @@ def test_changed_files(spark, tmp_path):
     assert found == {"a.csv": "modified", "b.csv": "new"}
 
 
+def test_long_files_are_hashed_in_blocks(spark, tmp_path):
+    """Files of up to a block have their plain MD5; longer ones one of their blocks, which any change alters."""
+    content = {"a b%20+c.bin": bytes(range(256)) * 20, "short.bin": b"x" * 1000, "even.bin": b"y" * 3000}
+    (tmp_path / "in").mkdir()
+    for name, value in content.items():
+        (tmp_path / "in" / name).write_bytes(value)
+    (tmp_path / "in" / "empty.bin").touch()
+
+    def hashes():
+        return {r["Name"]: r["Hash"] for r in files.content_hashes(spark, str(tmp_path), "*.bin", block=1000).collect()}
+
+    def md5(value):
+        return hashlib.md5(value).hexdigest()
+
+    def blocks(value):
+        digests = [md5(value[i : i + 1000]) for i in range(0, len(value), 1000)]
+        return f"{md5(''.join(digests).encode())}-{len(digests)}"
+
+    first = hashes()
+    assert first == {name: md5(value) if len(value) <= 1000 else blocks(value) for name, value in content.items()}
+    swapped = content["a b%20+c.bin"]
+    (tmp_path / "in" / "a b%20+c.bin").write_bytes(swapped[1000:2000] + swapped[:1000] + swapped[2000:])
+    assert {name for name, value in hashes().items() if value != first[name]} == {"a b%20+c.bin"}
+    long = [r for r in files.content_hashes(spark, str(tmp_path), block=1000).collect() if "-" in r["Hash"]]
+    assert {r["Folder"] for r in long} == {"in"}
+
+
 def test_table_access(spark):
     assert tables.load_or_empty(spark, "no_such_table", "a int").count() == 0
     spark.range(3).selectExpr("id", "cast(id as double) as Total_GMV").createOrReplaceTempView("products")

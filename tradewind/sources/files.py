@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import quote
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +31,8 @@ def literal_path(path: str) -> str:
 
 # Characters read of a file to find its header; a first line that is longer is none.
 HEADER_CHARS = 1 << 16
+# Bytes of a file that one task hashes as one value.
+BLOCK_BYTES = 64 << 20
 
 
 def first_lines(spark: SparkSession, paths: Sequence[str]) -> dict[str, str | None]:
@@ -108,8 +114,12 @@ def latest_manifest(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("Data_Type", "Name").agg(row).select("Data_Type", "Name", "r.*")
 
 
-def content_hashes(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """MD5 of every file below ``folder``, with its folder relative to that one (empty for files right in it)."""
+def content_hashes(spark: SparkSession, folder: str, glob: str = "*", block: int = BLOCK_BYTES) -> DataFrame:
+    """MD5 of every file below ``folder``, with its folder relative to that one (empty for files right in it).
+
+    Files longer than ``block`` bytes are read in blocks of that length, by any tasks and a little at a time; their
+    hash is the MD5 of the blocks' MD5 in their order, a hyphen and the number of blocks. Spark's scans list no empty files.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", glob)
@@ -119,11 +129,42 @@ def content_hashes(spark: SparkSession, folder: str, glob: str = "*") -> DataFra
     root = "/" + re.sub(r"^[a-zA-Z0-9+.-]+:/*", "", folder).strip("/") + "/"
     below = F.expr("substring(path, locate(:root, path) + length(:root))".replace(":root", "'" + root.replace("'", "\\'") + "'"))
     parts = F.split(below, "/")
-    return files.select(
-        F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/").alias("Folder"), F.element_at(parts, -1).alias("Name"), F.md5("content").alias("Hash")
+    # The bound on the length reaches the scan, so long files are not read here.
+    small = files.filter(F.col("length") <= block).select("path", F.md5("content").alias("Hash"))
+    blocks = files.filter(F.col("length") > block).select("path", F.expr(f"explode(sequence(0L, (length - 1) div {block}))").alias("place"))
+    digests = blocks.repartition("path", "place").mapInArrow(_block_digests(block), "path string, place long, digest string")
+    ordered = F.sort_array(F.collect_list(F.struct("place", "digest")))
+    whole = digests.groupBy("path").agg(ordered.alias("d")).select(
+        "path", F.concat_ws("-", F.md5(F.array_join("d.digest", "")), F.size("d")).alias("Hash")
+    )
+    return small.unionByName(whole).select(
+        F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/").alias("Folder"), F.element_at(parts, -1).alias("Name"), "Hash"
     ).filter(F.lower("Name") != "desktop.ini")
 
 
+def _block_digests(block: int):
+    """For tasks: MD5 of numbered blocks of files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, places, digests = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            for path, place in zip(paths, places):
+                if path.startswith(("file:/", "/")):
+                    store, where = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+                else:
+                    store, where = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+                digest, left = hashlib.md5(), block
+                with store.open_input_file(where) as file:
+                    file.seek(place * block)
+                    while left and (read := file.read(min(left, 1 << 20))):
+                        digest.update(read)
+                        left -= len(read)
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.string())], names=["path", "place", "digest"])
+
+    return run
+
+
 def changed(current: DataFrame, previous: DataFrame) -> DataFrame:
     """Files that are new or whose content differs from the previous snapshot."""
     before = previous.select("Folder", "Name", F.col("Hash").alias("_before"))
