@@ -58,9 +58,18 @@ rfm AS (
       WHEN R_Score + F_Score + M_Score >= 7 THEN 'Need Attention' WHEN R_Score + F_Score + M_Score >= 4 THEN 'At Risk' ELSE 'Lost' END AS "Segment"
   FROM rfm_scores)"""
 _RFM_WITH = (*_LINES, _RFM)
-_STRATEGY = "\n".join(
-    f"WHEN '{name}' THEN '{text}'" for name, text in customers.SEGMENT_STRATEGIES.items()
-)
+# The advice per segment, stated here apart from the code under test.
+_STRATEGY = """WHEN 'Champions' THEN 'Reward with early access, exclusive offers. Ask for reviews and referrals.'
+WHEN 'Loyal Customers' THEN 'Upsell higher-value products. Engage with loyalty program.'
+WHEN 'Potential Loyalist' THEN 'Recommend products, offer membership benefits.'
+WHEN 'New Customers' THEN 'Onboarding series, provide excellent support.'
+WHEN 'Promising' THEN 'Create brand awareness, offer first-purchase incentives.'
+WHEN 'Need Attention' THEN 'Reactivate with limited-time offers, highlight new products.'
+WHEN 'About to Sleep' THEN 'Re-engage with personalized recommendations.'
+WHEN 'At Risk' THEN 'Send aggressive win-back campaigns, conduct surveys.'
+WHEN 'Cant Lose Them' THEN 'Personal outreach, premium support, understand their needs.'
+WHEN 'Hibernating' THEN 'Offer steep discounts, highlight value proposition.'
+WHEN 'Lost' THEN 'Attempt reactivation, but focus budget elsewhere.'"""
 
 MIN_SUPPORT, PAIR_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.005, 0.02, 0.1, 1.0
 
