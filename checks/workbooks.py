@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import io
+import sys
+import uuid
 import zipfile
+from collections.abc import Iterable
 from xml.sax.saxutils import escape
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +21,10 @@ from checks.jobs import _ORDER, _order_sql
 from tradewind.operators import channels, versions
 from tradewind.session import staging_path
 from tradewind.sources import delimited, workbooks
+from tradewind.sources.files import file_system
+
+# The functions run by tasks travel with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROWS_PER_WORKBOOK = 200_000
 _MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -30,45 +38,51 @@ def _letters(index: int) -> str:
     return text
 
 
-def _workbook(rows: list[list[str | None]]) -> bytes:
+def _workbook(names: list[str], rows: Iterable[tuple[str | None, ...]]) -> bytes:
     """A workbook of text cells."""
     shared: dict[str, int] = {}
-    lines = []
-    for r, row in enumerate(rows, 1):
-        cells = [f'<c r="{_letters(c)}{r}" t="s"><v>{shared.setdefault(v, len(shared))}</v></c>' for c, v in enumerate(row) if v is not None]
-        lines.append(f'<row r="{r}">{"".join(cells)}</row>')
-    strings = "".join(f'<si><t xml:space="preserve">{escape(s)}</t></si>' for s in shared)
+    letters = [_letters(c) for c in range(len(names))]
     content = io.BytesIO()
-    with zipfile.ZipFile(content, "w", zipfile.ZIP_DEFLATED) as archive:
+    with zipfile.ZipFile(content, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as archive:
         archive.writestr("xl/workbook.xml", f'<workbook xmlns="{_MAIN}"/>')
-        archive.writestr("xl/sharedStrings.xml", f'<sst xmlns="{_MAIN}">{strings}</sst>')
         archive.writestr("xl/styles.xml", f'<styleSheet xmlns="{_MAIN}"><cellXfs><xf numFmtId="0"/></cellXfs></styleSheet>')
-        archive.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{_MAIN}"><sheetData>{"".join(lines)}</sheetData></worksheet>')
+        with archive.open("xl/worksheets/sheet1.xml", "w") as sheet:
+            sheet.write(f'<worksheet xmlns="{_MAIN}"><sheetData>'.encode())
+            for r, row in enumerate((names, *rows), 1):
+                cells = [f'<c r="{at}{r}" t="s"><v>{shared.setdefault(v, len(shared))}</v></c>' for at, v in zip(letters, row) if v is not None]
+                sheet.write(f'<row r="{r}">{"".join(cells)}</row>'.encode())
+            sheet.write(b"</sheetData></worksheet>")
+        strings = "".join(f'<si><t xml:space="preserve">{escape(s)}</t></si>' for s in shared)
+        archive.writestr("xl/sharedStrings.xml", f'<sst xmlns="{_MAIN}">{strings}</sst>')
     return content.getvalue()
 
 
-def _write(spark, path: str, content: bytes) -> None:
-    context = spark.sparkContext
-    where = context._jvm.org.apache.hadoop.fs.Path(path)
-    stream = where.getFileSystem(context._jsc.hadoopConfiguration()).create(where)
-    stream.write(bytearray(content))
-    stream.close()
+def _write(path: str, content: bytes) -> None:
+    """The file is there whole or not at all, however often its task runs."""
+    store, where = file_system(path)
+    parent, _, name = where.rpartition("/")
+    store.create_dir(parent, recursive=True)
+    unfinished = f"{parent}/.{name}-{uuid.uuid4().hex}"
+    with store.open_output_stream(unfinished) as stream:
+        stream.write(content)
+    store.move(unfinished, where)
 
 
 def write_workbooks(df: DataFrame, folder: str) -> None:
-    """Rows of text in workbooks of a bounded size that tasks make; the driver writes them one by one, and a damaged one."""
-    spark, names = df.sparkSession, df.columns
+    """Rows of text in workbooks of a bounded size that tasks make and write to the shared folder, and a damaged one."""
+    names = df.columns
     number = 4 + df.count() // ROWS_PER_WORKBOOK
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        body = [[None if pd.isna(v) else str(v) for v in row] for row in rows.drop(columns="_file").itertuples(index=False)]
-        return pd.DataFrame({"name": rows["_file"].iloc[:1], "content": [_workbook([names, *body])]})
+        name = rows["_file"].iloc[0]
+        body = [[None if v is None or v != v else str(v) for v in rows[c]] for c in rows.columns if c != "_file"]
+        _write(f"{folder}/{name}", _workbook(names, zip(*body)))
+        return pd.DataFrame({"name": [name]})
 
     plain = df.toDF(*[f"c{i}" for i in range(len(names))])
     dealt = plain.withColumn("_file", F.format_string("export-%05d.xlsx", F.pmod(F.xxhash64(*plain.columns), F.lit(number))))
-    for row in dealt.groupBy("_file").applyInPandas(pack, "name string, content binary").toLocalIterator():
-        _write(spark, f"{folder}/{row['name']}", bytes(row["content"]))
-    _write(spark, f"{folder}/broken.xlsx", b"PK this is no workbook")
+    dealt.groupBy("_file").applyInPandas(pack, "name string").agg(F.count("*")).collect()
+    _write(f"{folder}/broken.xlsx", b"PK this is no workbook")
 
 
 def _exported(spark, folder: str) -> DataFrame:
