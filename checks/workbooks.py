@@ -118,8 +118,10 @@ def _overlapping(spark, folder):
     target = staging_path(spark, "overlapping")
     lines = order_lines(spark, folder, *ALL, valid=False)
     late = F.col("Order_Date") >= F.lit("1999-01-01").cast("timestamp")
-    exports.marketplace_orders(lines.withColumn("Net_Sales", F.when(late, F.col("Net_Sales") + 1).otherwise(F.col("Net_Sales"))).coalesce(1), target)
-    exports.marketplace_orders(lines.filter(late).coalesce(1), target)
+    # An export is in several files, each with all lines of its orders.
+    old = lines.withColumn("Net_Sales", F.when(late, F.col("Net_Sales") + 1).otherwise(F.col("Net_Sales")))
+    for export in (old, lines.filter(late)):
+        exports.marketplace_orders(export.repartition("Order_ID"), target)
     raw = versions.of_newest_file(delimited.read_csv(spark, target), exports._source_name(exports.layouts.MARKETPLACE_ORDERS, "Order_ID"))
     return channels.clean_marketplace_orders(raw, keywords=["ring"])
 
