@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import io
 import zipfile
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks import exports, workbooks as written
+from checks import exports, jobs, workbooks as written
 from tradewind.functions import parsing
+from tradewind.operators import versions
+from tradewind.plans import months
 from tradewind.sources import delimited, workbooks
 
 LINE = """Order_ID bigint, Line_Key string, Order_Status string, Order_Date timestamp, Product_Name string, SKU string, Original_Price double,
@@ -102,3 +105,67 @@ def test_currency_without_a_pattern(spark):
     df = spark.createDataFrame([(v,) for v in values], "v string").select(parsing.currency("v").alias("v"))
     assert "regexp_replace" not in plan_of(df)
     assert [r["v"] for r in df.collect()] == [1234.5678, 100.0, 0.0, 0.0, 0.0, 1000.0, -2.0, 0.0]
+
+
+def test_rows_of_a_merge_are_shuffled_once(spark, tmp_path, monkeypatch):
+    """The rows are joined with the few orders that are late, have several versions or lie in several months, and the result is that
+    of all of them: an order is in its first month, in its newest version, with or without dates."""
+    plans = []
+
+    def spied(df, *args):
+        if args[0] == "rebalance":
+            plans.append(plan_of(df))
+        return hint(df, *args)
+
+    hint = type(spark.range(1)).hint
+    monkeypatch.setattr(type(spark.range(1)), "hint", spied)
+    schema = "`Order ID` string, v int, day date, File_Modified timestamp, File_Source string"
+    store = months.MonthlyStore(spark, f"{tmp_path}/store", lambda df: df, date=F.col("day"), parts=lambda lines: {})
+    first, second, third = (datetime(2024, 5, n) for n in (1, 2, 3))
+    jan, feb, mar = date(2024, 1, 31), date(2024, 2, 1), date(2024, 3, 1)
+    rows = [("a", 1, feb, second, "f"), ("a", 2, jan, second, "f"), ("b", 1, jan, first, "e"), ("b", 2, feb, second, "f"), ("b", 3, None, second, "f"),
+            ("c", 1, None, first, "e"), (None, 1, mar, first, "e"), ("d", 1, jan, second, "f"), ("d", 1, jan, second, "f")]
+    store.merge(spark.createDataFrame(rows, schema), 0)
+
+    def held():
+        return sorted((r["Order ID"] or "", r["v"], r["Month"]) for r in store.rows().collect())
+
+    kept = [("", 1, "2024-03"), ("a", 1, "2024-01"), ("a", 2, "2024-01"), ("b", 2, "2024-02"), ("b", 3, "2024-02"), ("c", 1, "undated"), ("d", 1, "2024-01"), ("d", 1, "2024-01")]
+    assert held() == kept
+    late = [("b", 9, mar, first, "e"), ("c", 5, mar, third, "g"), ("e", 1, feb, first, "e")]
+    store.merge(spark.createDataFrame(late, schema), 1, stored_rows=True)
+    assert held() == sorted([k for k in kept if k[0] != "c"] + [("c", 5, "2024-03"), ("e", 1, "2024-02")])
+    assert "SortMergeJoin" not in plans[0] and "BroadcastHashJoin" in plans[0]
+
+
+def test_newest_row_is_chosen_before_the_shuffle(spark):
+    rows = [(k, o, f"{k}{o}") for k in (None, "a", "b") for o in (None, 1, 2)]
+    found = versions.newest(spark.createDataFrame(rows, "k string, o int, v string"), ["k"], ["o"])
+    assert sorted(r["v"] for r in found.collect()) == ["None2", "a2", "b2"]
+    plan = plan_of(found)
+    assert "SortAggregate" not in plan and plan.index("WindowGroupLimit") < plan.rindex("WindowGroupLimit")
+
+
+def test_stream_files_are_not_written_by_one_task(spark, monkeypatch, tmp_path):
+    """No query on exports or streams has its rows written by one task."""
+    monkeypatch.setattr(DataFrame, "coalesce", lambda self, n: pytest.fail("one task writes all") if "o_orderkey" in self.columns else self.repartition(n))
+    monkeypatch.setattr(type(spark.range(1)), "coalesce", DataFrame.coalesce)
+    orders = spark.range(30).selectExpr("id AS o_orderkey", "1.0D AS o_totalprice", "timestamp'2024-01-01' AS o_orderdate")
+    monkeypatch.setattr(jobs, "table", lambda *_: orders)
+    found = jobs._stream_months(spark, "")
+    assert sorted(r["o_orderkey"] for r in found.collect()) == list(range(30))
+
+
+def test_lines_of_the_channels_are_joined_once(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(jobs.refresh, "full_refresh", lambda sources, _: plans.extend(plan_of(sources[c]) for c in ("marketplace", "social", "direct")) or [])
+    monkeypatch.setattr(jobs.refresh, "table_sizes", lambda tables: None)
+    jobs._full_refresh(spark, "/root/testdata/sf0.001")
+    assert len(plans) == 3 and not any("Join" in p for p in plans)
+
+
+def test_a_monthly_query_reads_the_tables_of_its_own_run(spark, monkeypatch):
+    """A store that an earlier query built of the same folder is not used again."""
+    built = []
+    monkeypatch.setattr(jobs, "_monthly_store", lambda *_: built.append(1) or type("Store", (), {"tables": lambda self: {"products": len(built)}})())
+    assert [jobs._monthly(spark, "folder", "products") for _ in range(2)] == [1, 2]
