@@ -169,3 +169,23 @@ def test_a_monthly_query_reads_the_tables_of_its_own_run(spark, monkeypatch):
     built = []
     monkeypatch.setattr(jobs, "_monthly_store", lambda *_: built.append(1) or type("Store", (), {"tables": lambda self: {"products": len(built)}})())
     assert [jobs._monthly(spark, "folder", "products") for _ in range(2)] == [1, 2]
+
+
+@pytest.mark.parametrize("job", [jobs._incremental, jobs._monthly_store])
+def test_lines_of_two_exports_are_joined_once(spark, monkeypatch, job):
+    """Both exports read the stored lines; the join that gives these is not repeated."""
+    plans = []
+    write = exports.social_orders
+    monkeypatch.setattr(jobs, "order_lines", lambda *_, **__: order_lines(spark, year=1999))
+    monkeypatch.setattr(exports, "social_orders", lambda lines, folder: (plans.append(plan_of(lines)), write(lines, folder)))
+    job(spark, "")
+    assert len(plans) == 2 and not any("Range" in p for p in plans)
+
+
+def test_rows_are_not_sorted_for_their_newest_file(spark):
+    """Only the keys are in the hash table; a key without a value is one key, and all rows it has in its newest file stay."""
+    rows = [(1, "a", 1, "x"), (1, "a", 2, "y"), (2, "b", 1, "x"), (1, None, 1, "x"), (2, None, 1, "x"), (2, None, 1, "x")]
+    df = spark.createDataFrame(rows, "File_Modified int, key string, n int, File_Source string")
+    found = versions.of_newest_file(df, "key")
+    assert "ShuffledHashJoin" in plan_of(found) and "SortMergeJoin" not in plan_of(found)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([rows[1], rows[2], rows[4], rows[5]], key=str)
