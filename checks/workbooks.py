@@ -6,10 +6,10 @@ import io
 import sys
 import uuid
 import zipfile
-from collections.abc import Iterable
-from xml.sax.saxutils import escape
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +27,7 @@ from tradewind.sources.files import file_system
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROWS_PER_WORKBOOK = 200_000
+_ROWS_AT_ONCE = 20_000
 _MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 
 
@@ -38,25 +39,50 @@ def _letters(index: int) -> str:
     return text
 
 
-def _workbook(names: list[str], rows: Iterable[tuple[str | None, ...]]) -> bytes:
-    """A workbook of text cells."""
-    shared: dict[str, int] = {}
-    letters = [_letters(c) for c in range(len(names))]
+def _joined(*parts) -> pa.Array:
+    """Texts put together row by row; a null part makes a null."""
+    return pc.binary_join_element_wise(*parts, "")
+
+
+def _workbook(names: list[str], columns: list[pa.Array]) -> bytes:
+    """A workbook of text cells, of columns of text, put together by column, since a workbook has millions of cells."""
+    heads = [pa.array([name], pa.string()) for name in names]
+    columns = [pa.concat_arrays([head, *pa.chunked_array([column]).cast(pa.string()).chunks]) for head, column in zip(heads, columns)]
+    count, total = len(columns[0]), sum(len(c) - c.null_count for c in columns)
+    shared = pa.chunked_array(columns).combine_chunks().dictionary_encode()
     content = io.BytesIO()
     with zipfile.ZipFile(content, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as archive:
         archive.writestr("xl/workbook.xml", f'<workbook xmlns="{_MAIN}"/>')
         archive.writestr("xl/styles.xml", f'<styleSheet xmlns="{_MAIN}"><cellXfs><xf numFmtId="0"/></cellXfs></styleSheet>')
         with archive.open("xl/worksheets/sheet1.xml", "w") as sheet:
             sheet.write(f'<worksheet xmlns="{_MAIN}"><sheetData>'.encode())
-            for r, row in enumerate((names, *rows), 1):
-                cells = [f'<c r="{at}{r}" t="s"><v>{shared.setdefault(v, len(shared))}</v></c>' for at, v in zip(letters, row) if v is not None]
-                sheet.write(f'<row r="{r}">{"".join(cells)}</row>'.encode())
+            for start in range(0, count, _ROWS_AT_ONCE):
+                size = min(_ROWS_AT_ONCE, count - start)
+                numbers = pa.array(np.arange(start + 1, start + size + 1)).cast(pa.string())
+                cells = []
+                for c in range(len(columns)):
+                    places = shared.indices.slice(c * count + start, size).cast(pa.string())
+                    cell = _joined(f'<c r="{_letters(c)}', numbers, '" t="s"><v>', places, "</v></c>")
+                    cells.append(pc.fill_null(cell, ""))
+                sheet.write(_bytes(_joined('<row r="', numbers, '">', *cells, "</row>")))
             sheet.write(b"</sheetData></worksheet>")
-        strings = "".join(f'<si><t xml:space="preserve">{escape(s)}</t></si>' for s in shared)
-        archive.writestr("xl/sharedStrings.xml", f'<sst xmlns="{_MAIN}">{strings}</sst>')
+        with archive.open("xl/sharedStrings.xml", "w") as strings:
+            strings.write(f'<sst xmlns="{_MAIN}" count="{total}" uniqueCount="{len(shared.dictionary)}">'.encode())
+            texts = shared.dictionary
+            for mark, written in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+                texts = pc.replace_substring(texts, mark, written)
+            strings.write(_bytes(_joined('<si><t xml:space="preserve">', texts, "</t></si>")))
+            strings.write(b"</sst>")
     return content.getvalue()
 
 
+def _bytes(texts: pa.Array) -> memoryview:
+    """All texts one after the other."""
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int32)
+    return memoryview(data)[ends[texts.offset] : ends[texts.offset + len(texts)]]
+
+
 def _write(path: str, content: bytes) -> None:
     """The file is there whole or not at all, however often its task runs."""
     store, where = file_system(path)
@@ -73,15 +99,14 @@ def write_workbooks(df: DataFrame, folder: str) -> None:
     names = df.columns
     number = 4 + df.count() // ROWS_PER_WORKBOOK
 
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        name = rows["_file"].iloc[0]
-        body = [[None if v is None or v != v else str(v) for v in rows[c]] for c in rows.columns if c != "_file"]
-        _write(f"{folder}/{name}", _workbook(names, zip(*body)))
-        return pd.DataFrame({"name": [name]})
+    def pack(rows: pa.Table) -> pa.Table:
+        name = rows["_file"][0].as_py()
+        _write(f"{folder}/{name}", _workbook(names, [rows[c].combine_chunks() for c in rows.column_names if c != "_file"]))
+        return pa.table({"name": [name]})
 
     plain = df.toDF(*[f"c{i}" for i in range(len(names))])
     dealt = plain.withColumn("_file", F.format_string("export-%05d.xlsx", F.pmod(F.xxhash64(*plain.columns), F.lit(number))))
-    dealt.groupBy("_file").applyInPandas(pack, "name string").agg(F.count("*")).collect()
+    dealt.groupBy("_file").applyInArrow(pack, "name string").agg(F.count("*")).collect()
     _write(f"{folder}/broken.xlsx", b"PK this is no workbook")
 
 

@@ -189,3 +189,54 @@ def test_rows_are_not_sorted_for_their_newest_file(spark):
     found = versions.of_newest_file(df, "key")
     assert "ShuffledHashJoin" in plan_of(found) and "SortMergeJoin" not in plan_of(found)
     assert sorted(map(tuple, found.collect()), key=str) == sorted([rows[1], rows[2], rows[4], rows[5]], key=str)
+
+
+def test_plain_cells_and_strings_are_not_parsed_one_by_one(spark, tmp_path, monkeypatch):
+    """The XML parser sees the rows, not their cells; names are looked up once per file, not for every row."""
+    rows = [(str(i), "a & <b>" if i % 2 else None, f"{i % 3}฿") for i in range(300)]
+    written.write_workbooks(spark.createDataFrame(rows, "A string, B string, C string"), f"{tmp_path}/books")
+    for helper in ("_value", "_text"):
+        monkeypatch.setattr(workbooks, helper, lambda *_: pytest.fail("a cell was parsed by itself"))
+    found = []
+    for path in sorted((tmp_path / "books").glob("export-*.xlsx")):
+        head, *body = [cells for _, cells in workbooks._sheet_rows(path.read_bytes())]
+        found += [tuple(cells) for cells in body]
+        assert head == ["A", "B", "C"]
+    assert sorted(found) == sorted(rows)
+    monkeypatch.undo()
+    sheet = workbooks.sheet(workbooks.workbook_rows(spark, f"{tmp_path}/books"), {"C": "C", "no": "no"})
+    assert "array_position" not in plan_of(sheet)
+    assert sorted((r["C"], r["no"]) for r in sheet.collect()) == sorted((r[2], None) for r in rows)
+
+
+@pytest.mark.parametrize("piece", [5, 90, 1 << 18])
+def test_plain_and_other_cells_in_one_sheet(monkeypatch, piece):
+    """Numbers, styles, gaps and blank cells are plain; what is not goes through the XML parser, wherever it stands."""
+    monkeypatch.setattr(workbooks, "_PIECE_BYTES", piece)
+    plain = [
+        ('<row r="1"><c r="A1"><v>1.0</v></c><c r="C1" s="1"><v>1.5</v></c></row>', (0, ["1", None, "1899-12-31 12:00:00"])),
+        ('<row r="3" spans="1:3"><c r="B3" t="str"><v>a&amp;b</v></c></row>', (2, [None, "a&b"])),
+        ('<row><c r="A4"/><c r="B4" t="n"><v></v></c><c r="C4" t="s"><v>1</v></c></row>', (3, [None, None, "x & y"])),
+    ]
+    other = [
+        ("<row r='7'><c><v>5</v></c><c t='inlineStr'><is><t>i</t></is></c></row>", (6, ["5", "i"])),
+        ('<row r="8"/>', (7, [])),
+        ('<row r="9"><!-- </row><row r="1"> --><c r="A9" t="s"><v>0</v></c></row>\n', (8, ["s"])),
+        ('<row r="10"><c r="A10"><v>2</v></c><c r="B10"><v>3</v></c></row>', (9, ["2", "3"])),
+    ]
+    content = io.BytesIO()
+    with zipfile.ZipFile(content, "w") as archive:
+        archive.writestr("xl/styles.xml", '<styleSheet><cellXfs><xf numFmtId="0"/><xf numFmtId="22"/></cellXfs></styleSheet>')
+        archive.writestr("xl/sharedStrings.xml", "<sst><si><t>s</t></si><si><t>x &amp; </t><t>y</t></si></sst>")
+        archive.writestr("xl/worksheets/sheet1.xml", "<worksheet><sheetData>" + "".join(x for x, _ in (*plain, *other)) + '</sheetData><rowBreaks count="0"/></worksheet>')
+    assert list(workbooks._sheet_rows(content.getvalue())) == [row for _, row in (*plain, *other)]
+
+
+def test_a_missing_end_is_damage(monkeypatch):
+    """Whatever is plain of a sheet that breaks off comes before the error."""
+    rows = "".join(f'<row r="{i}"><c r="A{i}"><v>{i}</v></c></row>' for i in range(1, 200))
+    for end in ("", "</sheetData>", "</row></sheetData></worksheet>", '<row r="200"><c r="A200"><v>1</v></row></sheetData></worksheet>'):
+        found = []
+        with pytest.raises(SyntaxError):
+            _kept(found, workbooks._sheet_rows(_sheet(f"<worksheet><sheetData>{rows}{end}")))
+        assert [p for p, _ in found][:198] == list(range(198))

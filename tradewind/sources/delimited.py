@@ -115,7 +115,11 @@ def csv_cells(line: Column) -> Column:
 
 def pick(cells: Column, header: Column, name: str) -> Column:
     """The cell below the first header called ``name``; null when there is none or it is blank."""
-    cell = F.get(cells, (F.array_position(header, name) - 1).cast("int"))
+    return filled(F.get(cells, (F.array_position(header, name) - 1).cast("int")))
+
+
+def filled(cell: Column) -> Column:
+    """A cell, null when it is blank."""
     return F.when(F.trim(cell) != "", cell)
 
 
