@@ -6,6 +6,7 @@ import io
 import sys
 import uuid
 import zipfile
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -141,14 +142,15 @@ def _damaged(spark, folder):
 def _overlapping(spark, folder):
     """The second export holds the orders from 1999 on once more, with their final values."""
     target = staging_path(spark, "overlapping")
-    lines = order_lines(spark, folder, *ALL, valid=False)
     late = F.col("Order_Date") >= F.lit("1999-01-01").cast("timestamp")
-    # An export is in several files, each with all lines of its orders.
+    # An export is in several files, each with all lines of its orders. What the first join shuffled is gone before the second.
+    lines = order_lines(spark, folder, *ALL, valid=False)
     old = lines.withColumn("Net_Sales", F.when(late, F.col("Net_Sales") + 1).otherwise(F.col("Net_Sales")))
     for export in (old, lines.filter(late)):
         exports.marketplace_orders(export.repartition("Order_ID"), target)
-    raw = versions.of_newest_file(delimited.read_csv(spark, target), exports._source_name(exports.layouts.MARKETPLACE_ORDERS, "Order_ID"))
-    return channels.clean_marketplace_orders(raw, keywords=["ring"])
+    raw = delimited.read_csv(spark, target, exports.FILES)
+    clean = partial(channels.clean_marketplace_orders, keywords=["ring"])
+    return versions.of_newest_file(raw, exports._source_name(exports.layouts.MARKETPLACE_ORDERS, "Order_ID"), clean=clean, cleaned_key="Order_ID")
 
 
 _STATUSES = {"F": "สำเร็จแล้ว", "O": "กำลังจัดส่ง"}

@@ -5,15 +5,18 @@ from __future__ import annotations
 import io
 import zipfile
 from datetime import date, datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks import exports, jobs, workbooks as written
+from checks import adapters, exports, jobs, workbooks as written
+from checks.base import Check
+from tradewind import session
 from tradewind.functions import parsing
 from tradewind.operators import versions
-from tradewind.plans import months
+from tradewind.plans import months, sinks
 from tradewind.sources import delimited, workbooks
 
 LINE = """Order_ID bigint, Line_Key string, Order_Status string, Order_Date timestamp, Product_Name string, SKU string, Original_Price double,
@@ -240,3 +243,61 @@ def test_a_missing_end_is_damage(monkeypatch):
         with pytest.raises(SyntaxError):
             _kept(found, workbooks._sheet_rows(_sheet(f"<worksheet><sheetData>{rows}{end}")))
         assert [p for p, _ in found][:198] == list(range(198))
+
+
+def test_lines_are_joined_before_anything_is_computed_of_them(spark):
+    """Only stored columns are shuffled for the joins."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(adapters.order_lines(spark, "/root/testdata/sf0.001", *adapters.ALL, valid=False))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.rindex("concat_ws") < plan.index("SortMergeJoin")
+
+
+def test_exports_are_compressed_and_plain_ones_are_read_beside_them(spark, tmp_path):
+    """A compressed file has its header, its line breaks and all its rows; without the pattern it is no export."""
+    exports._write_csv(spark.createDataFrame([("1", "x\ny"), ("2", 'a "b",')], "k string, v string").coalesce(1), f"{tmp_path}/e")
+    (tmp_path / "e" / "plain.csv").write_text("v,k\nz,3\n")
+    assert [p.suffix for p in (tmp_path / "e").glob("part-*")] == [".gz"]
+    found = delimited.read_csv(spark, f"{tmp_path}/e", exports.FILES)
+    assert sorted((r["k"], r["v"]) for r in found.collect()) == [("1", "x\ny"), ("2", 'a "b",'), ("3", "z")]
+    assert [r["k"] for r in delimited.read_csv(spark, f"{tmp_path}/e").collect()] == ["3"]
+    (tmp_path / "e" / "damaged.csv.gz").write_bytes(b"not compressed")
+    paths = [str(p) for p in (tmp_path / "e").glob("damaged*")]
+    assert delimited.headers(spark, paths) == {}
+
+
+def test_staged_rows_stay_together_and_go_after_their_use(spark, tmp_path):
+    """However small the pieces in which files are read, one task has all rows of a value; odd values come back as they were."""
+    odd = [(None, None, None, None), (1, "", float("nan"), datetime(2024, 1, 2, 3, 4, 5, 6)), (2, 'a\n"b"\\ ฿', -0.1, datetime(1899, 1, 1)), (3, "null", float("inf"), None)]
+    df = spark.createDataFrame(odd, "k int, s string, d double, t timestamp")
+    many = spark.range(20_000).selectExpr("CAST(id % 7 AS INT) + 10 k", "uuid() s", "rand() d", "timestamp_micros(id) t").unionByName(df)
+    expected = sorted(map(str, many.filter("k < 10 OR k IS NULL").collect()))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        with session.staged(many, "odd", together="k") as rows:
+            assert sorted(map(str, rows.filter("k < 10 OR k IS NULL").collect())) == expected
+            tasks = rows.withColumn("task", F.spark_partition_id()).groupBy("k").agg(F.count_distinct("task").alias("tasks"), F.count("*").alias("n")).collect()
+            paths = rows.inputFiles()
+        with session.staged(many, "odd") as rows:
+            assert rows.count() == 20_004
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r["tasks"] for r in tasks} == {1} and sum(r["n"] for r in tasks) == 20_004
+    assert paths and not any(Path(p.removeprefix("file:")).exists() for p in paths)
+
+
+def test_rows_are_cleaned_before_they_meet_their_newest_file(spark):
+    """A row that cleaning drops hides older versions all the same; fewer columns are shuffled."""
+    rows = [(1, "x", "a", "ok", "1"), (2, "y", "a", "bad", "2"), (1, "x", "b", "ok", "3"), (2, "y", None, "ok", "4"), (1, "x", None, "ok", "5")]
+    df = spark.createDataFrame(rows, "File_Modified int, File_Source string, key string, status string, n string")
+    clean = lambda raw: raw.filter("status = 'ok'").selectExpr("File_Modified", "File_Source", "key AS k", "CAST(n AS INT) AS n")
+    found = versions.of_newest_file(df, "key", clean=clean, cleaned_key="k")
+    assert found.columns == ["File_Modified", "File_Source", "k", "n"]
+    assert sorted(r["n"] for r in found.collect()) == [3, 4]
+
+
+def test_shuffles_of_a_query_go_with_its_steps(spark):
+    Check("x", "id:l", lambda s, _: s.range(3)).run(spark, "").collect()
+    assert all(spark.conf.get(key) == value for key, value in session.RELEASE_SHUFFLES.items())
