@@ -298,6 +298,18 @@ def test_rows_are_cleaned_before_they_meet_their_newest_file(spark):
     assert sorted(r["n"] for r in found.collect()) == [3, 4]
 
 
+@pytest.mark.parametrize("few", [0, 1, 100])
+def test_single_rows_are_not_ranked(spark, monkeypatch, few):
+    """Whether the repeated keys are looked up or all rows are ranked, the newest row of every key is found."""
+    monkeypatch.setattr(versions, "FEW_REPEATED", few)
+    rows = [("a", None, 1), ("a", None, 2), (None, "a", 1), (None, None, 1), ("b", "b", 1), ("c", "d", 2), ("c", "d", 3), ("c", "d", None)]
+    df = spark.createDataFrame(rows, "k string, l string, o int")
+    found = versions.newest_of_files(df, ["k", "l"], ["o"])
+    assert sorted(map(str, found.collect())) == sorted(map(str, versions.newest(df, ["k", "l"], ["o"]).collect()))
+    single = versions.newest_of_files(df.filter("o = 1"), ["k", "l"], ["o"])
+    assert "Window" not in plan_of(single) and single.count() == 4
+
+
 def test_shuffles_of_a_query_go_with_its_steps(spark):
     Check("x", "id:l", lambda s, _: s.range(3)).run(spark, "").collect()
     assert all(spark.conf.get(key) == value for key, value in session.RELEASE_SHUFFLES.items())
