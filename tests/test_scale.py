@@ -313,3 +313,12 @@ def test_single_rows_are_not_ranked(spark, monkeypatch, few):
 def test_shuffles_of_a_query_go_with_its_steps(spark):
     Check("x", "id:l", lambda s, _: s.range(3)).run(spark, "").collect()
     assert all(spark.conf.get(key) == value for key, value in session.RELEASE_SHUFFLES.items())
+
+
+def test_exports_of_a_run_are_compressed_if_asked_for(spark, tmp_path):
+    df = spark.createDataFrame([(1, 2.0)], "a int, `GMV_Contribution_Pct` double")
+    sinks.export_csv(df, str(tmp_path), "plain")
+    sinks.export_csv(df, str(tmp_path), "small", "gzip")
+    ends = {name: {p.suffix for p in (tmp_path / name).glob("part-*")} for name in ("plain", "small")}
+    assert ends == {"plain": {".csv"}, "small": {".gz"}}
+    assert delimited.read_csv(spark, f"{tmp_path}/small", exports.FILES).first()["GMV_Contribution_%"] == "2.0"
