@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
@@ -13,7 +13,7 @@ from tradewind.operators import channels, customers, masters, versions
 from tradewind.functions.numbers import total
 from tradewind.plans.sinks import export_csv, read_table, register_views, write_table, write_tables
 from tradewind.session import COMPACT, stage
-from tradewind.sources import delimited, files
+from tradewind.sources import delimited, files, layouts
 
 REJECTED_SCHEMA = "Name string, Signature string, Reason string, Rejected_At timestamp"
 # What the master tables read from the unified order lines.
@@ -227,18 +227,18 @@ class OrderStore:
         entries = files.manifest_entries(processed, records, self.data_type).withColumn("Batch", F.lit(number))
         entries.coalesce(1).write.mode("append").parquet(self._manifest_path)
 
-    def current(self) -> DataFrame:
+    def current(self, clean: Callable[[DataFrame], DataFrame] = lambda rows: rows, cleaned_key: str | None = None) -> DataFrame:
         """All lines an order has in the newest file that holds it, over all committed batches, still with their raw
         status. A later batch is newer, and inside a batch the file that was written last. Lines without an order
-        are those of one order."""
+        are those of one order. ``clean`` and ``cleaned_key`` are as in ``versions.of_newest_file``."""
         numbers = [r[0] for r in self.manifest().select("Batch").distinct().orderBy("Batch").collect()]
         paths = [f"{self.folder}/batches/{n}" for n in numbers]
         batch = F.regexp_extract("_metadata.file_path", r"/batches/(\d+)/", 1).cast("int")
         rows = self.spark.read.option("mergeSchema", "true").parquet(*paths).withColumn("_batch", batch)
-        return versions.of_newest_file(rows, self.order_key, ("_batch", "File_Modified", "File_Source")).drop("_batch")
+        return versions.of_newest_file(rows, self.order_key, ("_batch", "File_Modified", "File_Source"), clean, cleaned_key).drop("_batch")
 
     def refresh(self, exports: str, tables_folder: str, others: Mapping[str, DataFrame] | None = None, glob: str = "*.csv") -> list[str]:
         """Ingest, then rebuild the tables from the merged rows; invalid statuses are dropped after merging."""
         self.ingest(exports, glob)
-        social = channels.clean_social_orders(self.current())
+        social = self.current(channels.clean_social_orders, layouts.SOCIAL_ORDERS.get(self.order_key))
         return full_refresh({**(others or {}), "social": social}, tables_folder)
