@@ -315,6 +315,18 @@ def test_shuffles_of_a_query_go_with_its_steps(spark):
     assert all(spark.conf.get(key) == value for key, value in session.RELEASE_SHUFFLES.items())
 
 
+def test_order_and_version_are_not_shuffled_with_the_rows(spark, tmp_path, monkeypatch):
+    shuffled = []
+    hint = type(spark.range(1)).hint
+    monkeypatch.setattr(type(spark.range(1)), "hint", lambda df, *args: (shuffled.append(df.columns), hint(df, *args))[1])
+    store = months.MonthlyStore(spark, f"{tmp_path}/store", lambda df: df, date=F.col("day"), parts=lambda lines: {})
+    rows = [("a", date(2024, 1, 1), datetime(2024, 5, 1), "f"), (None, None, datetime(2024, 5, 1), "f")]
+    for number in range(2):
+        store.merge(spark.createDataFrame(rows, "`Order ID` string, day date, File_Modified timestamp, File_Source string"), number)
+    assert shuffled and all("Month" in columns and "_version" not in columns for columns in shuffled if "day" in columns)
+    assert store.rows().count() == 2 and store.snapshot() == {"2024-01": 1, "undated": 1}
+
+
 def test_exports_of_a_run_are_compressed_if_asked_for(spark, tmp_path):
     df = spark.createDataFrame([(1, 2.0)], "a int, `GMV_Contribution_Pct` double")
     sinks.export_csv(df, str(tmp_path), "plain")
